@@ -1 +1,108 @@
-"""Model-based queries (rows-only checks): registered on import."""
+"""Model-based queries (rows-only checks: MLlib optimisers are not SQL)."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.classification import LinearSVC, OneVsRest
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import functions as F
+
+from ..functions.text import clean_text
+from ..operators import metrics, models, sampling
+from ..operators.scoring import LinearLogProbScorer, score_batches
+from ..operators.tfidf import fit_tfidf
+from ..sources.tables import read_table
+from .common import SEED, split_corpus
+from .queries import query
+
+
+def features(spark, d, max_features: int = 10000):
+    """Split corpus -> TF-IDF fitted on train -> vectors for every row, with
+    balanced weights and stratified folds on the training rows."""
+    s = split_corpus(spark, d).cache()  # reused by the vocabulary fit and both transforms
+    tf = fit_tfidf(s.where(F.col("split") == "train"), max_features=max_features)
+    vec = tf.transform_vectors(s, keep=["label_id", "split"]).withColumn("label", F.col("label_id").cast("double"))
+    train = vec.where(F.col("split") == "train")
+    train = models.balanced_weights(train, "label_id", "weight")
+    train = sampling.kfold_assign(train, 3, "label_id", "doc_id", SEED).cache()
+    test = vec.where(F.col("split") == "test")
+    return tf, train, test
+
+
+def _pred_out(scored):
+    return scored.select("doc_id", F.col("label_id").alias("true_id"), F.col("prediction").cast("int").alias("pred_id"))
+
+
+@query("lr_predict")
+def q_lr(spark, d):
+    _, train, test = features(spark, d)
+    n = train.count()
+    m = models.make_lr(n).fit(train)
+    out = m.transform(test)
+    return out.select("doc_id", F.col("label_id").alias("true_id"), F.col("prediction").cast("int").alias("pred_id"),
+                      F.round(F.array_max(vector_to_array("probability")), 6).alias("p_max"))
+
+
+@query("svm_calibrated_predict")
+def q_svm(spark, d):
+    _, train, test = features(spark, d)
+    m = models.fit_calibrated_svc(train)
+    out = m.transform(test)
+    return out.select("doc_id", F.col("label_id").alias("true_id"), F.col("prediction").cast("int").alias("pred_id"),
+                      F.round(F.array_max("probability"), 6).alias("p_max"))
+
+
+@query("nb_mllib_predict")
+def q_nb_mllib(spark, d):
+    _, train, test = features(spark, d)
+    return _pred_out(models.make_nb(1.0).fit(train).transform(test))
+
+
+@query("grid_search_scores")
+def q_grid(spark, d):
+    """3-fold stratified grid search, macro-F1, for LR (C), NB (alpha, unweighted
+    as in the original) and linear SVM (C)."""
+    _, train, _ = features(spark, d)
+    n = train.count()
+    ev = models.MacroF1Evaluator("label", "prediction")
+    rows = []
+    lr = models.make_lr(n)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in (0.01, 0.1, 1.0, 10.0)]).build()
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", parallelism=4).fit(train)
+    rows += [("logistic_regression", "C", c, float(s)) for c, s in zip((0.01, 0.1, 1.0, 10.0), cv.avgMetrics)]
+    nbm = models.make_nb(1.0, weighted=False)
+    alphas = (0.01, 0.1, 0.5, 1.0, 2.0)
+    grid = ParamGridBuilder().addGrid(nbm.smoothing, list(alphas)).build()
+    cv = CrossValidator(estimator=nbm, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", parallelism=4).fit(train)
+    rows += [("multinomial_naive_bayes", "alpha", a, float(s)) for a, s in zip(alphas, cv.avgMetrics)]
+    k = train.select("label").distinct().count()
+    svc = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", standardization=False, maxIter=100)
+    est = svc if k == 2 else OneVsRest(classifier=svc, featuresCol="features", labelCol="label")
+    cs = (0.01, 0.1, 1.0, 10.0)
+    grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in cs]).build()
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", parallelism=4).fit(train)
+    rows += [("linear_svm", "C", c, float(s)) for c, s in zip(cs, cv.avgMetrics)]
+    df = spark.createDataFrame(rows, "model string, param string, value double, mean_f1_macro double")
+    best = df.groupBy("model").agg(F.max_by("value", "mean_f1_macro").alias("_best"))
+    return df.join(best, "model").withColumn("is_best", F.col("value") == F.col("_best")).drop("_best")
+
+
+@query("batch_score")
+def q_batch_score(spark, d):
+    """Score the unlabelled benchmark corpus with a naive Bayes model trained
+    on the labelled corpus, through the pluggable mapInPandas scorer."""
+    tf, train, _ = features(spark, d)
+    nbm = models.make_nb(1.0).fit(train)
+    theta = nbm.theta.toArray()
+    state = {"theta": theta, "prior": nbm.pi.toArray(),
+             "classes": np.array([int(c) for c in range(theta.shape[0])], dtype=np.int32)}
+    bc = spark.sparkContext.broadcast(state)  # k x V, V <= max_features
+    bench = read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"),
+                                                     clean_text("text").alias("clean_text"))
+    long = tf.transform_long(bench)
+    arrs = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("kv"))
+    feats = (bench.select("doc_id").join(arrs, "doc_id", "left")
+                  .select(F.col("doc_id").alias("id"), F.col("kv.term_index").alias("idx"), F.col("kv.weight").alias("val")))
+    out = score_batches(feats, LinearLogProbScorer(bc))
+    return out.select(F.col("id").alias("item_id"), "pred_id", F.round("p_max", 6).alias("p_max"))

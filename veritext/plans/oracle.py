@@ -150,6 +150,10 @@ S["stratified_split_orders"] = f"""WITH o AS (SELECT o_orderkey, o_orderpriority
 {split_cte('o', 'sp', 20, 10, 'o_orderpriority', 'o_orderkey')}
 SELECT o_orderkey, o_orderpriority, split FROM sp"""
 
+S["stratified_split_lineitem"] = f"""WITH li AS (SELECT l_orderkey * 8 + l_linenumber AS l_key, l_returnflag FROM lineitem),
+{split_cte('li', 'sp', 20, 10, 'l_returnflag', 'l_key')}
+SELECT l_key, l_returnflag, split FROM sp"""
+
 S["kfold_assign"] = f"""SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderpriority
   ORDER BY {hkey(42, 'o_orderkey')}, o_orderkey) - 1) % 3 AS INTEGER) AS fold FROM orders"""
 

@@ -247,6 +247,14 @@ def q_strat_orders(spark, d):
         "o_orderkey", "o_orderpriority", "split")
 
 
+@query("stratified_split_lineitem")
+def q_strat_lineitem(spark, d):
+    """Exact stratified split of the largest table (by return flag)."""
+    li = read_table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("l_key"), "l_returnflag")
+    return sampling.stratified_split(li, "l_returnflag", "l_key", 20, 10, SEED).select("l_key", "l_returnflag", "split")
+
+
 @query("kfold_assign")
 def q_kfold(spark, d):
     o = read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
