@@ -106,3 +106,13 @@ def q_batch_score(spark, d):
                   .select(F.col("doc_id").alias("id"), F.col("kv.term_index").alias("idx"), F.col("kv.weight").alias("val")))
     out = score_batches(feats, LinearLogProbScorer(bc))
     return out.select(F.col("id").alias("item_id"), "pred_id", F.round("p_max", 6).alias("p_max"))
+
+
+@query("smote_embeddings")
+def q_smote(spark, d):
+    """SMOTE on the embeddings table: every label raised to the majority count."""
+    from ..operators.balance import smote
+    e = read_table(spark, d, "embeddings")
+    out = smote(e, "vec_id", "label", "embedding", k=5, seed=SEED)
+    return out.select("label", "syn_idx", "base_id", "nn_id", F.round("lam", 6).alias("lam"),
+                      F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))

@@ -349,6 +349,31 @@ FROM m_sum"""
 S["generalization_gap"] = _gap()
 
 
+def _h(expr):
+    return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"
+
+
+S["smote_embeddings"] = f"""WITH e AS (
+  SELECT vec_id AS rid, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS vec FROM embeddings),
+cnt AS (SELECT label, count(*) AS n_c FROM e GROUP BY label),
+tgt AS (SELECT max(n_c) AS t FROM cnt),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hkey(42, 'rid')}, rid) - 1 AS rk FROM e),
+syn AS (SELECT c.label, c.n_c, unnest(range(tgt.t - c.n_c)) AS syn_idx FROM cnt c, tgt WHERE c.n_c >= 2 AND tgt.t > c.n_c),
+syn2 AS (SELECT label, syn_idx,
+  {_h("'42:base:' || CAST(label AS VARCHAR) || ':' || CAST(syn_idx AS VARCHAR)")} % n_c AS base_rank,
+  {_h("'42:nn:' || CAST(label AS VARCHAR) || ':' || CAST(syn_idx AS VARCHAR)")} % least(5, n_c - 1) AS slot,
+  CAST({_h("'42:lam:' || CAST(label AS VARCHAR) || ':' || CAST(syn_idx AS VARCHAR)")} AS DOUBLE) / 4294967296.0 AS lam
+  FROM syn),
+bases AS (SELECT DISTINCT s.label, r.rid AS qid, r.vec, s.base_rank FROM syn2 s JOIN r ON r.label = s.label AND r.rk = s.base_rank),
+knn AS (SELECT b.label, b.qid, o.rid AS nid, o.vec AS nvec,
+  row_number() OVER (PARTITION BY b.label, b.qid ORDER BY list_distance(b.vec, o.vec), o.rid) - 1 AS slot
+  FROM bases b JOIN e o ON o.label = b.label AND o.rid <> b.qid)
+SELECT s.label, s.syn_idx, b.qid AS base_id, k.nid AS nn_id, round(s.lam, 6) AS lam,
+  list_transform(list_zip(b.vec, k.nvec), lambda p: round(p[1] + s.lam * (p[2] - p[1]), 6)) AS vec
+FROM syn2 s JOIN bases b ON b.label = s.label AND b.base_rank = s.base_rank
+JOIN knn k ON k.label = s.label AND k.qid = b.qid AND k.slot = s.slot"""
+
+
 def all_sql() -> dict[str, str]:
     out = dict(S)
     out["stopword_filter"] = _stopword_query()
