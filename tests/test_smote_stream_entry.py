@@ -84,3 +84,36 @@ def test_oracle_agrees_at_sf0001(spark, name):
 
     assert sorted(sdf.columns) == sorted(rel.columns)
     assert canon(sdf.columns, sdf.collect()) == canon(rel.columns, rel.fetchall())
+
+
+def test_preprocessor_transformer_and_estimator(spark):
+    from veritext.operators.ml import TextPreprocessor, TfidfEstimator
+    df = spark.createDataFrame([(1, "The cats and THE dogs!"), (2, "the and of"), (3, "Dogs run fast")],
+                               "doc_id long, text string")
+    out = TextPreprocessor(doRemoveStopwords=True).transform(df)
+    got = {r.doc_id: r.clean_text for r in out.collect()}
+    assert got == {1: "cats dogs", 3: "dogs run fast"}        # doc 2 empty -> dropped
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "token string, lemma string")
+    lem = TextPreprocessor(doLemmatize=True, lemmaTable=lemmas).transform(df)
+    assert {r.doc_id: r.clean_text for r in lem.collect()}[1] == "cat dog"
+    m = TfidfEstimator(maxFeatures=10, minDf=1, maxDf=1.0).fit(out)
+    assert m.transform(out).count() == 2 and m.vocabulary.count() > 0
+
+
+def test_lemma_rules(spark):
+    from veritext.operators.lemma import lemma_table
+    toks = spark.createDataFrame([("bills",), ("bill",), ("classes",), ("class",), ("media",), ("us",), ("u",),
+                                  ("boxes",), ("xyz",)], "token string")
+    lex = toks.select("token")
+    got = {r.token: r.lemma for r in lemma_table(toks, lex).collect()}
+    assert got["bills"] == "bill" and got["classes"] == "class" and got["media"] == "medium"
+    assert got["us"] == "u" and got["xyz"] == "xyz" and got["boxes"] == "boxes"
+
+
+def test_synthetic_generator(spark):
+    from veritext.sources.registry import load_corpus
+    df = load_corpus(spark, "sample", n_samples=62, label_scheme="3way")
+    rows = df.collect()
+    assert len(rows) == 60
+    assert {r.label for r in rows} == {"true", "satire/parody", "fake"}
+    assert sum(r.label == "true" for r in rows) == 10

@@ -116,3 +116,20 @@ def q_smote(spark, d):
     out = smote(e, "vec_id", "label", "embedding", k=5, seed=SEED)
     return out.select("label", "syn_idx", "base_id", "nn_id", F.round("lam", 6).alias("lam"),
                       F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
+
+
+@query("baseline_metrics")
+def q_baseline(spark, d):
+    """LR, NB and calibrated SVM trained on the split corpus and evaluated
+    in one aggregation (train_time is wall clock -> rows-only check)."""
+    from .pipeline import run_baseline
+    m = run_baseline(spark, d)["metrics"]
+    return m.select("model", *[F.round(F.col(c), 6).alias(c) for c in metrics.METRIC_NAMES], "train_time")
+
+
+@query("transformer_arm_encode")
+def q_transformer_arm(spark, d):
+    """C9 data flow: raw-text 70/15/15 split, capped train, fixed-length ids."""
+    from .pipeline import run_transformer_arm
+    out = run_transformer_arm(spark, d)
+    return out["encoded"].join(out["split"], "doc_id")

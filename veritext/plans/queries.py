@@ -476,6 +476,12 @@ def q_gap(spark, d):
     return nb_cross_domain(spark, d)
 
 
+@query("generalization_gap_bidirectional")
+def q_gap_bi(spark, d):
+    from .pipeline import run_bidirectional
+    return run_bidirectional(spark, d)
+
+
 def all_queries() -> dict[str, Q]:
     from . import extra  # noqa: F401  (registers model-based queries)
     return dict(REGISTRY)

@@ -18,15 +18,21 @@ from ..operators.tfidf import fit_tfidf
 from .common import SEED, cleaned_corpus
 
 
-def _domains(spark: SparkSession, d: str, source_lang: str = "en"):
+def _domains(spark: SparkSession, d: str, source_lang: str | None = "en", pivot_lang: str = "en"):
+    """source_lang=None means 'every language except pivot_lang' (reverse direction)."""
     c = harmonise_binary(cleaned_corpus(spark, d), "binary")
-    src = c.where(F.col("lang") == source_lang)
-    tgt = c.where(F.col("lang") != source_lang)
+    is_pivot = F.col("lang") == pivot_lang
+    src, tgt = (c.where(is_pivot), c.where(~is_pivot)) if source_lang else (c.where(~is_pivot), c.where(is_pivot))
     s = sampling.stratified_split(src, "label_id", "doc_id", 20, 0, SEED).cache()
     return s, tgt
 
 
 def nb_cross_domain(spark: SparkSession, d: str, source_lang: str = "en", target_name: str = "other") -> DataFrame:
+    return nb_cross_domain_split(spark, d, source_lang, source_lang, target_name)
+
+
+def nb_cross_domain_split(spark: SparkSession, d: str, source_lang: str | None, source_name: str,
+                          target_name: str) -> DataFrame:
     s, tgt = _domains(spark, d, source_lang)
     train = s.where(F.col("split") == "train")
     model = fit_tfidf(train, max_features=10000)
@@ -42,6 +48,6 @@ def nb_cross_domain(spark: SparkSession, d: str, source_lang: str = "en", target
     per_domain = metrics.summary_metrics(cnt, ["domain"]).withColumn("model", F.lit("multinomial_nb"))
     gap = metrics.generalization_gap(per_domain)
     return gap.select(
-        "model", F.lit(source_lang).alias("source"), F.lit(target_name).alias("target"),
+        "model", F.lit(source_name).alias("source"), F.lit(target_name).alias("target"),
         *[F.round(F.col(c), 6).alias(c) for c in
           ["in_dist_accuracy", "in_dist_f1_macro", "cross_accuracy", "cross_f1_macro", "generalization_gap_f1"]])
