@@ -23,6 +23,9 @@ MENTION_RE = rf"@[{WORD}]+"
 HASHTAG_RE = rf"#([{WORD}]+)"
 NON_LETTER_RE = rf"[^a-zA-Z{WS}]"
 WS_RUN_RE = rf"[{WS}]+"
+# "non-letter -> space, then collapse whitespace runs" in one pass: every
+# maximal run of characters that are not ASCII letters becomes one space.
+SEPARATOR_RUN_RE = r"[^a-zA-Z]+"
 
 
 def _c(col) -> Column:
@@ -37,11 +40,21 @@ def clean_text(col) -> Column:
     t = F.regexp_replace(t, HTML_RE, "")
     t = F.regexp_replace(t, MENTION_RE, "")
     t = F.regexp_replace(t, HASHTAG_RE, "$1")
-    t = F.regexp_replace(t, NON_LETTER_RE, " ")
-    t = F.regexp_replace(t, WS_RUN_RE, " ")
+    t = F.regexp_replace(t, SEPARATOR_RUN_RE, " ")
     return F.trim(t)
 
 
+def with_clean(df, src: str = "text", out: str = "clean_text", drop_empty: bool = True):
+    """Add ``out = clean_text(src)`` and (optionally) drop empty results.
+
+    The cleaned value is produced by a one-element generator: a filter on a
+    generated column cannot be pushed below the generator, so the regex
+    chain runs once per row instead of once in the Filter and again in the
+    Project (Catalyst does not share sub-expressions across operators)."""
+    res = df.select("*", F.explode(F.array(clean_text(src))).alias(out))
+    return res.where(F.length(F.col(out)) > 0) if drop_empty else res
+
+
 def word_count(col) -> Column:
     """``len(text.split())``: whitespace-separated pieces, nulls -> 0."""
     parts = F.split(F.coalesce(_c(col), F.lit("")), WS_RUN_RE)

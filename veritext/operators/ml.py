@@ -42,7 +42,8 @@ class TextPreprocessor(Transformer, HasInputCol, HasOutputCol):
             c = clean_text(inp)
         if self.getOrDefault(self.doRemoveStopwords):
             c = drop_stopwords(c)
-        res = df.withColumn(out, c)
+        # generator form: the drop-empty filter cannot inline the regex chain twice
+        res = df.select(*[x for x in df.columns if x != out], F.explode(F.array(c)).alias(out))
         if self.getOrDefault(self.doLemmatize):
             if self.lemma_table is None:
                 raise ValueError("doLemmatize needs a lemmaTable (token, lemma)")

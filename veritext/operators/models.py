@@ -28,13 +28,27 @@ from pyspark.sql import functions as F
 from . import metrics
 
 
+def training_layout(df: DataFrame, rows_per_partition: int = 20_000) -> tuple[DataFrame, int]:
+    """Persist an iterative-training set with a partition count sized to its
+    row count: every optimiser step is one job over all partitions, so tiny
+    sets run as one task and large sets spread over (at most) 4x the
+    cluster's parallelism.  Returns (persisted frame, row count)."""
+    from pyspark import StorageLevel
+    n = df.count()
+    cap = max(1, df.sparkSession.sparkContext.defaultParallelism * 4)
+    parts = max(1, min(cap, -(-n // rows_per_partition)))
+    out = df.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out, n
+
+
 def balanced_weights(df: DataFrame, label_col: str = "label_id", weight_col: str = "weight") -> DataFrame:
     return metrics.with_class_weight(df, label_col, weight_col)
 
 
 def make_lr(n: int, C: float = 1.0, max_iter: int = 100, weighted: bool = True) -> LogisticRegression:
     kw = dict(featuresCol="features", labelCol="label", family="multinomial", regParam=1.0 / (C * n),
-              elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6)
+              elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4)
     if weighted:
         kw["weightCol"] = "weight"
     return LogisticRegression(**kw)
@@ -49,7 +63,7 @@ def make_nb(alpha: float = 1.0, weighted: bool = True) -> NaiveBayes:
 
 def _svc(n: int, C: float, weighted: bool, label: str) -> LinearSVC:
     kw = dict(featuresCol="features", labelCol=label, regParam=1.0 / (C * n), maxIter=100,
-              standardization=False, tol=1e-6)
+              standardization=False, tol=1e-4)
     if weighted:
         kw["weightCol"] = "weight"
     return LinearSVC(**kw)

@@ -29,7 +29,8 @@ MAX_BROADCAST_VOCAB = 2_000_000
 
 
 def terms_expr(clean_col: str = "clean_text", n_max: int = 2, min_len: int = 2) -> F.Column:
-    """Array of unigrams (>= min_len letters) followed by 2..n_max-grams."""
+    """Array of unigrams (>= min_len letters) followed by 2..n_max-grams
+    (higher-order-function form; used where one array per row is wanted)."""
     toks = f"filter(split({clean_col}, ' '), w -> length(w) >= {min_len})"
     parts = [toks]
     for n in range(2, n_max + 1):
@@ -40,30 +41,53 @@ def terms_expr(clean_col: str = "clean_text", n_max: int = 2, min_len: int = 2)
     if len(parts) == 1:
         return F.expr(toks)
     body = ", ".join(parts[1:])
-    # bind the token list once, then append the n-gram arrays
     return F.expr(f"aggregate(array({toks}), cast(array() as array<string>), (acc, _t) -> concat(_t, {body}))")
 
 
-def term_frequencies(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_text",
-                     n_max: int = 2, keep: list[str] | None = None) -> DataFrame:
-    """Long (id, term, tf) table; per-document counting happens in-row."""
+def token_array(clean_col: str = "clean_text") -> F.Column:
+    """Tokens of >= 2 letters of a cleaned text (single-spaced [a-z ]): the
+    one-letter words are removed by one regex (codegen), then split."""
+    padded = F.concat(F.lit(" "), F.col(clean_col), F.lit(" "))
+    return F.split(F.trim(F.regexp_replace(padded, " (?:[a-z] )+", " ")), " ")
+
+
+def exploded_terms(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_text", n_max: int = 2,
+                   keep: list[str] | None = None) -> DataFrame:
+    """One row per term occurrence: (id, keep..., term).  n-grams are built
+    from the token position with ``element_at`` (all codegen, no lambdas)."""
     keep = list(keep or [])
-    return (df.select(id_col, *keep, _pairs(terms_expr(clean_col, n_max)).alias("_p"))
-              .select(id_col, *keep, F.inline("_p")))
+    t = df.select(id_col, *keep, token_array(clean_col).alias("_t"))
+    if n_max == 1:
+        return t.select(id_col, *keep, F.explode("_t").alias("term")).where(F.col("term") != "")
+    pe = t.select(id_col, *keep, "_t", F.posexplode("_t").alias("_i", "_w"))
+    grams = [F.col("_w")]
+    for n in range(2, n_max + 1):
+        parts = [F.col("_w")] + [F.element_at("_t", F.col("_i") + 1 + j) for j in range(1, n)]
+        grams.append(F.when(F.col("_i") + n <= F.size("_t"), F.concat_ws(" ", *parts)))
+    return (pe.select(id_col, *keep, F.explode(F.array(*grams)).alias("term"))
+              .where(F.col("term").isNotNull() & (F.col("term") != "")))
 
 
-def _pairs(terms: F.Column) -> F.Column:
-    s = F.array_sort(terms)
-    return F.aggregate(
-        F.array(s), F.array().cast("array<struct<term:string,tf:int>>"),
-        lambda acc, srt: F.when(F.size(srt) == 0, acc).otherwise(
-            F.aggregate(
-                F.array(F.filter(F.sequence(F.lit(0), F.size(srt) - 1),
-                                 lambda i: F.when(i == 0, F.lit(True)).otherwise(srt[i] != srt[i - 1]))),
-                acc,
-                lambda acc2, st: F.transform(st, lambda x, j: F.struct(
-                    srt[x].alias("term"),
-                    (F.when(j + 1 < F.size(st), st[j + 1]).otherwise(F.size(srt)) - x).cast("int").alias("tf"))))))
+def term_frequencies(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_text",
+                     n_max: int = 2, keep: list[str] | None = None, colocate: bool = True,
+                     vocab: DataFrame | None = None) -> DataFrame:
+    """Long (id, keep..., term, tf).
+
+    ``colocate`` hash-partitions the *documents* by id first; the term
+    aggregation, the vocabulary join and any later per-document window or
+    aggregate then reuse that partitioning (one shuffle of document rows,
+    none of term rows).  With ``vocab`` the out-of-vocabulary occurrences are
+    dropped by a broadcast join before aggregating."""
+    keep = list(keep or [])
+    if colocate:
+        df = df.repartition(id_col)
+    ex = exploded_terms(df, id_col, clean_col, n_max, keep)
+    if vocab is not None:
+        ex = ex.join(F.broadcast(vocab), "term")
+        extra = [c for c in vocab.columns if c != "term"]
+    else:
+        extra = []
+    return ex.groupBy(id_col, *keep, "term", *extra).agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 @dataclass
@@ -77,32 +101,28 @@ class TfidfModel:
     def transform_long(self, df: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
         """(id, keep..., term, term_index, tf, weight): out-of-vocabulary terms vanish."""
         keep = list(keep or [])
-        tf = term_frequencies(df, id_col, self.clean_col, self.n_max, keep)
-        v = F.broadcast(self.vocab.select("term", "term_index", "idf"))
-        raw = (tf.join(v, "term")
-                 .withColumn("_w", (1.0 + F.log(F.col("tf"))) * F.col("idf")))
+        v = self.vocab.select("term", "term_index", "idf")  # <= max_features rows
+        tf = term_frequencies(df, id_col, self.clean_col, self.n_max, keep, vocab=v)
+        raw = tf.withColumn("_w", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
         return raw.select(id_col, *keep, "term", "term_index", "tf", (F.col("_w") / norm).alias("weight"))
 
     def transform_vectors(self, df: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None,
                           features_col: str = "features") -> DataFrame:
         """One row per input row with an MLlib SparseVector (all-zero when no
-        vocabulary term occurs).  One shuffle keyed by id."""
+        vocabulary term occurs).  Everything is keyed by id on one partitioning."""
         keep = list(keep or [])
-        p = df.select(id_col, *keep, _pairs(terms_expr(self.clean_col, self.n_max)).alias("_p"))
-        ex = p.select(id_col, *keep, F.explode_outer("_p").alias("_e"))
-        v = F.broadcast(self.vocab.select(F.col("term").alias("_term"), "term_index", "idf"))
-        j = (ex.join(v, F.col("_e.term") == F.col("_term"), "left")
-               .withColumn("_w", (1.0 + F.log(F.col("_e.tf"))) * F.col("idf")))
-        g = j.groupBy(id_col).agg(
-            *[F.first(c).alias(c) for c in keep],
-            F.array_sort(F.collect_list(F.when(F.col("term_index").isNotNull(),
-                                               F.struct("term_index", "_w")))).alias("_kv"),
+        base = df.repartition(id_col)
+        v = self.vocab.select("term", "term_index", "idf")
+        tf = term_frequencies(base, id_col, self.clean_col, self.n_max, colocate=False, vocab=v)
+        w = tf.withColumn("_w", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
+        g = w.groupBy(id_col).agg(
+            F.array_sort(F.collect_list(F.struct("term_index", "_w"))).alias("_kv"),
             F.sum(F.col("_w") * F.col("_w")).alias("_ss"))
-        size = self.vocab_size
-        vec = _to_sparse(size)
-        return g.select(id_col, *keep, vec(F.col("_kv.term_index"),
-                                            F.transform(F.col("_kv._w"), lambda w: w / F.sqrt(F.col("_ss"))))
+        j = base.select(id_col, *keep).join(g, id_col, "left")
+        vec = _to_sparse(self.vocab_size)
+        return j.select(id_col, *keep, vec(F.col("_kv.term_index"),
+                                           F.transform(F.col("_kv._w"), lambda x: x / F.sqrt(F.col("_ss"))))
                         .alias(features_col))
 
 
@@ -118,14 +138,21 @@ def _to_sparse(size: int):
     return to_vec
 
 
+def term_stats(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_text", n_max: int = 2) -> DataFrame:
+    """(term, df, total_tf): per-(doc, term) counts are map-side combined, then
+    one shuffle by term whose partial aggregation caps hot terms at one row
+    per partition."""
+    tf = term_frequencies(df, id_col, clean_col, n_max, colocate=False)
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+
+
 def fit_tfidf(df: DataFrame, clean_col: str = "clean_text", id_col: str = "doc_id",
               max_features: int = 10000, n_max: int = 2, min_df: int = 2, max_df: float = 0.95) -> TfidfModel:
     """Fit on the given (training) rows.  Two small actions: the document
     count and the bounded vocabulary (<= max_features rows)."""
     spark: SparkSession = df.sparkSession
-    tf = term_frequencies(df, id_col, clean_col, n_max)
     n_docs = df.count()
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    stats = term_stats(df, id_col, clean_col, n_max)
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
     top = kept.orderBy(F.desc("total_tf"), "term").limit(max_features)
     if max_features > MAX_BROADCAST_VOCAB:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text
+from pyspark import StorageLevel
+
+from ..functions.text import with_clean
 from ..operators.sampling import stratified_split
 from ..sources.tables import labelled_corpus, read_table
 
@@ -18,12 +20,16 @@ CRED_SOURCES = {f"src{i}": i % 3 for i in range(18)}
 
 def cleaned_corpus(spark: SparkSession, d: str, scheme: str = "binary") -> DataFrame:
     """Labelled corpus + clean_text, empty texts dropped."""
-    c = labelled_corpus(spark, d, scheme).withColumn("clean_text", clean_text("text"))
-    return c.where(F.length("clean_text") > 0)
+    return with_clean(labelled_corpus(spark, d, scheme))
 
 
 def split_corpus(spark: SparkSession, d: str, test_pct: int = 20, val_pct: int = 10) -> DataFrame:
-    return stratified_split(cleaned_corpus(spark, d), "label_id", "doc_id", test_pct, val_pct, SEED)
+    """The exact split reads its input twice (cell counts, then ranks), and
+    the split corpus feeds the vocabulary fit and every transform: persist
+    the cleaned corpus once (memory, spilling to disk) instead of re-running
+    the regex chain per pass."""
+    c = cleaned_corpus(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    return stratified_split(c, "label_id", "doc_id", test_pct, val_pct, SEED)
 
 
 def credibility_dim(spark: SparkSession) -> DataFrame:

@@ -25,7 +25,7 @@ def features(spark, d, max_features: int = 10000):
     vec = tf.transform_vectors(s, keep=["label_id", "split"]).withColumn("label", F.col("label_id").cast("double"))
     train = vec.where(F.col("split") == "train")
     train = models.balanced_weights(train, "label_id", "weight")
-    train = sampling.kfold_assign(train, 3, "label_id", "doc_id", SEED).cache()
+    train, _ = models.training_layout(sampling.kfold_assign(train, 3, "label_id", "doc_id", SEED))
     test = vec.where(F.col("split") == "test")
     return tf, train, test
 
@@ -77,7 +77,8 @@ def q_grid(spark, d):
     cv = CrossValidator(estimator=nbm, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", parallelism=4).fit(train)
     rows += [("multinomial_naive_bayes", "alpha", a, float(s)) for a, s in zip(alphas, cv.avgMetrics)]
     k = train.select("label").distinct().count()
-    svc = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", standardization=False, maxIter=100)
+    svc = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", standardization=False,
+                    maxIter=100, tol=1e-4)
     est = svc if k == 2 else OneVsRest(classifier=svc, featuresCol="features", labelCol="label")
     cs = (0.01, 0.1, 1.0, 10.0)
     grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in cs]).build()

@@ -87,8 +87,7 @@ def run_baseline(spark: SparkSession, sf_dir: str, use_smote: bool = False, clas
         resampled = train.select("doc_id", "label_id", "features").unionByName(extra)
         train = models.balanced_weights(resampled.withColumn("label", F.col("label_id").cast("double")))
         train = sampling.kfold_assign(train, 3, "label_id", "doc_id", SEED)
-    train = train.cache()
-    n = train.count()
+    train, n = models.training_layout(train)
     test = vec.where(F.col("split") == "test").cache()
     fitted, times = {}, {}
     t0 = time.time(); fitted["logistic_regression"] = models.make_lr(n, weighted=class_weight).fit(train); times["logistic_regression"] = time.time() - t0

@@ -18,7 +18,7 @@ from ..functions.text import (assemble_statement, assemble_title_content, char_l
 from ..operators import bias, errors, metrics, nb, sampling
 from ..operators.encode import encode_fixed_length, token_vocabulary
 from ..operators.lemma import lemma_table, token_table
-from ..operators.tfidf import fit_tfidf, term_frequencies
+from ..operators.tfidf import fit_tfidf, term_frequencies, term_stats
 from ..sources.synthetic import generate_corpus
 from ..sources.tables import (RETURNFLAG_CLASSES, labelled_corpus, prediction_table_docs,
                               prediction_table_lineitem, read_table)
@@ -411,14 +411,14 @@ def q_log_loss(spark, d):
 @query("token_counts")
 def q_token_counts(spark, d):
     c = read_table(spark, d, "documents").select("doc_id", clean_text("text").alias("clean_text"))
-    tf = term_frequencies(c, "doc_id", "clean_text", n_max=1)
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("total_tf"))
+    st = term_stats(c, "doc_id", "clean_text", n_max=1)
+    return st.select("term", "df", F.col("total_tf").cast("long").alias("total_tf"))
 
 
 @query("bigrams")
 def q_bigrams(spark, d):
     c = read_table(spark, d, "documents").select("doc_id", clean_text("text").alias("clean_text"))
-    tf = term_frequencies(c, "doc_id", "clean_text", n_max=2).where(F.col("term").contains(" "))
+    tf = term_frequencies(c, "doc_id", "clean_text", n_max=2, colocate=False).where(F.col("term").contains(" "))
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("total_tf"))
 
 

@@ -3,7 +3,7 @@ from the same constants so Spark and the oracle cannot drift apart."""
 
 from __future__ import annotations
 
-from ..functions.text import HASHTAG_RE, HTML_RE, MENTION_RE, NON_LETTER_RE, URL_RE, WS, WS_RUN_RE
+from ..functions.text import HASHTAG_RE, HTML_RE, MENTION_RE, SEPARATOR_RUN_RE, URL_RE, WS, WS_RUN_RE
 
 
 def lit(s: str) -> str:
@@ -16,8 +16,7 @@ def clean(x: str) -> str:
     t = f"regexp_replace({t}, {lit(HTML_RE)}, '', 'g')"
     t = f"regexp_replace({t}, {lit(MENTION_RE)}, '', 'g')"
     t = f"regexp_replace({t}, {lit(HASHTAG_RE)}, '\\1', 'g')"
-    t = f"regexp_replace({t}, {lit(NON_LETTER_RE)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {lit(WS_RUN_RE)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {lit(SEPARATOR_RUN_RE)}, ' ', 'g')"
     return f"trim({t})"
 
 

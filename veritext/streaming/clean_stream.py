@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import NELA_3WAY, name_for_id
-from ..functions.text import char_length, clean_text, normalise_source_key, word_count
+from ..functions.text import char_length, normalise_source_key, with_clean, word_count
 from ..session import ensure_checkpoint_dir
 
 ARTICLE_SCHEMA = T.StructType([
@@ -26,9 +26,9 @@ ARTICLE_SCHEMA = T.StructType([
 def clean_stream(stream: DataFrame, dimension: DataFrame) -> DataFrame:
     keyed = stream.withColumn("source_key", normalise_source_key("source"))
     j = keyed.join(F.broadcast(dimension), "source_key")
-    out = j.select("doc_id", "source", "label_id", name_for_id("label_id", NELA_3WAY).alias("label"),
-                   clean_text("text").alias("clean_text"), char_length("text").alias("text_length"))
-    return out.where(F.length("clean_text") > 0).withColumn("word_count", word_count("clean_text"))
+    out = with_clean(j.select("doc_id", "source", "label_id", name_for_id("label_id", NELA_3WAY).alias("label"),
+                              "text", char_length("text").alias("text_length")))
+    return out.drop("text").withColumn("word_count", word_count("clean_text"))
 
 
 def start_clean_stream(spark: SparkSession, in_dir: str, out_dir: str, dimension: DataFrame,
