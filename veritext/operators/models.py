@@ -29,15 +29,20 @@ from . import metrics
 
 
 def training_layout(df: DataFrame, rows_per_partition: int = 20_000) -> tuple[DataFrame, int]:
-    """Persist an iterative-training set with a partition count sized to its
-    row count: every optimiser step is one job over all partitions, so tiny
-    sets run as one task and large sets spread over (at most) 4x the
-    cluster's parallelism.  Returns (persisted frame, row count)."""
+    """Checkpoint + persist an iterative-training set with a partition count
+    sized to its row count: every optimiser step is one job over all
+    partitions, so tiny sets run as one task and large sets spread over (at
+    most) 4x the cluster's parallelism.  The reliable checkpoint (shared
+    ``spark.checkpoint.dir``) cuts the text/TF-IDF lineage, so a lost
+    executor re-reads checkpoint files instead of re-cleaning the corpus.
+    Returns (persisted frame, row count)."""
     from pyspark import StorageLevel
+
+    from ..session import cut_lineage
     n = df.count()
     cap = max(1, df.sparkSession.sparkContext.defaultParallelism * 4)
     parts = max(1, min(cap, -(-n // rows_per_partition)))
-    out = df.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    out = cut_lineage(df.repartition(parts)).persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out, n
 
