@@ -15,11 +15,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_LOCAL_ROWS = 1_000_000
+
+
+def materialize_small(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
+    """Run an aggregate ONCE and hand back a local DataFrame of its rows, so
+    later self-joins/unions over it never rescan the source table.  Only for
+    results with a proven bound (models x k^2 count tables); above
+    ``max_rows`` it falls back to a persisted distributed frame."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        from pyspark import StorageLevel
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def confusion_counts(pred: DataFrame, true_col: str = "true_label", pred_col: str = "pred_label",
-                     group: list[str] | None = None) -> DataFrame:
+                     group: list[str] | None = None, materialize: bool = True) -> DataFrame:
+    """(group..., true_label, pred_label, n): the one data-sized step."""
     g = list(group or [])
-    return (pred.groupBy(*g, F.col(true_col).alias("true_label"), F.col(pred_col).alias("pred_label"))
-                .agg(F.count(F.lit(1)).alias("n")))
+    cnt = (pred.groupBy(*g, F.col(true_col).alias("true_label"), F.col(pred_col).alias("pred_label"))
+               .agg(F.count(F.lit(1)).alias("n")))
+    return materialize_small(cnt) if materialize else cnt
 
 
 def class_set(counts: DataFrame, group: list[str] | None = None) -> DataFrame:
