@@ -80,10 +80,11 @@ def tokens(clean_col, min_len: int = 1) -> Column:
 # cleaned text (e.g. "don't" -> "don", "t").
 def _default_stopwords() -> list[str]:
     import re
-    from pyspark.ml.feature import StopWordsRemover
+
+    from .stopwords import SPARK_ENGLISH_STOPWORDS
 
     out: set[str] = set()
-    for w in StopWordsRemover.loadDefaultStopWords("english"):
+    for w in SPARK_ENGLISH_STOPWORDS:
         for piece in re.sub(r"[^a-z\s]", " ", w.lower()).split():
             out.add(piece)
     return sorted(out)
