@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import split_clean
+
 PAD_ID, UNK_ID = 0, 1
 
 
 def token_vocabulary(df: DataFrame, clean_col: str = "clean_text", id_col: str = "doc_id",
                      max_vocab: int = 30000) -> DataFrame:
     """(token, token_id) for the ``max_vocab`` most frequent tokens (ties by token)."""
-    toks = df.select(F.explode(F.filter(F.split(F.col(clean_col), " "), lambda w: w != "")).alias("token"))
+    toks = df.select(F.explode(split_clean(clean_col)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("tf"))
     top = counts.orderBy(F.desc("tf"), "token").limit(max_vocab)
     # <= max_vocab rows: a single-partition window is bounded
@@ -28,8 +30,7 @@ def token_vocabulary(df: DataFrame, clean_col: str = "clean_text", id_col: str =
 
 def encode_fixed_length(df: DataFrame, vocab: DataFrame, clean_col: str = "clean_text",
                         id_col: str = "doc_id", max_length: int = 128) -> DataFrame:
-    toks = F.filter(F.split(F.col(clean_col), " "), lambda w: w != "")
-    base = df.select(id_col, toks.alias("_t"))
+    base = df.select(id_col, split_clean(clean_col).alias("_t"))
     ex = base.select(id_col, F.size("_t").alias("n_tokens"),
                      F.posexplode_outer(F.slice("_t", 1, max_length)).alias("pos", "token"))
     j = ex.join(F.broadcast(vocab), "token", "left")

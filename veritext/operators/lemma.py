@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import split_clean
+
 # Noun detachment rules (suffix, replacement) in order.
 NOUN_RULES = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
               ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")]
@@ -29,9 +31,9 @@ IRREGULAR = {
 
 def token_table(df: DataFrame, clean_col: str = "clean_text", id_col: str = "doc_id") -> DataFrame:
     """(token, df): document frequency of every token of a cleaned text."""
-    toks = df.select(id_col, F.explode(F.array_distinct(
-        F.filter(F.split(F.col(clean_col), " "), lambda w: w != ""))).alias("token"))
-    return toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    toks = df.select(id_col, F.explode(split_clean(clean_col)).alias("token"))
+    per_doc = toks.distinct()  # distinct (doc, token): map-side combined hash aggregate
+    return per_doc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def lemma_table(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token") -> DataFrame:
