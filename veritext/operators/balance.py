@@ -7,66 +7,72 @@ c drawn with replacement, nn one of x's k nearest same-class neighbours and
 lam ~ U(0, 1).  All draws are ``hash_key(seed, ...)`` of (class, i), so the
 result does not depend on partitioning.
 
-Exact neighbours without emitting pairs: only the distinct base rows that
-were drawn are queried.  The class's reference rows are broadcast in
-chunks whose byte size is checked (``chunk_bytes``); a ``mapInPandas`` pass
-over the query rows computes distances to one chunk with numpy and keeps a
-top-k per query; chunk results merge with one aggregation keyed by query.
-No task ever holds more than one chunk plus one Arrow batch, and exact
-duplicates are resolved by the (distance, id) order.
+Exact neighbours without emitting pairs and without the driver: only the
+distinct base rows that were drawn are queried.  Per group, queries and
+reference rows are cut into hash blocks whose byte size is bounded
+(``chunk_bytes``); every (query block, reference block) cell is one
+``cogroup().applyInPandas`` group that computes distances with numpy and
+keeps a top-k per query; the per-cell lists merge with a window limited to
+k rows per query (planned as a partial ``WindowGroupLimit`` before the
+shuffle).  A hot class becomes many cells, never one task, and no row passes
+through the driver.  Exact duplicates are resolved by the (distance, id)
+order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key, unit_hash
 from .sampling import exact_rank
 
-DEFAULT_CHUNK_BYTES = 128 * 1024 * 1024
-
-
-def _knn_chunk(spark, queries: DataFrame, ref_ids: np.ndarray, ref_grp: np.ndarray, ref_x: np.ndarray,
-               k: int) -> DataFrame:
-    bc = spark.sparkContext.broadcast((ref_ids, ref_grp, ref_x))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rid_all, rgrp_all, rx_all = bc.value
-        by_grp = {g: np.flatnonzero(rgrp_all == g) for g in np.unique(rgrp_all)}
-        for pdf in batches:
-            rows = []
-            for g, sub in pdf.groupby("grp", sort=False):
-                sel = by_grp.get(g)
-                if sel is None or len(sel) == 0:
-                    continue
-                rid, rx = rid_all[sel], rx_all[sel]
-                rn = (rx * rx).sum(axis=1)
-                q = np.stack([np.asarray(v, dtype=np.float64) for v in sub["vec"]])
-                qid = sub["qid"].to_numpy()
-                d2 = np.maximum((q * q).sum(axis=1)[:, None] + rn[None, :] - 2.0 * q @ rx.T, 0.0)
-                d2[qid[:, None] == rid[None, :]] = np.inf          # never your own neighbour
-                # a few spare candidates absorb rounding of the expanded form;
-                # the final order uses exact distances
-                kk = min(k + 8, rx.shape[0])
-                part = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < rx.shape[0] else \
-                    np.tile(np.arange(rx.shape[0]), (len(q), 1))
-                for r in range(len(q)):
-                    cand = part[r]
-                    ok = np.isfinite(d2[r, cand])
-                    cand = cand[ok]
-                    diff = rx[cand] - q[r]
-                    dist = np.sqrt((diff * diff).sum(axis=1))
-                    best = sorted(zip(rid[cand].tolist(), dist.tolist()), key=lambda t: (t[1], t[0]))[:k]
-                    rows.extend((int(qid[r]), int(c), float(dd)) for c, dd in best)
-            if rows:
-                yield pd.DataFrame(rows, columns=["qid", "nid", "dist"])
-
-    return queries.mapInPandas(run, "qid long, nid long, dist double")
+DEFAULT_CHUNK_BYTES = 32 * 1024 * 1024  # per side of one block cell
+
+
+def _top_k_cell(k: int, work_bytes: int = 64 * 1024 * 1024):
+    """Cell function: (queries, reference rows) of one block pair -> the k
+    nearest reference rows of every query (self excluded)."""
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
+                              "dist": pd.Series([], dtype="float64")})
+        if len(q) == 0 or len(r) == 0:
+            return empty
+        rid = r["rid"].to_numpy(dtype=np.int64)
+        rx = np.stack([np.asarray(v, dtype=np.float64) for v in r["vec"]])
+        rn = (rx * rx).sum(axis=1)
+        qid_all = q["qid"].to_numpy(dtype=np.int64)
+        qx_all = np.stack([np.asarray(v, dtype=np.float64) for v in q["vec"]])
+        step = max(1, work_bytes // (8 * len(rid)))  # bounds the distance matrix
+        out_q, out_n, out_d = [], [], []
+        for lo in range(0, len(qid_all), step):
+            qid, qx = qid_all[lo:lo + step], qx_all[lo:lo + step]
+            d2 = np.maximum((qx * qx).sum(axis=1)[:, None] + rn[None, :] - 2.0 * qx @ rx.T, 0.0)
+            d2[qid[:, None] == rid[None, :]] = np.inf          # never your own neighbour
+            # a few spare candidates absorb rounding of the expanded form;
+            # the final order uses exact distances
+            kk = min(k + 8, rx.shape[0])
+            cand_all = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < rx.shape[0] else \
+                np.tile(np.arange(rx.shape[0]), (len(qid), 1))
+            for i in range(len(qid)):
+                cand = cand_all[i][np.isfinite(d2[i, cand_all[i]])]
+                diff = rx[cand] - qx[i]
+                dist = np.sqrt((diff * diff).sum(axis=1))
+                order = np.lexsort((rid[cand], dist))[:k]
+                out_q.extend([int(qid[i])] * len(order))
+                out_n.extend(rid[cand][order].tolist())
+                out_d.extend(dist[order].tolist())
+        if not out_q:
+            return empty
+        return pd.DataFrame({"qid": np.array(out_q, dtype=np.int64), "nid": np.array(out_n, dtype=np.int64),
+                             "dist": np.array(out_d, dtype=np.float64)})
+
+    return run
 
 
 def knn_within(queries: DataFrame, reference: DataFrame, k: int = 5, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
@@ -74,38 +80,39 @@ def knn_within(queries: DataFrame, reference: DataFrame, k: int = 5, chunk_bytes
     """Exact k nearest neighbours (Euclidean, ties by id) of each query row
     among the ``reference`` rows of the same group, excluding itself.
     queries: (qid, grp, vec); reference: (rid, grp, vec).
-    Returns (qid, slot 0..k-1, nid, dist)."""
-    spark = queries.sparkSession
-    stats = reference.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    n_ref = int(stats["n"])
-    if n_ref == 0:
-        return spark.createDataFrame([], "qid long, slot int, nid long, dist double")
-    dim = dim or int(stats["dim"] or 1)
-    rows_per_chunk = max(1, chunk_bytes // (8 * (dim + 2)))
-    n_chunks = (n_ref + rows_per_chunk - 1) // rows_per_chunk
-    if n_chunks == 1:
-        order = reference.withColumn("_rank", F.lit(0))
-    else:
-        order = exact_rank(reference.withColumn("_all", F.lit(0)), ["_all"], "rid", size_col=None).drop("_all")
-    parts = []
-    for ci in range(n_chunks):
-        piece = order.where((F.col("_rank") >= ci * rows_per_chunk) & (F.col("_rank") < (ci + 1) * rows_per_chunk))
-        data = piece.select("rid", "grp", "vec").collect()  # <= chunk_bytes, checked above
-        ids = np.array([r[0] for r in data], dtype=np.int64)
-        grp = np.array([r[1] for r in data])
-        x = np.array([r[2] for r in data], dtype=np.float64).reshape(len(data), -1)
-        parts.append(_knn_chunk(spark, queries, ids, grp, x, k))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    if n_chunks > 1:
-        # merge per-chunk top-k lists: one aggregation keyed by query
-        top = allp.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nid"))), 1, k).alias("_t"))
-        return top.select("qid", F.posexplode("_t").alias("slot", "_e")).select(
-            "qid", F.col("slot").cast("int").alias("slot"), F.col("_e.nid").alias("nid"), F.col("_e.dist").alias("dist"))
+    Returns (qid, slot 0..k-1, nid, dist).
+
+    Blocks per group: ``rb = ceil(n_ref * row_bytes / chunk_bytes)`` and
+    ``qb`` likewise for the queries; a query row is replicated to the ``rb``
+    reference blocks of its group and a reference row to the ``qb`` query
+    blocks, so every cell holds at most ~``chunk_bytes`` per side."""
     from pyspark.sql import Window
-    w = Window.partitionBy("qid").orderBy("dist", "nid")  # <= k rows per query
-    return allp.withColumn("slot", (F.row_number().over(w) - 1).cast("int")).select("qid", "slot", "nid", "dist")
+    row_bytes = F.lit(8) * (F.col("_dim") + F.lit(2)) if dim is None else F.lit(8 * (dim + 2))
+    per_block = F.greatest(F.lit(1), F.floor(F.lit(chunk_bytes) / row_bytes))
+    sizes = (reference.groupBy("grp").agg(F.count(F.lit(1)).alias("_nr"), F.max(F.size("vec")).alias("_dim"))
+             .join(queries.groupBy("grp").agg(F.count(F.lit(1)).alias("_nq")), "grp")
+             .select("grp",
+                     F.greatest(F.lit(1), F.ceil(F.col("_nr") / per_block)).cast("int").alias("_rb"),
+                     F.greatest(F.lit(1), F.ceil(F.col("_nq") / per_block)).cast("int").alias("_qb")))
+    # one row per group: no hint, AQE broadcasts it after measuring its
+    # runtime size (autoBroadcastJoinThreshold), else it stays a shuffle join
+    sz = sizes
+    q = (queries.join(sz, "grp")
+                .withColumn("qblk", F.pmod(F.xxhash64("qid"), F.col("_qb")).cast("int"))
+                .withColumn("rblk", F.explode(F.sequence(F.lit(0), F.col("_rb") - 1)))
+                .select(*[F.col(c).alias(c) for c in ("grp", "qblk", "rblk", "qid", "vec")]))
+    r = (reference.join(sz, "grp")
+                  .withColumn("rblk", F.pmod(F.xxhash64("rid"), F.col("_rb")).cast("int"))
+                  .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)))
+                  .select(*[F.col(c).alias(c) for c in ("grp", "qblk", "rblk", "rid", "vec")]))
+    # fresh aliases: both sides may descend from one table (self-join)
+    keys = ["grp", "qblk", "rblk"]
+    cells = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(
+        _top_k_cell(k), "qid long, nid long, dist double")
+    w = Window.partitionBy("qid").orderBy("dist", "nid")  # <= k rows kept per query
+    # filter on the rank itself so Spark infers a partial WindowGroupLimit
+    return (cells.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+                 .select("qid", (F.col("_rn") - 1).cast("int").alias("slot"), "nid", "dist"))
 
 
 def smote(df: DataFrame, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding",
@@ -119,7 +126,9 @@ def smote(df: DataFrame, id_col: str = "vec_id", label_col: str = "label", vec_c
     if not counts:
         return spark.createDataFrame([], "label int, syn_idx long, base_id long, nn_id long, lam double, vec array<double>")
     target = max(counts.values())
-    ranked = exact_rank(base, ["label"], "rid", seed, size_col=None)
+    # read by the base draw, the neighbour search and the neighbour look-up:
+    # rank once (one shuffle), keep it on the executors
+    ranked = exact_rank(base, ["label"], "rid", seed, size_col=None).persist(StorageLevel.MEMORY_AND_DISK)
     syns = []
     for lab, n_c in sorted(counts.items()):
         deficit = target - n_c

@@ -44,13 +44,19 @@ def get_spark(master: str | None = None, partitions: int | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) point it at a fresh scratch folder."""
+    under a local master (tests, bench) point it at a fresh scratch folder.
+    Non-local masters without the setting fail instead of checkpointing to
+    a machine-local disk."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        # a machine-local folder would vanish with its executor: on a cluster
+        # the shared checkpoint folder must come from the session's config
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/...)")
     path = tempfile.mkdtemp(prefix="veritext-ckpt-")
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
