@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-MAX_LOCAL_ROWS = 1_000_000
+MAX_LOCAL_ROWS = 100_000
 
 
 def materialize_small(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:

@@ -10,11 +10,15 @@ documents, drop df > max_df * n_docs, then the ``max_features`` terms with
 the highest raw corpus count, ties by term), sublinear tf ``1 + ln(tf)``,
 smooth idf ``ln((1 + n) / (1 + df)) + 1``, L2-normalised rows.
 
-Scale: term counts are computed *inside each row* (sort + run-length on the
-token array), so producing (doc, term, tf) needs no shuffle.  The vocabulary
-statistics are one map-side-combined ``groupBy(term)``; the fitted
-vocabulary is bounded by ``max_features`` and is the only thing broadcast.
-Row normalisation is one shuffle keyed by doc_id.
+Scale: the vocabulary statistics (df, total_tf) need no (doc, term) rows
+at all: each document's term array is sorted inside its row, so a term's
+first occurrence in the sorted array marks its document-frequency
+contribution; one map-side-combined ``groupBy(term)`` then yields both
+counts (a hot term costs one row per partition, one shuffle keyed by term).
+Per-document tf (for weights and vectors) is ``groupBy(doc, term)`` on
+documents hash-partitioned by doc_id once; the norm window and the vector
+assembly reuse that partitioning.  The fitted vocabulary is bounded by
+``max_features`` and is the only thing broadcast.
 """
 
 from __future__ import annotations
@@ -28,44 +32,38 @@ from pyspark.sql import types as T
 MAX_BROADCAST_VOCAB = 2_000_000
 
 
-def terms_expr(clean_col: str = "clean_text", n_max: int = 2, min_len: int = 2) -> F.Column:
-    """Array of unigrams (>= min_len letters) followed by 2..n_max-grams
-    (higher-order-function form; used where one array per row is wanted)."""
-    toks = f"filter(split({clean_col}, ' '), w -> length(w) >= {min_len})"
-    parts = [toks]
-    for n in range(2, n_max + 1):
-        joined = " || ' ' || ".join(f"_t[i + {j}]" for j in range(n))
-        parts.append(
-            f"CASE WHEN size(_t) >= {n} THEN transform(sequence(0, size(_t) - {n}), i -> {joined}) "
-            f"ELSE array() END")
-    if len(parts) == 1:
-        return F.expr(toks)
-    body = ", ".join(parts[1:])
-    return F.expr(f"aggregate(array({toks}), cast(array() as array<string>), (acc, _t) -> concat(_t, {body}))")
+def token_string(clean_col: str = "clean_text") -> F.Column:
+    """Cleaned text (single-spaced [a-z ]) without its one-letter words: one
+    regex (codegen)."""
+    padded = F.concat(F.lit(" "), F.col(clean_col), F.lit(" "))
+    return F.trim(F.regexp_replace(padded, " (?:[a-z] )+", " "))
 
 
 def token_array(clean_col: str = "clean_text") -> F.Column:
-    """Tokens of >= 2 letters of a cleaned text (single-spaced [a-z ]): the
-    one-letter words are removed by one regex (codegen), then split."""
-    padded = F.concat(F.lit(" "), F.col(clean_col), F.lit(" "))
-    return F.split(F.trim(F.regexp_replace(padded, " (?:[a-z] )+", " ")), " ")
+    """Tokens of >= 2 letters of a cleaned text."""
+    return F.split(token_string(clean_col), " ")
+
+
+def gram_array(clean_col: str = "clean_text", n_max: int = 2) -> F.Column:
+    """All 1..n_max-grams of a row as one array (built-in functions only).
+    An n-gram starts at every token start: a zero-width match (start of
+    string or after a space) whose look-ahead captures n tokens."""
+    s = token_string(clean_col)
+    parts = [F.split(s, " ")]
+    for n in range(2, n_max + 1):
+        pattern = "(?<![^ ])(?=([^ ]+" + "(?: [^ ]+)" * (n - 1) + "))"
+        parts.append(F.regexp_extract_all(s, F.lit(pattern), F.lit(1)))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def exploded_terms(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_text", n_max: int = 2,
                    keep: list[str] | None = None) -> DataFrame:
-    """One row per term occurrence: (id, keep..., term).  n-grams are built
-    from the token position with ``element_at`` (all codegen, no lambdas)."""
+    """One row per term occurrence: (id, keep..., term).  The generator reads
+    one per-row gram array and emits only the term (the array is never
+    copied into the output rows)."""
     keep = list(keep or [])
-    t = df.select(id_col, *keep, token_array(clean_col).alias("_t"))
-    if n_max == 1:
-        return t.select(id_col, *keep, F.explode("_t").alias("term")).where(F.col("term") != "")
-    pe = t.select(id_col, *keep, "_t", F.posexplode("_t").alias("_i", "_w"))
-    grams = [F.col("_w")]
-    for n in range(2, n_max + 1):
-        parts = [F.col("_w")] + [F.element_at("_t", F.col("_i") + 1 + j) for j in range(1, n)]
-        grams.append(F.when(F.col("_i") + n <= F.size("_t"), F.concat_ws(" ", *parts)))
-    return (pe.select(id_col, *keep, F.explode(F.array(*grams)).alias("term"))
-              .where(F.col("term").isNotNull() & (F.col("term") != "")))
+    return (df.select(id_col, *keep, F.explode(gram_array(clean_col, n_max)).alias("term"))
+              .where(F.col("term") != ""))
 
 
 def term_frequencies(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_text",
@@ -139,11 +137,22 @@ def _to_sparse(size: int):
 
 
 def term_stats(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_text", n_max: int = 2) -> DataFrame:
-    """(term, df, total_tf): per-(doc, term) counts are map-side combined, then
-    one shuffle by term whose partial aggregation caps hot terms at one row
-    per partition."""
-    tf = term_frequencies(df, id_col, clean_col, n_max, colocate=False)
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    """(term, df, total_tf) without any (doc, term) shuffle: sort each row's
+    term array, flag the first element of every run (that is the row's one
+    document-frequency contribution), explode, and aggregate by term.  The
+    partial aggregation caps a hot term at one row per partition before the
+    single shuffle keyed by term.  Correct for any input row that is one
+    document (``id_col`` unique)."""
+    srt = df.select(F.array_sort(gram_array(clean_col, n_max)).alias("_s"))
+    # pair every element with its predecessor (the array shifted by one) so
+    # the generator emits (term, prev) and never carries the array itself
+    prev = F.concat(F.array(F.lit(None).cast("string")),
+                    F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0))))
+    ex = (srt.select(F.inline(F.arrays_zip(F.col("_s").alias("term"), prev.alias("prev"))))
+             .where(F.col("term") != ""))
+    first = F.col("prev").isNull() | (F.col("prev") != F.col("term"))
+    return (ex.groupBy("term")
+              .agg(F.sum(first.cast("long")).alias("df"), F.count(F.lit(1)).alias("total_tf")))
 
 
 def fit_tfidf(df: DataFrame, clean_col: str = "clean_text", id_col: str = "doc_id",

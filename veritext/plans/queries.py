@@ -418,8 +418,8 @@ def q_token_counts(spark, d):
 @query("bigrams")
 def q_bigrams(spark, d):
     c = read_table(spark, d, "documents").select("doc_id", clean_text("text").alias("clean_text"))
-    tf = term_frequencies(c, "doc_id", "clean_text", n_max=2, colocate=False).where(F.col("term").contains(" "))
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("total_tf"))
+    st = term_stats(c, "doc_id", "clean_text", n_max=2).where(F.col("term").contains(" "))
+    return st.select("term", "df", F.col("total_tf").cast("long").alias("total_tf"))
 
 
 def _fitted(spark, d):

@@ -9,8 +9,28 @@ from pyspark.sql import functions as F
 from ..functions.labels import BINARY_NAMES, name_for_id
 
 
+# Row keys of the tables whose per-row work is CPU-heavy (regex cleaning,
+# tokenising, distance evaluation).
+SPREAD_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"],
+               "benchmark": ["item_id"], "embeddings": ["vec_id"]}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    keys = SPREAD_KEYS.get(name)
+    return spread(df, keys) if keys else df
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Give CPU-heavy per-row work every core.  A scan with at least as many
+    splits as the cluster has cores (any large table) is returned untouched:
+    no extra shuffle.  A thin scan (few files / row groups) is hash-
+    partitioned by its row key (deterministic under task retries) so the
+    regex and tokenising work does not run in a handful of tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str, scheme: str = "binary") -> DataFrame:
