@@ -31,9 +31,10 @@ IRREGULAR = {
 
 def token_table(df: DataFrame, clean_col: str = "clean_text", id_col: str = "doc_id") -> DataFrame:
     """(token, df): document frequency of every token of a cleaned text."""
-    toks = df.select(id_col, F.explode(split_clean(clean_col)).alias("token"))
-    per_doc = toks.distinct()  # distinct (doc, token): map-side combined hash aggregate
-    return per_doc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # one row = one document: the per-document distinct happens inside the
+    # row (array_distinct), so only the token-keyed count is shuffled
+    toks = df.select(F.explode(F.array_distinct(split_clean(clean_col))).alias("token"))
+    return toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def lemma_table(tokens: DataFrame, lexicon: DataFrame, token_col: str = "token") -> DataFrame:

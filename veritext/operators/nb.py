@@ -27,9 +27,8 @@ def nb_fit(train_long: DataFrame, train_docs: DataFrame, vocab: DataFrame, label
     ``train_docs`` = all training rows (id, label) incl. rows without terms;
     ``train_long`` = (id, label, term, weight)."""
     cnt = train_docs.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
-    tot = cnt.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    n, k = int(tot["n"]), int(tot["k"])
-    rows = cnt.collect()  # k rows
+    rows = cnt.collect()  # k rows, one job
+    n, k = sum(int(r["n_c"]) for r in rows), len(rows)
     if balanced:
         w = {r[label_col]: n / (k * r["n_c"]) for r in rows}
     else:

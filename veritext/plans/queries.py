@@ -442,17 +442,20 @@ def q_tfidf(spark, d):
 
 def _nb(spark, d, alpha=1.0):
     s, m = _fitted(spark, d)
-    long = m.transform_long(s, keep=["label_id", "split"])
-    tr = long.where(F.col("split") == "train")
-    theta, prior = nb.nb_fit(tr, s.where(F.col("split") == "train"), m.vocab, alpha=alpha)
-    return s, long, theta, prior
+    # transform each split on its own rows: a split filter cannot pass the
+    # per-document norm window, so filtering one shared transform would
+    # weight every row once per consumer
+    train = s.where(F.col("split") == "train")
+    tr = m.transform_long(train, keep=["label_id"])
+    theta, prior = nb.nb_fit(tr, train, m.vocab, alpha=alpha)
+    return s, m, theta, prior
 
 
 @query("nb_predict")
 def q_nb_predict(spark, d):
-    s, long, theta, prior = _nb(spark, d)
+    s, m, theta, prior = _nb(spark, d)
     test = s.where(F.col("split") == "test")
-    p = nb.nb_predict(long.where(F.col("split") == "test"), test, theta, prior)
+    p = nb.nb_predict(m.transform_long(test), test, theta, prior)
     return test.select("doc_id", F.col("label_id").alias("true_id")).join(p.select("doc_id", "pred_id"), "doc_id")
 
 
