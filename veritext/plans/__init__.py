@@ -1,2 +1,2 @@
 """Composite plans: the registered queries, their SQL oracles, and the
-end-to-end pipelines."""
+end-to-end flows."""

@@ -123,7 +123,7 @@ def q_smote(spark, d):
 def q_baseline(spark, d):
     """LR, NB and calibrated SVM trained on the split corpus and evaluated
     in one aggregation (train_time is wall clock -> rows-only check)."""
-    from .pipeline import run_baseline
+    from .flows import run_baseline
     m = run_baseline(spark, d)["metrics"]
     return m.select("model", *[F.round(F.col(c), 6).alias(c) for c in metrics.METRIC_NAMES], "train_time")
 
@@ -131,6 +131,6 @@ def q_baseline(spark, d):
 @query("transformer_arm_encode")
 def q_transformer_arm(spark, d):
     """C9 data flow: raw-text 70/15/15 split, capped train, fixed-length ids."""
-    from .pipeline import run_transformer_arm
+    from .flows import run_transformer_arm
     out = run_transformer_arm(spark, d)
     return out["encoded"].join(out["split"], "doc_id")

@@ -481,7 +481,7 @@ def q_gap(spark, d):
 
 @query("generalization_gap_bidirectional")
 def q_gap_bi(spark, d):
-    from .pipeline import run_bidirectional
+    from .flows import run_bidirectional
     return run_bidirectional(spark, d)
 
 
