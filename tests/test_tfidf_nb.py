@@ -88,3 +88,43 @@ def test_sql_nb_matches_mllib(spark):
     th = ml.theta.toArray()
     for r in theta.collect():
         assert th[r.label_id, idx[r.term]] == pytest.approx(r.theta, abs=1e-9)
+
+
+EDGE = [(1, ""), (2, "x"), (3, "a b c"), (4, "word"), (5, "aa b aa aa b cc aa"), (6, "x yy x zz yy x yy zz"),
+        (7, "the cat sat on the mat the cat"), (8, "aa aa aa aa")]
+
+
+def _grams(text, n_max):
+    toks = [w for w in text.split(" ") if len(w) >= 2]
+    out = list(toks)
+    for n in range(2, n_max + 1):
+        out += [" ".join(toks[i:i + n]) for i in range(len(toks) - n + 1)]
+    return out
+
+
+@pytest.mark.parametrize("n_max", [1, 2, 3])
+def test_gram_array_and_term_stats_match_bruteforce(spark, n_max):
+    """Sorted-array document frequencies (no doc-term shuffle) equal a
+    brute-force count, and the per-row gram array equals the n-gram list."""
+    from veritext.operators.tfidf import gram_array, term_stats
+    df = spark.createDataFrame(EDGE, "doc_id long, clean_text string")
+    arrs = {r.doc_id: [t for t in r.g if t != ""] for r in df.select("doc_id", gram_array("clean_text", n_max).alias("g")).collect()}
+    for d, t in EDGE:
+        assert sorted(arrs[d]) == sorted(_grams(t, n_max))
+    want_df, want_tf = Counter(), Counter()
+    for _, t in EDGE:
+        g = _grams(t, n_max)
+        want_tf.update(g)
+        want_df.update(set(g))
+    got = {r.term: (r.df, r.total_tf) for r in term_stats(df.repartition(3), n_max=n_max).collect()}
+    assert got == {t: (want_df[t], want_tf[t]) for t in want_tf}
+
+
+def test_token_table_document_frequency(spark):
+    from veritext.operators.lemma import token_table
+    df = spark.createDataFrame(EDGE, "doc_id long, clean_text string")
+    want = Counter()
+    for _, t in EDGE:
+        want.update(set(w for w in t.split(" ") if w))
+    got = {r.token: r.df for r in token_table(df).collect()}
+    assert got == dict(want)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,7 +136,9 @@ def q_stopword(spark, d):
 @query("lemma_map")
 def q_lemma_map(spark, d):
     c = read_table(spark, d, "documents").select("doc_id", clean_text("text").alias("clean_text"))
-    toks = token_table(c)
+    # the distinct-token table (grows with the vocabulary, not the corpus)
+    # feeds the candidates, the lexicon and the final join: clean once
+    toks = token_table(c).persist(StorageLevel.MEMORY_AND_DISK)
     lex = toks.where(F.col("df") >= 2).select("token")
     return lemma_table(toks.select("token"), lex)
 
