@@ -20,13 +20,17 @@ from .queries import query
 def features(spark, d, max_features: int = 10000):
     """Split corpus -> TF-IDF fitted on train -> vectors for every row, with
     balanced weights and stratified folds on the training rows."""
-    s = split_corpus(spark, d).cache()  # reused by the vocabulary fit and both transforms
-    tf = fit_tfidf(s.where(F.col("split") == "train"), max_features=max_features)
-    vec = tf.transform_vectors(s, keep=["label_id", "split"]).withColumn("label", F.col("label_id").cast("double"))
-    train = vec.where(F.col("split") == "train")
+    s = split_corpus(spark, d).cache()  # reused by the vocabulary fit, the folds and both transforms
+    rows = s.where(F.col("split") == "train")
+    tf = fit_tfidf(rows, max_features=max_features)
+    # folds depend only on (label, id): rank the cached rows, not the vectors
+    folded = sampling.kfold_assign(rows, 3, "label_id", "doc_id", SEED)
+    train = tf.transform_vectors(folded, keep=["label_id", "split", "fold"]) \
+        .withColumn("label", F.col("label_id").cast("double"))
     train = models.balanced_weights(train, "label_id", "weight")
-    train, _ = models.training_layout(sampling.kfold_assign(train, 3, "label_id", "doc_id", SEED))
-    test = vec.where(F.col("split") == "test")
+    train, _ = models.training_layout(train)
+    test = tf.transform_vectors(s.where(F.col("split") == "test"), keep=["label_id", "split"]) \
+        .withColumn("label", F.col("label_id").cast("double"))
     return tf, train, test
 
 
