@@ -92,7 +92,7 @@ def error_samples(pred: DataFrame, order_cols: list[str], n: int = 5, true_col:
 
 def histogram(df: DataFrame, value_col: str, group: list[str], bins: int = 30) -> DataFrame:
     """Equal-width density histogram per group over the group's own min..max
-    (A17).  Two passes: a min/max aggregate (one row per group, broadcast
+    (A17).  Two passes: a min/max aggregate (one row per group, joined
     back) and a count per (group, bin).  Last bin is closed; a degenerate
     range uses [v-0.5, v+0.5]."""
     rng = df.groupBy(*group).agg(F.min(value_col).cast("double").alias("_lo"),
@@ -103,7 +103,9 @@ def histogram(df: DataFrame, value_col: str, group: list[str], bins: int = 30) -
               .withColumn("_w", (F.col("_hi2") - F.col("_lo2")) / bins))
     x = F.col(value_col).cast("double")
     b = F.least(F.lit(bins - 1), F.floor((x - F.col("_lo2")) / F.col("_w")).cast("int"))
-    counted = (df.join(F.broadcast(rng), group)
+    # one row per group; the groups are the caller's, so no hint: AQE
+    # broadcasts the range table after measuring it, else it stays a shuffle
+    counted = (df.join(rng, group)
                  .groupBy(*group, b.alias("bin"), "_lo2", "_w", "_n")
                  .agg(F.count(F.lit(1)).alias("count")))
     return counted.select(*group, "bin",
