@@ -6,8 +6,9 @@ F[c, t] = sum over training docs d of class c of w_c * x[d, t],
 log prior = ln(sum_{d in c} w_c / sum_d w_d) (uniform under balanced weights).
 
 The parameter table has k * V rows (V <= max_features): broadcast.  Scoring
-is one join + one aggregation keyed by doc_id (a single shuffle: the union
-is repartitioned by doc_id, which both aggregations then reuse).
+is one broadcast join + a (doc, class) sum that is combined map-side, so
+only docs x k rows are shuffled; the union with the all-classes rows is
+repartitioned by doc_id, which both final aggregations reuse.
 """
 
 from __future__ import annotations
@@ -57,8 +58,10 @@ def nb_predict(test_long: DataFrame, test_docs: DataFrame, theta: DataFrame, pri
     """Arg-max of log prior + sum_t x[d,t] * theta[c,t]; first maximum wins
     (smallest class id), matching numpy ``argmax``.  Returns (id, pred_id, score)."""
     th = F.broadcast(theta.select(F.col(label_col).alias("_c"), "term", "theta"))
+    # sum per (doc, class) before anything is shuffled: the partial
+    # aggregation turns terms x k rows into docs x k rows map-side
     contrib = (test_long.select(id_col, "term", "weight").join(th, "term")
-                        .select(id_col, "_c", (F.col("weight") * F.col("theta")).alias("_s")))
+                        .groupBy(id_col, "_c").agg(F.sum(F.col("weight") * F.col("theta")).alias("_s")))
     pr = prior.select(F.col(label_col).alias("_c"), "log_prior")
     classes = [r[0] for r in prior.select(label_col).collect()]  # k values
     base = test_docs.select(id_col, F.explode(F.array(*[F.lit(int(c)) for c in classes])).alias("_c"),
