@@ -9,6 +9,7 @@ rows and the whole target corpus are scored in ONE transform with a
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ from .common import SEED, cleaned_corpus
 
 def _domains(spark: SparkSession, d: str, source_lang: str | None = "en", pivot_lang: str = "en"):
     """source_lang=None means 'every language except pivot_lang' (reverse direction)."""
-    c = harmonise_binary(cleaned_corpus(spark, d), "binary")
+    # source split, target transform, prediction base and truth table all
+    # read the cleaned corpus: run the regex chain once
+    c = harmonise_binary(cleaned_corpus(spark, d), "binary").persist(StorageLevel.MEMORY_AND_DISK)
     is_pivot = F.col("lang") == pivot_lang
     src, tgt = (c.where(is_pivot), c.where(~is_pivot)) if source_lang else (c.where(~is_pivot), c.where(is_pivot))
     s = sampling.stratified_split(src, "label_id", "doc_id", 20, 0, SEED).cache()
