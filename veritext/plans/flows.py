@@ -133,6 +133,10 @@ def run_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+# The whitespace class of the raw-token arm (ASCII whitespace).
+RAW_WS_RUN = r"[ \t\n\x0B\f\r]+"
+
+
 def run_transformer_arm(spark: SparkSession, sf_dir: str, max_train: int | None = 2000,
                         max_length: int = 128) -> dict[str, DataFrame]:
     """C9 data flow: RAW text (lower-cased tokens, no cleaning rules), exact
@@ -144,7 +148,8 @@ def run_transformer_arm(spark: SparkSession, sf_dir: str, max_train: int | None
     if max_train:
         train = sampling.hash_sample(train, max_train, "doc_id", SEED)
     rest = s.where(F.col("split") != "train")
-    used = train.unionByName(rest).withColumn("clean_text", F.regexp_replace("raw_tokens_text", r"\s+", " "))
+    # Java's \s spelled out, so the SQL oracle's regex means the same
+    used = train.unionByName(rest).withColumn("clean_text", F.regexp_replace("raw_tokens_text", RAW_WS_RUN, " "))
     vocab = token_vocabulary(used.where(F.col("split") == "train"), max_vocab=30000)
     enc = encode_fixed_length(used, vocab, max_length=max_length)
     return {"split": s.select("doc_id", "label_id", "split"), "encoded": enc,

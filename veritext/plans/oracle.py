@@ -7,6 +7,7 @@ from ..functions.text import WS
 from ..operators.lemma import IRREGULAR, NOUN_RULES
 from ..sources.synthetic import CATEGORIES, PREFIXES, SUFFIXES, TEMPLATES
 from .common import CRED_SOURCES
+from .flows import RAW_WS_RUN
 from .queries import KEYWORD_RE, POLITICAL_SUBREDDITS
 from .sqlfrag import (CORPUS, char_length, clean, hkey, lit, metrics_ctes, nb_ctes, nb_predict_ctes, r6,
                       split_cte, strip_ws, terms_cte, tfidf_ctes, word_count)
@@ -381,3 +382,25 @@ def all_sql() -> dict[str, str]:
     out["stopword_filter"] = _stopword_query()
     out["lemma_map"] = _lemma_query()
     return out
+
+
+# C9 data flow: raw lower-cased text, exact 70/15/15 split, train capped by
+# the exact hash sample (2000), vocabulary from the used train rows, ids
+# truncated to 128 and padded; tokens are split on single spaces after the
+# whitespace runs are collapsed (empty pieces are tokens, as in Spark).
+S["transformer_arm_encode"] = f"""WITH {CORPUS},{split_cte('cleaned', 'sp', 15, 15)},
+raw AS (SELECT doc_id, label_id, split, regexp_replace(lower(text), {lit(RAW_WS_RUN)}, ' ', 'g') AS rt FROM sp),
+trn AS (SELECT * FROM raw WHERE split = 'train' ORDER BY {hkey(42, 'doc_id')}, doc_id LIMIT 2000),
+used AS (SELECT * FROM trn UNION ALL SELECT * FROM raw WHERE split <> 'train'),
+toks AS (SELECT doc_id, label_id, split,
+                CASE WHEN rt = '' THEN []::VARCHAR[] ELSE string_split(rt, ' ') END AS t FROM used),
+freq AS (SELECT token, count(*) AS tf FROM (SELECT unnest(t) AS token FROM toks WHERE split = 'train') GROUP BY token),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY tf DESC, token) + 1 AS INTEGER) AS token_id
+          FROM freq ORDER BY tf DESC, token LIMIT 30000),
+ex AS (SELECT doc_id, unnest(t[1:128]) AS token, generate_subscripts(t[1:128], 1) AS pos FROM toks),
+ids AS (SELECT e.doc_id, list(CAST(coalesce(v.token_id, 1) AS INTEGER) ORDER BY e.pos) AS ids
+        FROM ex e LEFT JOIN vocab v ON e.token = v.token GROUP BY e.doc_id)
+SELECT t.doc_id, list_resize(coalesce(i.ids, []::INTEGER[]), 128, 0) AS input_ids,
+  list_resize(list_transform(coalesce(i.ids, []::INTEGER[]), lambda x: 1), 128, 0) AS attention_mask,
+  CAST(len(t.t) AS INTEGER) AS n_tokens, t.label_id, t.split
+FROM toks t LEFT JOIN ids i ON t.doc_id = i.doc_id"""
