@@ -14,11 +14,13 @@ def test_spread_only_thin_scans(spark, tmpdir_path):
     spark.range(0, 4000, numPartitions=cores * 2).withColumn("text", F.lit("aa bb")).write.parquet(wide)
     thin = os.path.join(tmpdir_path, "thin")
     spark.range(0, 4000, numPartitions=1).withColumn("text", F.lit("aa bb")).write.parquet(thin)
-    w = spread(spark.read.parquet(wide), ["id"])
-    t = spread(spark.read.parquet(thin), ["id"])
+    w = spread(spark.read.parquet(wide), ["id"], bytes_per_task=1)
+    t = spread(spark.read.parquet(thin), ["id"], bytes_per_task=1)
     assert not _has_repartition(w)          # enough splits: no extra shuffle
-    assert _has_repartition(t) and t.rdd.getNumPartitions() == cores
+    assert _has_repartition(t) and t.rdd.getNumPartitions() == cores   # capped at one per core
     assert sorted(r.id for r in t.select("id").collect()) == list(range(4000))
+    # a small table is not blown up into one task per core
+    assert not _has_repartition(spread(spark.read.parquet(thin), ["id"]))
 
 
 def test_checkpoint_dir_is_read_from_session(spark):

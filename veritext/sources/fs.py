@@ -28,3 +28,12 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
     if st is None:
         return []
     return sorted(str(s.getPath()) for s in st)
+
+
+def total_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Summed length of the given files (metadata calls only)."""
+    total = 0
+    for path in paths:
+        p, fs = _fs(spark, path)
+        total += int(fs.getFileStatus(p).getLen())
+    return total

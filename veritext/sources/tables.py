@@ -21,16 +21,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df, keys) if keys else df
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Give CPU-heavy per-row work every core.  A scan with at least as many
-    splits as the cluster has cores (any large table) is returned untouched:
-    no extra shuffle.  A thin scan (few files / row groups) is hash-
-    partitioned by its row key (deterministic under task retries) so the
-    regex and tokenising work does not run in a handful of tasks."""
+SPREAD_BYTES = 2 * 1024 * 1024  # stored (compressed) input per task for CPU-heavy text work
+
+
+def spread(df: DataFrame, keys: list[str], bytes_per_task: int = SPREAD_BYTES) -> DataFrame:
+    """Give CPU-heavy per-row work enough tasks.  A scan with at least as
+    many splits as the cluster has cores (any large table) is returned
+    untouched: no extra shuffle, no file listing.  A thin scan (few files or
+    row groups) is hash-partitioned by its row key (deterministic under task
+    retries) into ``ceil(stored bytes / bytes_per_task)`` partitions, at most
+    one per core, so a small table on a big cluster does not turn into
+    thousands of empty tasks."""
+    from .fs import total_bytes
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    splits = df.rdd.getNumPartitions()
+    if splits >= cores:
         return df
-    return df.repartition(cores, *keys)
+    size = total_bytes(df.sparkSession, df.inputFiles())
+    parts = min(cores, max(1, -(-size // bytes_per_task)))
+    return df.repartition(parts, *keys) if parts > splits else df
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str, scheme: str = "binary") -> DataFrame:
