@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.hashing import hash_key
 from ..functions.text import (assemble_statement, assemble_title_content, char_length, clean_text,
-                              drop_stopwords, normalise_source_key, word_count, WS)
+                              drop_stopwords, normalise_source_key, with_clean, word_count, WS)
 from ..operators import bias, errors, metrics, nb, sampling
 from ..operators.encode import encode_fixed_length, token_vocabulary
 from ..operators.lemma import lemma_table, token_table
 from ..operators.tfidf import fit_tfidf, term_frequencies, term_stats
 from ..sources.synthetic import generate_corpus
-from ..sources.tables import (RETURNFLAG_CLASSES, labelled_corpus, prediction_table_docs,
+from ..sources.tables import (RETURNFLAG_CLASSES, label_rows, labelled_corpus, prediction_table_docs,
                               prediction_table_lineitem, read_table)
 from .common import SEED, cleaned_corpus, credibility_dim, split_corpus
 
@@ -45,9 +45,13 @@ def r6(c):
 def q_label_distribution(spark, d):
     """Flagship: documents x labels -> clean -> drop empty -> per label count
     and mean word count (A1 + T12)."""
-    c = cleaned_corpus(spark, d)
-    return (c.groupBy("label_id", "label")
-             .agg(F.count(F.lit(1)).alias("n"), r6(F.avg(word_count("clean_text"))).alias("avg_word_count")))
+    # clean and count where the text is read; only (doc_id, word count)
+    # crosses the join with the labels, never the text itself
+    docs = read_table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    wc = with_clean(docs).select("doc_id", word_count("clean_text").alias("_wc"))
+    j = wc.join(label_rows(spark, d), "doc_id")
+    return (j.groupBy("label_id", "label")
+             .agg(F.count(F.lit(1)).alias("n"), r6(F.avg("_wc")).alias("avg_word_count")))
 
 
 @query("clean_text")

@@ -50,6 +50,12 @@ def labelled_corpus(spark: SparkSession, sf_dir: str, scheme: str = "binary") ->
     equi-join on doc_id (sort-merge / AQE-chosen), never a forced broadcast.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return (docs.join(label_rows(spark, sf_dir, scheme), "doc_id")
+                .where(F.col("text").isNotNull()))
+
+
+def label_rows(spark: SparkSession, sf_dir: str, scheme: str = "binary") -> DataFrame:
+    """(doc_id, label_id, label) of the labelled documents."""
     labels = read_table(spark, sf_dir, "labels")
     if scheme == "binary":
         lid = F.col("quality")
@@ -60,9 +66,7 @@ def labelled_corpus(spark: SparkSession, sf_dir: str, scheme: str = "binary") ->
     else:
         raise ValueError(scheme)
     lab = labels.select("doc_id", lid.cast("int").alias("label_id")).where(F.col("label_id").isNotNull())
-    return (docs.join(lab, "doc_id")
-                .withColumn("label", name_for_id("label_id", names))
-                .where(F.col("text").isNotNull()))
+    return lab.withColumn("label", name_for_id("label_id", names))
 
 
 # The prediction-table fixture on lineitem.
