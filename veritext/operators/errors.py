@@ -13,7 +13,12 @@ def collect_errors(df: DataFrame, label_names: dict, text_col: str = "text",
                    true_col: str = "true_id", pred_col: str = "pred_id",
                    keep: list[str] | None = None) -> DataFrame:
     """Prediction table with names, correctness and text length features.
-    Class ids outside ``label_names`` fall back to str(id)."""
+    Class ids outside ``label_names`` fall back to str(id).  ``text_length``
+    / ``word_count`` columns already present (computed where the text was
+    read) are used as they are, so consumers that never show the text let
+    Catalyst prune it before any join."""
+    tl = F.col("text_length").cast("int") if "text_length" in df.columns else char_length(text_col)
+    wc = F.col("word_count").cast("int") if "word_count" in df.columns else word_count(text_col)
     return df.select(
         *(keep or []),
         F.col(text_col).alias("text"),
@@ -22,8 +27,8 @@ def collect_errors(df: DataFrame, label_names: dict, text_col: str = "text",
         name_for_id(F.col(true_col).cast("int"), label_names).alias("true_label"),
         name_for_id(F.col(pred_col).cast("int"), label_names).alias("pred_label"),
         (F.col(true_col) == F.col(pred_col)).alias("correct"),
-        char_length(text_col).alias("text_length"),
-        word_count(text_col).alias("word_count"),
+        tl.alias("text_length"),
+        wc.alias("word_count"),
     )
 
 

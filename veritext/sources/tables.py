@@ -87,8 +87,11 @@ def prediction_table_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_table_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text prediction table: true = quality, pred = toxic, over labelled docs."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Text prediction table: true = quality, pred = toxic, over labelled docs.
+    Length features are computed on the document side, before the join."""
+    from ..functions.text import char_length, word_count
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", "text", char_length("text").alias("text_length"), word_count("text").alias("word_count"))
     labels = read_table(spark, sf_dir, "labels").select(
         "doc_id", F.col("quality").cast("int").alias("true_id"),
         F.col("toxic").cast("int").alias("pred_id"))
