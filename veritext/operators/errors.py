@@ -108,8 +108,11 @@ def histogram(df: DataFrame, value_col: str, group: list[str], bins: int = 30) -
               .withColumn("_w", (F.col("_hi2") - F.col("_lo2")) / bins))
     x = F.col(value_col).cast("double")
     b = F.least(F.lit(bins - 1), F.floor((x - F.col("_lo2")) / F.col("_w")).cast("int"))
-    # one row per group; the groups are the caller's, so no hint: AQE
-    # broadcasts the range table after measuring it, else it stays a shuffle
+    # one row per group, computed once; below a checked row bound it comes
+    # back as a local table (broadcast without shuffling the data), above
+    # it stays a persisted distributed table joined normally
+    from .metrics import materialize_small
+    rng = materialize_small(rng)
     counted = (df.join(rng, group)
                  .groupBy(*group, b.alias("bin"), "_lo2", "_w", "_n")
                  .agg(F.count(F.lit(1)).alias("count")))

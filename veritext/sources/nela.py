@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.labels import NELA_3WAY, name_for_id
 from ..functions.text import WS, assemble_title_content, normalise_source_key
+from ..operators.metrics import materialize_small
 from ..operators.sampling import hash_sample
 from . import fs
 
@@ -140,9 +141,9 @@ def load_nela_json(spark: SparkSession, data_dir: str, max_samples: int | None =
     parent = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
     src = F.coalesce(F.col("source"), parent)
     df = raw.withColumn("source", src).withColumn("source_key", F.lower("source"))
-    # labels file: one row per source, size not known up front -> AQE
-    # broadcasts it after measuring, else a shuffle join
-    j = df.join(labels, "source_key")
+    # labels file: one row per source; local (broadcast) below a checked row
+    # bound, a persisted distributed table above it
+    j = df.join(materialize_small(labels), "source_key")
     text = F.coalesce(F.col("content"), F.col("title"), F.lit(""))
     stripped = F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+$", "")
     out = (j.where(F.length(stripped) > 20)
@@ -158,7 +159,7 @@ def load_nela_table(spark: SparkSession, labels: DataFrame, table: str = "newsda
     t = spark.table(table).select("source", "title", "content")
     if max_samples:
         t = t.limit(max_samples * 3)
-    j = t.withColumn("source_key", F.lower("source")).join(labels, "source_key")  # AQE sizes it
+    j = t.withColumn("source_key", F.lower("source")).join(materialize_small(labels), "source_key")
     out = j.select(assemble_title_content("title", "content", 800).alias("text"),
                    name_for_id("label_id", NELA_3WAY).alias("label"), "label_id", "source").dropna()
     return _finish(out, 20, max_samples, seed)
