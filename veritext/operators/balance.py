@@ -94,9 +94,12 @@ def knn_within(queries: DataFrame, reference: DataFrame, k: int = 5, chunk_bytes
              .select("grp",
                      F.greatest(F.lit(1), F.ceil(F.col("_nr") / per_block)).cast("int").alias("_rb"),
                      F.greatest(F.lit(1), F.ceil(F.col("_nq") / per_block)).cast("int").alias("_qb")))
-    # one row per group: no hint, AQE broadcasts it after measuring its
-    # runtime size (autoBroadcastJoinThreshold), else it stays a shuffle join
-    sz = sizes
+    # one row per group, computed once.  It must not be joined by a shuffle
+    # keyed by group (a hot class would land in one task): below a checked
+    # row bound it comes back as a local table that is broadcast, above it a
+    # persisted table (many groups, so the group key spreads)
+    from .metrics import materialize_small
+    sz = materialize_small(sizes)
     q = (queries.join(sz, "grp")
                 .withColumn("qblk", F.pmod(F.xxhash64("qid"), F.col("_qb")).cast("int"))
                 .withColumn("rblk", F.explode(F.sequence(F.lit(0), F.col("_rb") - 1)))
