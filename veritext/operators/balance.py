@@ -57,20 +57,23 @@ def _top_k_cell(k: int, work_bytes: int = 64 * 1024 * 1024):
             # a few spare candidates absorb rounding of the expanded form;
             # the final order uses exact distances
             kk = min(k + 8, rx.shape[0])
-            cand_all = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < rx.shape[0] else \
+            cand = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < rx.shape[0] else \
                 np.tile(np.arange(rx.shape[0]), (len(qid), 1))
-            for i in range(len(qid)):
-                cand = cand_all[i][np.isfinite(d2[i, cand_all[i]])]
-                diff = rx[cand] - qx[i]
-                dist = np.sqrt((diff * diff).sum(axis=1))
-                order = np.lexsort((rid[cand], dist))[:k]
-                out_q.extend([int(qid[i])] * len(order))
-                out_n.extend(rid[cand][order].tolist())
-                out_d.extend(dist[order].tolist())
-        if not out_q:
-            return empty
-        return pd.DataFrame({"qid": np.array(out_q, dtype=np.int64), "nid": np.array(out_n, dtype=np.int64),
-                             "dist": np.array(out_d, dtype=np.float64)})
+            # exact distances of the candidates, all queries at once
+            diff = rx[cand] - qx[:, None, :]
+            dist = np.sqrt((diff * diff).sum(axis=2))
+            dist[~np.isfinite(np.take_along_axis(d2, cand, axis=1))] = np.inf
+            cid = rid[cand]
+            order = np.lexsort((cid, dist), axis=1)[:, :k]     # (distance, id) per query
+            top_d = np.take_along_axis(dist, order, axis=1)
+            top_n = np.take_along_axis(cid, order, axis=1)
+            ok = np.isfinite(top_d)
+            out_q.append(np.broadcast_to(qid[:, None], top_d.shape)[ok])
+            out_n.append(top_n[ok])
+            out_d.append(top_d[ok])
+        return pd.DataFrame({"qid": np.concatenate(out_q).astype(np.int64),
+                             "nid": np.concatenate(out_n).astype(np.int64),
+                             "dist": np.concatenate(out_d).astype(np.float64)})
 
     return run
 
