@@ -27,3 +27,31 @@ def test_checkpoint_dir_is_read_from_session(spark):
     from veritext.session import ensure_checkpoint_dir
     configured = spark.conf.get("spark.checkpoint.dir")
     assert ensure_checkpoint_dir(spark) == configured
+
+
+def test_checkpoint_dir_required_on_a_cluster():
+    """A non-local master without spark.checkpoint.dir must fail rather than
+    checkpoint to a machine-local folder."""
+    import pytest
+
+    from veritext.session import ensure_checkpoint_dir
+
+    class _Conf:
+        def get(self, key, default=None):
+            return default
+
+    class _Sc:
+        master = "yarn"
+
+        def getConf(self):
+            return _Conf()
+
+        def setCheckpointDir(self, path):
+            raise AssertionError("must not set a folder")
+
+    class _Spark:
+        sparkContext = _Sc()
+        conf = _Conf()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(_Spark())
