@@ -21,7 +21,6 @@ order.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -48,7 +47,8 @@ def _top_k_cell(k: int, work_bytes: int = 64 * 1024 * 1024):
         rn = (rx * rx).sum(axis=1)
         qid_all = q["qid"].to_numpy(dtype=np.int64)
         qx_all = np.stack([np.asarray(v, dtype=np.float64) for v in q["vec"]])
-        step = max(1, work_bytes // (8 * len(rid)))  # bounds the distance matrix
+        # per query: one distance-matrix row and the candidate differences
+        step = max(1, work_bytes // (8 * max(len(rid), (k + 8) * rx.shape[1])))
         out_q, out_n, out_d = [], [], []
         for lo in range(0, len(qid_all), step):
             qid, qx = qid_all[lo:lo + step], qx_all[lo:lo + step]
