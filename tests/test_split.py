@@ -48,3 +48,17 @@ def test_hash_sample_exact_size_and_deterministic(spark):
     b = sorted(r.doc_id for r in sampling.hash_sample(df.repartition(7), 50).collect())
     c = sorted(r.doc_id for r in sampling.hash_sample(df, 50, small_n=10).collect())
     assert len(a) == 50 and a == b == c
+
+
+def test_hash_sample_paths_agree(spark):
+    """The top-k path and the exact-rank path pick the same rows."""
+    from veritext.operators import sampling
+    df = spark.range(0, 3000, numPartitions=6).withColumnRenamed("id", "doc_id")
+    a = {r.doc_id for r in sampling.hash_sample(df, 250).collect()}
+    old = sampling.MAX_TOPK_MERGE_ROWS
+    sampling.MAX_TOPK_MERGE_ROWS = 0          # force the distributed rank
+    try:
+        b = {r.doc_id for r in sampling.hash_sample(df, 250).collect()}
+    finally:
+        sampling.MAX_TOPK_MERGE_ROWS = old
+    assert len(a) == 250 and a == b

@@ -96,12 +96,16 @@ def hash_split(df: DataFrame, key: str = "doc_id", test_frac: float = 0.2,
     return df.withColumn(split_col, F.when(u < t1, "test").when(u < t2, "val").otherwise("train"))
 
 
+MAX_TOPK_MERGE_ROWS = 5_000_000  # rows the single merge task of a top-k may receive
+
+
 def hash_sample(df: DataFrame, n: int, key: str = "doc_id", seed: int = 42,
                 strata: list[str] | None = None, small_n: int = 100_000) -> DataFrame:
     """Exact-size sample without replacement: the n rows with the smallest
-    (hash, key).  Small n -> TakeOrdered; large n -> exact rank (no driver
-    merge of big top-k lists)."""
-    if not strata and n <= small_n:
+    (hash, key).  A top-k (TakeOrdered) merges up to n rows from every
+    partition in ONE task, so it is used only while n x partitions stays
+    small; otherwise the distributed exact rank (no single-task merge)."""
+    if not strata and n <= small_n and n * df.rdd.getNumPartitions() <= MAX_TOPK_MERGE_ROWS:
         return (df.withColumn("_h", hash_key(seed, key)).orderBy("_h", key).limit(n).drop("_h"))
     r = exact_rank(df, strata or [], key, seed, size_col=None) if strata else \
         exact_rank(df.withColumn("_all", F.lit(0)), ["_all"], key, seed, size_col=None).drop("_all")
