@@ -90,9 +90,12 @@ def test_preprocessor_transformer_and_estimator(spark):
     from veritext.operators.ml import TextPreprocessor, TfidfEstimator
     df = spark.createDataFrame([(1, "The cats and THE dogs!"), (2, "the and of"), (3, "Dogs run fast")],
                                "doc_id long, text string")
-    out = TextPreprocessor(doRemoveStopwords=True).transform(df)
+    from pyspark.sql import Observation
+    obs = Observation("prep")
+    out = TextPreprocessor(doRemoveStopwords=True, observation=obs).transform(df)
     got = {r.doc_id: r.clean_text for r in out.collect()}
     assert got == {1: "cats dogs", 3: "dogs run fast"}        # doc 2 empty -> dropped
+    assert obs.get == {"rows": 3, "empty_removed": 1}
     lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "token string, lemma string")
     lem = TextPreprocessor(doLemmatize=True, lemmaTable=lemmas).transform(df)
     assert {r.doc_id: r.clean_text for r in lem.collect()}[1] == "cat dog"

@@ -52,3 +52,16 @@ def test_assembly(spark):
 def test_source_key(spark):
     df = spark.createDataFrame([("  Fox News ",), ("USA\tToday",)], "s string")
     assert [r.k for r in df.select(normalise_source_key("s").alias("k")).collect()] == ["foxnews", "usatoday"]
+
+
+def test_empty_removed_is_observed_in_the_same_job(spark):
+    """Rows dropped as empty after cleaning are counted by observe()."""
+    from pyspark.sql import Observation
+
+    from veritext.functions.text import with_clean
+    df = spark.createDataFrame([(1, "Hello world"), (2, "123 !!"), (3, None), (4, "   "), (5, "ok")],
+                               "doc_id long, text string")
+    obs = Observation("clean")
+    kept = with_clean(df, observation=obs).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 5]
+    assert obs.get == {"rows": 5, "empty_removed": 3}

@@ -50,14 +50,21 @@ def _guarded(t: Column, cond: Column, pattern: str, repl: str) -> Column:
     return F.when(cond, F.regexp_replace(t, pattern, repl)).otherwise(t)
 
 
-def with_clean(df, src: str = "text", out: str = "clean_text", drop_empty: bool = True):
+def with_clean(df, src: str = "text", out: str = "clean_text", drop_empty: bool = True, observation=None):
     """Add ``out = clean_text(src)`` and (optionally) drop empty results.
 
     The cleaned value is produced by a one-element generator: a filter on a
     generated column cannot be pushed below the generator, so the regex
     chain runs once per row instead of once in the Filter and again in the
-    Project (Catalyst does not share sub-expressions across operators)."""
+    Project (Catalyst does not share sub-expressions across operators).
+
+    ``observation`` (a ``pyspark.sql.Observation``) reports ``rows`` and
+    ``empty_removed`` (P8) from the same job that consumes the result, not
+    from a second pass."""
     res = df.select("*", F.explode(F.array(clean_text(src))).alias(out))
+    if observation is not None:
+        res = res.observe(observation, F.count(F.lit(1)).alias("rows"),
+                          F.count_if(F.length(F.col(out)) == 0).alias("empty_removed"))
     return res.where(F.length(F.col(out)) > 0) if drop_empty else res
 
 

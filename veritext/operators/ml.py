@@ -16,7 +16,8 @@ from .tfidf import TfidfModel, fit_tfidf
 
 class TextPreprocessor(Transformer, HasInputCol, HasOutputCol):
     """clean -> stop words -> lemmas, each step switchable; drops rows that
-    end up empty (the count of dropped rows is available through ``observe``)."""
+    end up empty.  Pass ``observation`` (a ``pyspark.sql.Observation``) to get
+    ``rows`` / ``empty_removed`` from the job that consumes the output."""
 
     doClean = Param(Params._dummy(), "doClean", "apply cleaning", TypeConverters.toBoolean)
     doRemoveStopwords = Param(Params._dummy(), "doRemoveStopwords", "remove stop words", TypeConverters.toBoolean)
@@ -26,13 +27,14 @@ class TextPreprocessor(Transformer, HasInputCol, HasOutputCol):
     @keyword_only
     def __init__(self, inputCol: str = "text", outputCol: str = "clean_text", doClean: bool = True,
                  doRemoveStopwords: bool = True, doLemmatize: bool = False, dropEmpty: bool = True,
-                 lemmaTable: DataFrame | None = None, idCol: str = "doc_id"):
+                 lemmaTable: DataFrame | None = None, idCol: str = "doc_id", observation=None):
         super().__init__()
         self._setDefault(inputCol="text", outputCol="clean_text", doClean=True, doRemoveStopwords=True,
                          doLemmatize=False, dropEmpty=True)
         kw = dict(self._input_kwargs)
         self.lemma_table = kw.pop("lemmaTable", None)
         self.id_col = kw.pop("idCol", "doc_id")
+        self.observation = kw.pop("observation", None)
         self._set(**kw)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -49,6 +51,9 @@ class TextPreprocessor(Transformer, HasInputCol, HasOutputCol):
                 raise ValueError("doLemmatize needs a lemmaTable (token, lemma)")
             from .lemma import lemmatise_text
             res = lemmatise_text(res, self.lemma_table, out, self.id_col, "_lem").drop(out).withColumnRenamed("_lem", out)
+        if self.observation is not None:
+            res = res.observe(self.observation, F.count(F.lit(1)).alias("rows"),
+                              F.count_if(F.length(F.col(out)) == 0).alias("empty_removed"))
         if self.getOrDefault(self.dropEmpty):
             res = res.where(F.length(F.col(out)) > 0)
         return res
