@@ -128,3 +128,13 @@ def test_token_table_document_frequency(spark):
         want.update(set(w for w in t.split(" ") if w))
     got = {r.token: r.df for r in token_table(df).collect()}
     assert got == dict(want)
+
+
+@pytest.mark.parametrize("max_features", [1, 2, 3, 5, 8])
+def test_vocabulary_cap_with_ties_matches_bruteforce(spark, max_features):
+    """The top-N vocabulary (total_tf desc, term asc) with the total_tf cutoff
+    equals the brute-force order, including cuts inside a tie group."""
+    df = spark.createDataFrame(DOCS, "doc_id long, clean_text string, label_id int").repartition(4)
+    m = fit_tfidf(df, max_features=max_features, min_df=1, max_df=1.0)
+    vocab, _ = _brute(DOCS, max_features=max_features, min_df=1, max_df=1.0)
+    assert {r.term for r in m.vocab.collect()} == vocab

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,8 +163,18 @@ def fit_tfidf(df: DataFrame, clean_col: str = "clean_text", id_col: str = "doc_i
     spark: SparkSession = df.sparkSession
     n_docs = df.count()
     stats = term_stats(df, id_col, clean_col, n_max)
-    kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
-    top = kept.orderBy(F.desc("total_tf"), "term").limit(max_features)
+    kept = (stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+    # cutoff = the max_features-th largest total_tf, from the (small) count
+    # of terms per total_tf value; every top-N term has total_tf >= cutoff,
+    # so the single-task top-N merge reads ~N rows (+ ties), not N x partitions
+    from .metrics import materialize_small
+    hist = materialize_small(kept.groupBy("total_tf").agg(F.count(F.lit(1)).alias("_c")))
+    cum = F.sum("_c").over(Window.orderBy(F.desc("total_tf")).rowsBetween(Window.unboundedPreceding, 0))
+    cut = hist.select("total_tf", cum.alias("_cum")).where(F.col("_cum") >= max_features) \
+        .agg(F.max("total_tf")).first()[0]
+    cand = kept if cut is None else kept.where(F.col("total_tf") >= F.lit(cut))
+    top = cand.orderBy(F.desc("total_tf"), "term").limit(max_features)
     if max_features > MAX_BROADCAST_VOCAB:
         raise ValueError("vocabulary above the broadcast bound; lower max_features")
     rows = top.collect()  # bounded by max_features
