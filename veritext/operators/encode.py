@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_clean
+from .tfidf import top_by_count
 
 PAD_ID, UNK_ID = 0, 1
 
@@ -22,7 +23,7 @@ def token_vocabulary(df: DataFrame, clean_col: str = "clean_text", id_col: str =
     """(token, token_id) for the ``max_vocab`` most frequent tokens (ties by token)."""
     toks = df.select(F.explode(split_clean(clean_col)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("tf"))
-    top = counts.orderBy(F.desc("tf"), "token").limit(max_vocab)
+    top = top_by_count(counts, max_vocab, "tf", "token")
     # <= max_vocab rows: a single-partition window is bounded
     return top.select("token", (F.row_number().over(Window.orderBy(F.desc("tf"), "token")) + 1)
                       .cast("int").alias("token_id"))

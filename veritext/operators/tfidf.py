@@ -156,6 +156,22 @@ def term_stats(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_te
               .agg(F.sum(first.cast("long")).alias("df"), F.count(F.lit(1)).alias("total_tf")))
 
 
+def top_by_count(df: DataFrame, n: int, count_col: str, key_col: str) -> DataFrame:
+    """The n rows with the largest ``count_col`` (ties by ``key_col``).
+
+    A plain ``orderBy().limit(n)`` merges up to n rows from every partition
+    in one task.  Instead the cutoff (the n-th largest count) is read from a
+    small count of rows per count value, and only rows at or above it reach
+    the top-n merge: about n rows (+ ties at the cutoff)."""
+    from .metrics import materialize_small
+    rows = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the histogram and the top-n
+    hist = materialize_small(rows.groupBy(count_col).agg(F.count(F.lit(1)).alias("_c")))
+    cum = F.sum("_c").over(Window.orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, 0))
+    cut = hist.select(count_col, cum.alias("_cum")).where(F.col("_cum") >= n).agg(F.max(count_col)).first()[0]
+    cand = rows if cut is None else rows.where(F.col(count_col) >= F.lit(cut))
+    return cand.orderBy(F.desc(count_col), key_col).limit(n)
+
+
 def fit_tfidf(df: DataFrame, clean_col: str = "clean_text", id_col: str = "doc_id",
               max_features: int = 10000, n_max: int = 2, min_df: int = 2, max_df: float = 0.95) -> TfidfModel:
     """Fit on the given (training) rows.  Two small actions: the document
@@ -163,18 +179,8 @@ def fit_tfidf(df: DataFrame, clean_col: str = "clean_text", id_col: str = "doc_i
     spark: SparkSession = df.sparkSession
     n_docs = df.count()
     stats = term_stats(df, id_col, clean_col, n_max)
-    kept = (stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-    # cutoff = the max_features-th largest total_tf, from the (small) count
-    # of terms per total_tf value; every top-N term has total_tf >= cutoff,
-    # so the single-task top-N merge reads ~N rows (+ ties), not N x partitions
-    from .metrics import materialize_small
-    hist = materialize_small(kept.groupBy("total_tf").agg(F.count(F.lit(1)).alias("_c")))
-    cum = F.sum("_c").over(Window.orderBy(F.desc("total_tf")).rowsBetween(Window.unboundedPreceding, 0))
-    cut = hist.select("total_tf", cum.alias("_cum")).where(F.col("_cum") >= max_features) \
-        .agg(F.max("total_tf")).first()[0]
-    cand = kept if cut is None else kept.where(F.col("total_tf") >= F.lit(cut))
-    top = cand.orderBy(F.desc("total_tf"), "term").limit(max_features)
+    kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
+    top = top_by_count(kept, max_features, "total_tf", "term")
     if max_features > MAX_BROADCAST_VOCAB:
         raise ValueError("vocabulary above the broadcast bound; lower max_features")
     rows = top.collect()  # bounded by max_features
