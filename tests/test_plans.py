@@ -87,3 +87,24 @@ def test_batch_scorer_matches_per_row_scores():
             s = s + st["theta"][:, idx] @ np.asarray(val)
         j = int(np.argmax(s))
         assert got.pred_id[r] == j and abs(got.p_max[r] - 1 / np.exp(s - s[j]).sum()) < 1e-12
+
+
+def test_flagship_join_never_shuffles_text(spark):
+    """With broadcasts off (a sort-merge join, as for large label tables),
+    no exchange of the flagship query carries the raw text column."""
+    from tests.conftest import SF001
+
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = E.queries()["label_distribution"](spark, SF001)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        text = df._jdf.queryExecution().explainString(mode)
+        assert "SortMergeJoin" in text
+        blocks = text.split("\n\n")
+        exch = [b for b in blocks if re.match(r"\(\d+\) Exchange", b.strip())]
+        assert exch and all("text#" not in b.split("Input")[1].split("\n")[0] for b in exch if "Input" in b), exch
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
