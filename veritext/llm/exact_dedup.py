@@ -71,8 +71,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     checked = rows.join(wanted, F.col("id").eqNullSafe(F.col("suspect_id")), "left_semi")
     groups = (checked.groupBy("content").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
               .where("group_size > 1").select(F.sha2("content", 256).alias("sha"), "keep_id", "group_size"))
+    # before the join: the window must not make it deal the rows by text
     same_row = Window.partitionBy("id", "sha").orderBy("print")
-    found = ids.join(groups, "sha", "left").withColumn("copy", F.row_number().over(same_row))
+    found = ids.withColumn("copy", F.row_number().over(same_row)).join(groups, "sha", "left")
     alone = F.col("group_size").isNull()
     return found.select(
         F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
