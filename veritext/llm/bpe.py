@@ -24,8 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MEMO = 400_000  # pieces a worker remembers (bounds its memory); long ones are not kept
+PAIRS = 2_000_000  # pairs a worker remembers
+MEMO = 1_000_000  # pieces a worker remembers (bounds its memory); long ones are not kept
 MEMO_BYTES = 64
+KEY = 4
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                        ("decoded_sha256", pa.string())])
@@ -38,10 +40,18 @@ class Vocabulary:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
-        # tokens that end with a given byte, by length, bound the look-ups
-        self.lengths = [sorted({len(t) for t in ranks if t[-1] == b}, reverse=True) for b in range(256)]
+        # the two tokens whose merge made a token; None: one byte, or a token
+        # that the merges never make
+        self.halves = {i: self._merge(t, i) for t, i in ranks.items()}
+        self.made = {t: i for t, i in ranks.items() if len(t) == 1 or self.halves[i]}
+        # lengths of the tokens that end with the given last bytes (at most
+        # KEY of them), longest first; filled as keys are met
+        self.long_ends: dict[bytes, set[int]] = {}
+        for t in self.made:
+            if len(t) > KEY:
+                self.long_ends.setdefault(t[-KEY:], set()).add(len(t))
+        self.lengths: dict[bytes, list[int]] = {}
+        self.apart: dict[int, bool] = {}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Vocabulary:
@@ -49,12 +59,6 @@ class Vocabulary:
             pairs = (line.split() for line in f if line.strip())
             return cls({base64.b64decode(t): int(r) for t, r in pairs}, pattern)
 
-    def split(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge made ``token`` (None: one byte)."""
-        if token not in self.halves:
-            self.halves[token] = self._merge(self.token[token], token)
-        return self.halves[token]
-
     def _merge(self, data: bytes, below: int) -> tuple[int, int] | None:
         """Merge ``data`` with the ranks under ``below``; the last two parts."""
         parts = [bytes([b]) for b in data]
@@ -68,20 +72,23 @@ class Vocabulary:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         if len(parts) != 2:
-            return None  # one byte, or a token that the merges never make
+            return None
         return self.ranks[parts[0]], self.ranks[parts[1]]
 
-    def makeable(self, token: int) -> bool:
-        return len(self.token[token]) == 1 or self.split(token) is not None
+    def sizes(self, key: bytes) -> list[int]:
+        """Lengths of the tokens that can end where ``key`` ends."""
+        if len(self.lengths) > PAIRS:
+            self.lengths.clear()
+        short = {n for n in range(1, len(key) + 1) if key[-n:] in self.made}
+        out = self.lengths[key] = sorted(self.long_ends.get(key, set()) | short, reverse=True)
+        return out
 
     def stays(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' bytes is these two tokens."""
-        key = (left, right)
-        if key not in self.apart:
-            if len(self.apart) > 4_000_000:
-                self.apart.clear()
-            self.apart[key] = self._stays(left, right)
-        return self.apart[key]
+        if len(self.apart) > PAIRS:
+            self.apart.clear()
+        out = self.apart[left << 32 | right] = self._stays(left, right)
+        return out
 
     def _stays(self, a: int, b: int) -> bool:
         """Take both tokens apart again, latest merge first; if at any moment
@@ -92,10 +99,10 @@ class Vocabulary:
             joined = self.ranks.get(self.token[a] + self.token[b])
             if joined is not None and joined < limit:
                 return False
-            if a > b or (a == b and self.split(a) is None):
-                limit, parts = a, self.split(a)
+            if a > b or (a == b and self.halves[a] is None):
+                limit, parts = a, self.halves[a]
                 if parts is None:
-                    limit, parts = b, self.split(b)
+                    limit, parts = b, self.halves[b]
                     if parts is None:
                         return True
                     b = parts[0]
@@ -103,9 +110,9 @@ class Vocabulary:
                 else:
                     a = parts[1]
             else:
-                limit, parts = b, self.split(b)
+                limit, parts = b, self.halves[b]
                 if parts is None:
-                    limit, parts = a, self.split(a)
+                    limit, parts = a, self.halves[a]
                     if parts is None:
                         return True
                     a = parts[1]
@@ -114,52 +121,59 @@ class Vocabulary:
                     limit += 1
 
 
+def fill(v: Vocabulary, data: bytes, last: list[int], stop: int) -> None:
+    """Append the last tokens of the prefixes of ``data`` that ``last`` lacks,
+    up to the prefix of length ``stop``."""
+    made, lengths, apart = v.made.get, v.lengths.get, v.apart.get
+    for end in range(len(last) + 1, stop + 1):
+        key = data[end - KEY if end > KEY else 0:end]
+        for size in lengths(key) or v.sizes(key):
+            start = end - size
+            if start < 0:
+                continue
+            token = made(data[start:end])
+            if token is None:
+                continue
+            if start == 0:
+                break
+            stays = apart(last[start - 1] << 32 | token)
+            if stays or (stays is None and v.stays(last[start - 1], token)):
+                break
+        else:
+            raise ValueError("the vocabulary lacks a byte")
+        last.append(token)
+
+
 class PrefixTable:
-    """Last token of every prefix of a growing byte string."""
+    """Last token of every prefix of a byte string that may change."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, bytearray(), []
+        self.v, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _fill(self, end: int) -> int:
-        """Last token of the prefix of length ``end``."""
-        v, data, last = self.v, self.data, self.last
-        for size in v.lengths[data[end - 1]]:
-            if size > end:
-                continue
-            token = v.ranks.get(bytes(data[end - size:end]))
-            if token is None or not v.makeable(token):
-                continue
-            if size == end or v.stays(last[end - size - 1], token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
     def append(self, data: bytes) -> None:
-        at = len(self.data)
         self.data += data
-        for end in range(at + 1, len(self.data) + 1):
-            self.last.append(self._fill(end))
+        fill(self.v, self.data, self.last, len(self.data))
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put ``data`` in place of bytes [start, stop); the number of
         entries that were filled again."""
         tail = self.last[stop:]
-        self.data[start:stop] = data
+        self.data = self.data[:start] + data + self.data[stop:]
         del self.last[start:]
-        same, end = 0, start
-        shift = start + len(data)
-        while end < len(self.data):
-            end += 1
-            token = self._fill(end)
-            self.last.append(token)
-            if end > shift:
-                # an entry depends on the entries of the longest token's
-                # length before it: once these agree, all later ones do
-                same = same + 1 if token == tail[end - shift - 1] else 0
-                if same >= self.v.longest and end - shift >= self.v.longest:
-                    self.last += tail[end - shift:]
-                    break
-        return end - start
+        same, shift = 0, start + len(data)
+        while len(self.last) < len(self.data):
+            fill(self.v, self.data, self.last, len(self.last) + 1)
+            after = len(self.last) - shift
+            if after > 0:
+                # an entry depends on the longest token's length of entries
+                # before it: once these agree, all later ones do
+                same = same + 1 if self.last[-1] == tail[after - 1] else 0
+                if same >= self.v.longest:
+                    filled = len(self.last) - start
+                    self.last += tail[after:]
+                    return filled
+        return len(self.last) - start
 
     def tokens(self) -> list[int]:
         out, end = [], len(self.data)
