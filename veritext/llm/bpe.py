@@ -20,14 +20,21 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .tokens import chunks
+
 PAIRS = 2_000_000  # pairs a worker remembers
-MEMO = 1_000_000  # pieces a worker remembers (bounds its memory); long ones are not kept
+MEMO = 2_000_000  # pieces a worker remembers (about 0.5 GB); long ones are not kept
 MEMO_BYTES = 64
 KEY = 4
+CHUNK = 1 << 22  # characters handled at a time
+# fixed value: the split pattern that ``cut`` restates; others go through regex
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                        ("decoded_sha256", pa.string())])
@@ -183,30 +190,141 @@ class PrefixTable:
         return out[::-1]
 
 
+LETTER, NUMBER, WHITE, OTHER = range(4)
+_CLASSES: list[np.ndarray] = []
+
+
+def classes() -> np.ndarray:
+    """Class of every code point in the split pattern, from the regex
+    module's own tables."""
+    if not _CLASSES:
+        out = np.full(0x110000, OTHER, np.uint8)
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                out[ord(m[0][0]):ord(m[0][-1]) + 1] = kind
+        _CLASSES.append(out)
+    return _CLASSES[0]
+
+
+def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Piece starts (in code points of the joined texts, with the end added)
+    and first code point of every text: what ``SPLIT`` matches one after the
+    other in each text, found for all texts at once.
+
+    Pieces are runs of one class; a space before a run that is not white
+    belongs to that run, other white space stays apart, the last of it by
+    itself; an apostrophe that begins a piece takes a contraction's letters."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    n = len(codes)
+    first = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    if n == 0:
+        return np.zeros(1, np.int64), first
+    kind = classes()[codes]
+    edge = np.zeros(n + 1, bool)  # a run or a text begins here
+    edge[1:n] = kind[1:] != kind[:-1]
+    edge[first] = True
+    start = edge.copy()
+    text_start = np.zeros(n + 1, bool)
+    text_start[first] = True
+    # a run that is not white, after white space of the same text
+    after = np.flatnonzero(edge[1:n] & (kind[1:] != WHITE) & (kind[:-1] == WHITE) & ~text_start[1:n]) + 1
+    start[after - 1] = True
+    start[after[codes[after - 1] == 32]] = False
+    # contractions
+    at = np.flatnonzero(start[:n] & (codes == 39))
+    at = at[(at + 1 < n)]
+    at = at[edge[at + 1] & ~text_start[at + 1]]
+    one = codes[at + 1]
+    two = np.where(at + 2 < n, codes[np.minimum(at + 2, n - 1)], 0)
+    two = np.where(text_start[np.minimum(at + 2, n)], 0, two)
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = np.zeros(len(at), bool)
+    for pair in ("re", "ve", "ll"):
+        long |= (one == ord(pair[0])) & (two == ord(pair[1]))
+    start[at[short | long] + 1] = False
+    start[at[short] + 2] = True
+    start[at[long] + 3] = True
+    start[n] = True
+    return np.flatnonzero(start), first
+
+
 class Codec:
     """Texts to ids and back; remembers short pieces."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.memo = vocabulary, {}
+        size = max(vocabulary.token) + 1
+        self.names = pa.array([str(i) for i in range(size)])
+        self.bytes = pa.array([vocabulary.token.get(i, b"") for i in range(size)], pa.binary())
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
+    def piece(self, data: bytes) -> tuple[int, ...]:
         whole = self.v.ranks.get(data)
         # a piece that is itself a token is that token, whatever the merges say
         ids = (whole,) if whole is not None else tuple(PrefixTable(self.v, data).tokens())
         if len(data) <= MEMO_BYTES:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            self.memo[piece] = ids
+            self.memo[data] = ids
         return ids
 
+    def pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All pieces of the texts as one binary array, and the first piece
+        of every text."""
+        if self.v.pattern.pattern != SPLIT:
+            found = [self.v.pattern.findall(t) for t in texts]
+            first = np.concatenate(([0], np.cumsum([len(f) for f in found])))
+            return pa.array([p.encode() for f in found for p in f], pa.binary()), first
+        starts, first = cut(texts)
+        joined = "".join(texts)
+        data = joined.encode()
+        if len(data) == len(joined):
+            at = starts
+        else:  # code points to bytes
+            codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+            width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+            at = np.concatenate(([0], np.cumsum(width)))[starts]
+        if len(starts) < 2:
+            return pa.array([], pa.binary()), np.zeros(len(first), np.int64)
+        buffers = [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]
+        array = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, buffers)
+        return array.cast(pa.binary()), np.searchsorted(starts, first)
+
+    def encode_batch(self, texts: list[str]) -> tuple[pa.DictionaryArray, pa.ListArray, np.ndarray]:
+        """Pieces as a dictionary array, ids of every distinct piece, first
+        piece of every text."""
+        pieces, first = self.pieces(texts)
+        coded = pieces.dictionary_encode()
+        memo, piece = self.memo.get, self.piece
+        ids = [memo(p) or piece(p) for p in coded.dictionary.to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+        return coded, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), first
+
     def encode(self, text: str) -> list[int]:
-        memo, piece = self.memo, self.piece
-        return list(chain.from_iterable([memo.get(p) or piece(p) for p in self.v.pattern.findall(text)]))
+        coded, ids, _ = self.encode_batch([text])
+        return ids.take(coded.indices).flatten().to_pylist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.token.__getitem__, ids))
 
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Per text: number of ids, SHA-256 of the ids joined by commas and
+        of the bytes they decode to."""
+        coded, ids, first = self.encode_batch(texts)
+        counts = np.concatenate(([0], np.cumsum(np.diff(ids.offsets.to_numpy())[coded.indices.to_numpy()])))
+        docs = pa.array(first.astype(np.int32))
+
+        def joined(tokens: pa.Array, by: str | bytes) -> pa.Array:
+            each = pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values))
+            whole = pc.binary_join(each, by).take(coded.indices)
+            return pc.binary_join(pa.ListArray.from_arrays(docs, whole), by)
+
+        written, decoded = joined(self.names, ","), joined(self.bytes, b"")
+        for i, n in enumerate(counts[first[1:]] - counts[first[:-1]]):
+            yield (int(n), hashlib.sha256(written[i].as_buffer()).hexdigest(),
+                   hashlib.sha256(decoded[i].as_buffer()).hexdigest())
+
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
@@ -217,17 +335,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
     is read once in every Python worker and must lie on the workers' path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, names = None, []
+        codec = None
         for batch in batches:
             codec = codec or Codec(Vocabulary.from_file(vocabulary_path, pattern))
-            names = names or [str(i) for i in range(max(codec.v.token) + 1)]
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = codec.encode(text.as_py() or "")
-                written = ",".join([names[i] for i in ids]).encode()
-                rows.append((doc_id, len(ids), hashlib.sha256(written).hexdigest(),
-                             hashlib.sha256(codec.decode(ids)).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            rows = [r for a, b in chunks(texts, CHUNK) for r in codec.digests(texts[a:b])]
+            columns = [batch.column(0).to_pylist(), *(list(zip(*rows, strict=True)) or [[]] * 3)]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, OUT_ARROW, strict=True)],
                                   schema=OUT_ARROW)
 
