@@ -7,23 +7,76 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, mixing, substring_dedup
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE),
                                 public_tokenizers.PATTERN)
 
 
 SQL = {
+    "op2_mixing": r"""
+        WITH sizes AS (
+          SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+          FROM documents),
+        sources AS (
+          SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, CASE (row_number() OVER (
+            ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+          FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source)),
+        levels AS (
+          SELECT *, cap / weight AS ratio,
+            (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+          FROM sources),
+        targets AS (
+          SELECT source, source_size,
+            least(cap, (SELECT arg_min(level, ratio) FROM levels WHERE level <= ratio) * weight) AS target
+          FROM levels),
+        due AS (
+          SELECT s.*, source_size, target,
+            CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS due,
+            (('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u
+          FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+        parts AS (
+          SELECT *, floor(due) AS certain, due - floor(due) AS f, target - floor(due) * source_size AS budget FROM due),
+        odds AS (
+          SELECT *, CASE WHEN f > 0 THEN u / (1 - u) / (f / (1 - f)) END AS odds FROM parts),
+        upto AS (
+          SELECT *, CASE WHEN f > 0 THEN sum(size) OVER (PARTITION BY source, f > 0 ORDER BY odds, doc_id) END AS upto
+          FROM odds),
+        missing AS (
+          SELECT *, coalesce(upto <= budget, false) AS reached,
+            budget - max(CASE WHEN upto <= budget THEN upto ELSE 0 END) OVER (PARTITION BY source) AS missing
+          FROM upto),
+        last AS (
+          SELECT *, row_number() OVER (PARTITION BY source ORDER BY (f > 0 AND NOT reached) DESC,
+            abs(size - missing), odds, doc_id) = 1 AND f > 0 AND NOT reached AND abs(size - missing) < missing AS last
+          FROM missing)
+        SELECT doc_id, size, source_size, target,
+          ((certain + CASE WHEN reached OR last THEN 1 ELSE 0 END) * size)::BIGINT AS taken,
+          (certain + CASE WHEN reached OR last THEN 1 ELSE 0 END)::INT AS copies
+        FROM last""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -32,7 +85,7 @@ SQL = {
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op5_substring_dedup, op10_bpe)}
 
 
 def all_sql() -> dict[str, str]:
