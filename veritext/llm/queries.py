@@ -9,12 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, substring_dedup
+from . import bpe, exact_dedup, mixing, substring_dedup, suffix_dedup
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                      F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -85,7 +91,7 @@ SQL = {
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op5_substring_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op4_exact_dedup, op5_substring_dedup, op10_bpe)}
 
 
 def all_sql() -> dict[str, str]:
