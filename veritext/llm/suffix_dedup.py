@@ -33,7 +33,7 @@ not read.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -70,30 +70,41 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Fragments:
-    """Fragments of one chunk of texts: byte position, number of windows,
-    route and text of each."""
+    """Number of the text, first byte in it, number of windows, route and
+    content hash of each fragment."""
 
-    data: bytes
+    text: np.ndarray
     start: np.ndarray
     windows: np.ndarray
     route: np.ndarray
-    text: np.ndarray
-    text_start: np.ndarray
+    content: np.ndarray
+
+    def __getitem__(self, which) -> Fragments:
+        return Fragments(*(getattr(self, f.name)[which] for f in fields(self)))
 
 
 def fragments(texts: list[bytes], width: int, gram: int) -> Fragments:
-    data = b"\n".join(texts) + b"\n"
-    buffer = np.frombuffer(data, np.uint8)
+    """All fragments of the texts, in order."""
+    none = np.empty(0, np.int64)
+    found = [Fragments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))]
+    for a, b in tk.chunks(texts):
+        part = chunk_fragments(texts[a:b], width, gram)
+        part.text += a
+        found.append(part)
+    return Fragments(*(np.concatenate([getattr(p, f.name) for p in found]) for f in fields(Fragments)))
+
+
+def chunk_fragments(texts: list[bytes], width: int, gram: int) -> Fragments:
+    buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     text_start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
     n = len(buffer) - width + 1
     none = np.empty(0, np.int64)
     if n <= 0 or size.max(initial=0) < width:
-        return Fragments(data, none, none, none.astype(np.uint64), none, text_start)
+        return Fragments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     up, down = tk.BYTE_POWERS.get(len(buffer))
     sums = tk.prefix(tk.BYTE[buffer] * up)
     grams = tk.mix((sums[gram:] - sums[:-gram]) * down[:len(buffer) - gram + 1]) >> np.uint64(64 - BITS)
-    del sums
     route = sliding_min(grams, width - gram + 1)
     valid = np.zeros(n + 1, np.int8)  # windows that lie inside one text
     long = size >= width
@@ -111,7 +122,9 @@ def fragments(texts: list[bytes], width: int, gram: int) -> Fragments:
         piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         left = np.repeat(windows, parts) - piece * LONGEST
         start, windows = np.repeat(start, parts) + piece * LONGEST, np.minimum(left, LONGEST)
-    return Fragments(data, start, windows, route[start], np.searchsorted(text_start, start, "right") - 1, text_start)
+    text = np.searchsorted(text_start, start, "right") - 1
+    content = tk.mix((sums[start + windows + width - 1] - sums[start]) * down[start])
+    return Fragments(text, start - text_start[text], windows, route[start], content)
 
 
 # --- suffix array --------------------------------------------------------------
@@ -253,22 +266,11 @@ def smallest_ids(parts: list[bytes], ids: np.ndarray, width: int) -> list[np.nda
 
 # --- the Spark job ---------------------------------------------------------------
 
-def sorted_group(group: pa.Table) -> tuple[list, list[bytes]]:
-    pairs = sorted(zip(group["id"].to_pylist(), group["content"].cast(pa.binary()).to_pylist(), strict=True))
-    return [p[0] for p in pairs], [p[1] for p in pairs]
-
-
-def route_counts(ids: list, texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def route_counts(ids: np.ndarray, found: Fragments) -> tuple[np.ndarray, np.ndarray]:
     """Distinct routes of a slice and how many ids hold each (up to 255)."""
-    _, number = np.unique(np.array(ids, np.int64), return_inverse=True)
-    routes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for a, b in tk.chunks(texts):
-        f = fragments(texts[a:b], width, gram)
-        routes.append(f.route)
-        owners.append(number[a:b][f.text])
-    routes, owners = np.concatenate(routes), np.concatenate(owners)
-    order = np.lexsort((owners, routes))
-    r, o = routes[order], owners[order]
+    owners = np.cumsum(np.diff(ids, prepend=ids[:1]) != 0)[found.text]
+    order = np.lexsort((owners, found.route))
+    r, o = found.route[order], owners[order]
     new = np.ones(len(r), bool)
     new[1:] = r[1:] != r[:-1]
     pair = new.copy()
@@ -278,31 +280,39 @@ def route_counts(ids: list, texts: list[bytes], width: int, gram: int) -> tuple[
     return r[first], np.minimum(counts, 255).astype(np.uint8)
 
 
-class Distinct:
-    """Distinct fragments of a slice whose route two documents or more hold,
-    in a fixed order, and the places where they stand."""
-
-    def __init__(self, ids: list, texts: list[bytes], repeated: np.ndarray, width: int, gram: int):
-        self.index: dict[bytes, int] = {}
-        self.routes: list[int] = []
-        self.least: list[int] = []
-        self.places: list[tuple] = []  # per chunk: fragment, text, byte in the text, windows
-        for a, b in tk.chunks(texts):
-            f = fragments(texts[a:b], width, gram)
-            at = np.searchsorted(repeated, f.route)
-            hit = np.flatnonzero(repeated[np.minimum(at, len(repeated) - 1)] == f.route) if len(repeated) else []
-            which = np.empty(len(hit), np.int64)
-            rows = zip(f.start[hit].tolist(), f.windows[hit].tolist(), f.route[hit].tolist(),
-                       f.text[hit].tolist(), strict=True)
-            for k, (start, windows, route, text) in enumerate(rows):
-                part = f.data[start:start + windows + width - 1]
-                found = self.index.setdefault(part, len(self.index))
-                if found == len(self.least):
-                    self.least.append(ids[a + text])
-                    self.routes.append(route)
-                which[k] = found
-            # ids ascend, so the first id that holds a fragment is the least
-            self.places.append((which, f.text[hit] + a, f.start[hit] - f.text_start[f.text[hit]], f.windows[hit]))
+class Slice:
+    """One slice's texts in the order of their ids, its fragments, and, once
+    it is known which routes are repeated, the distinct ones among those in
+    the order of their routes.  Two fragments of a slice are one when route
+    (48 bits) and content hash (64 bits) agree."""
+
+    def __init__(self, group: pa.Table, width: int, gram: int):
+        pairs = sorted(zip(group["id"].to_pylist(), group["content"].cast(pa.binary()).to_pylist(), strict=True))
+        self.ids = np.array([p[0] for p in pairs], np.int64)
+        self.texts = [p[1] for p in pairs]
+        self.width, self.found = width, fragments(self.texts, width, gram)
+        self.routes, self.counts = route_counts(self.ids, self.found)
+
+    def keep_repeated(self, answers: np.ndarray) -> None:
+        repeated = self.routes[answers >= 2]
+        at = np.searchsorted(repeated, self.found.route)
+        hit = at < len(repeated)
+        hit[hit] = repeated[at[hit]] == self.found.route[hit]
+        self.found = found = self.found[hit]
+        # stable: the first of equal fragments has the smallest id
+        order = np.lexsort((found.content, found.route))
+        route, content = found.route[order], found.content[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (route[1:] != route[:-1]) | (content[1:] != content[:-1])
+        self.which = np.empty(len(order), np.int64)  # distinct fragment of each one
+        self.which[order] = np.cumsum(new) - 1
+        self.distinct = found[order[new]]
+
+    def parts(self, a: int, b: int) -> list[bytes]:
+        """Bytes of the distinct fragments a to b."""
+        d, more = self.distinct, self.width - 1
+        rows = zip(d.text[a:b].tolist(), d.start[a:b].tolist(), d.windows[a:b].tolist(), strict=True)
+        return [self.texts[t][s:s + n + more] for t, s, n in rows]
 
 
 def suffix_dedup(docs: DataFrame, width: int = 50, gram: int = 24, id_col: str = "doc_id",
@@ -315,108 +325,75 @@ def suffix_dedup(docs: DataFrame, width: int = 50, gram: int = 24, id_col: str =
     rows = rows.withColumn("slice", slice_of("id", slices))
 
     def send_routes(group: pa.Table) -> pa.Table:
-        routes, counts = route_counts(*sorted_group(group), width, gram)
-        return ex.to_table(list(ex.parcels(group["slice"][0].as_py(), routes, counts, owners, BITS)),
+        s = Slice(group, width, gram)
+        return ex.to_table(list(ex.parcels(group["slice"][0].as_py(), s.routes, s.counts, owners, BITS)),
                            ex.SENT_ARROW)
 
-    def distinct(group: pa.Table, replies: pa.Table) -> tuple[list, list[bytes], Distinct]:
-        ids, texts = sorted_group(group)
-        routes, _ = route_counts(ids, texts, width, gram)
-        return ids, texts, Distinct(ids, texts, routes[ex.answers(replies) >= 2], width, gram)
-
-    def by_owner(d: Distinct) -> list[np.ndarray]:
-        """Fragment numbers of each owner, in order."""
-        owner = ex.owner_of(np.array(d.routes, np.uint64), owners, BITS)
-        order = np.argsort(owner, kind="stable")
-        return np.split(order, np.searchsorted(owner[order], np.arange(1, owners)))
-
     def send_fragments(group: pa.Table, replies: pa.Table) -> pa.Table:
         if not group.num_rows:
             return ex.to_table([], FRAGMENTS_ARROW)
-        _, _, d = distinct(group, replies)
-        parts, least = list(d.index), np.array(d.least, np.int64)
-        routes, out = np.array(d.routes, np.uint64), []
-        for owner, mine in enumerate(by_owner(d)):
-            if len(mine):
-                chosen = [parts[i] for i in mine]
-                sizes = np.array([len(p) for p in chosen], np.int32)
-                out.append((group["slice"][0].as_py(), owner, b"".join(chosen), sizes.tobytes(),
-                            least[mine].tobytes(), routes[mine].tobytes()))
+        s, out = Slice(group, width, gram), []
+        s.keep_repeated(ex.answers(replies))
+        cuts = np.searchsorted(ex.owner_of(s.distinct.route, owners, BITS), np.arange(owners + 1)).tolist()
+        least = s.ids[s.distinct.text]
+        for owner, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a < b:
+                sizes = (s.distinct.windows[a:b] + width - 1).astype(np.int32)
+                out.append((group["slice"][0].as_py(), owner, b"".join(s.parts(a, b)), sizes.tobytes(),
+                            least[a:b].tobytes(), s.distinct.route[a:b].tobytes()))
         return ex.to_table(out, FRAGMENTS_ARROW)
 
     def sort_suffixes(group: pa.Table) -> pa.Table:
-        """One owner: distinct fragments of all slices, by ranges of routes."""
-        index: dict[bytes, int] = {}
-        least: list[int] = []
-        routes: list[int] = []
-        received = []
-        for row in zip(*(group[c].to_pylist() for c in ("bytes", "sizes", "ids", "routes")), strict=True):
-            data, mine = row[0], []
-            ends = np.cumsum(np.frombuffer(row[1], np.int32)).tolist()
-            at = 0
-            for end, i, route in zip(ends, np.frombuffer(row[2], np.int64).tolist(),
-                                     np.frombuffer(row[3], np.uint64).tolist(), strict=True):
-                found = index.setdefault(data[at:end], len(index))
-                at = end
-                if found == len(least):
-                    least.append(i)
-                    routes.append(route)
-                elif i < least[found]:
-                    least[found] = i
-                mine.append(found)
-            received.append(mine)
-        parts = list(index)
-        del index
-        result: list[np.ndarray | None] = [None] * len(parts)
-        order = sorted(range(len(parts)), key=routes.__getitem__)
-        begin = size = 0
-        for k, i in enumerate(order):
-            size += len(parts[i])
-            last = k + 1 == len(order)
-            # a batch ends between two routes: equal strings share a route
-            if last or (size >= BATCH and routes[order[k + 1]] != routes[i]):
-                batch = order[begin:k + 1]
-                found = smallest_ids([parts[j] for j in batch], np.array([least[j] for j in batch]), width)
-                for j, r in zip(batch, found, strict=True):
-                    result[j] = r
-                begin, size = k + 1, 0
-        owner = group["owner"][0].as_py()
-        answered = [(s, owner, zlib.compress(np.concatenate([result[i] for i in mine]).tobytes(), 1))
-                    for s, mine in zip(group["slice"].to_pylist(), received, strict=True)]
+        """One owner: the fragments of all slices, a range of routes at a time."""
+        data = b"".join(group["bytes"].to_pylist())
+        size, least, route = (np.concatenate([np.frombuffer(x, kind) for x in group[c].to_pylist()])
+                              for c, kind in (("sizes", np.int32), ("ids", np.int64), ("routes", np.uint64)))
+        each = [len(x) // 4 for x in group["sizes"].to_pylist()]
+        begin = np.cumsum(size, dtype=np.int64) - size
+        windows = size.astype(np.int64) - width + 1
+        upto = np.concatenate(([0], np.cumsum(windows)))
+        result = np.empty(upto[-1], np.int64)
+        order = np.argsort(route, kind="stable")
+        # a batch ends between two routes: equal strings share a route
+        filled = np.cumsum(size[order], dtype=np.int64) // BATCH
+        step = np.maximum.accumulate(np.where(np.diff(route[order], prepend=route[order][:1]) != 0, filled, 0))
+        for batch in np.split(order, np.flatnonzero(np.diff(step)) + 1):
+            index: dict[bytes, int] = {}
+            which = np.array([index.setdefault(data[a:a + n], len(index))
+                              for a, n in zip(begin[batch].tolist(), size[batch].tolist(), strict=True)])
+            ids = np.full(len(index), np.iinfo(np.int64).max)
+            np.minimum.at(ids, which, least[batch])
+            found = smallest_ids(list(index), ids, width)
+            result[ranges(upto[batch], windows[batch])] = np.concatenate([found[i] for i in which.tolist()])
+        owner, at = group["owner"][0].as_py(), 0
+        answered = []
+        for slice_no, n in zip(group["slice"].to_pylist(), each, strict=True):
+            answered.append((slice_no, owner, zlib.compress(result[upto[at]:upto[at + n]].tobytes(), 1)))
+            at += n
         return ex.to_table(answered, ex.ANSWERED_ARROW)
 
     def remove(group: pa.Table, replies: pa.Table) -> pa.Table:
         if not group.num_rows:
             return ex.to_table([], OUT_ARROW)
-        first = replies.filter(pa.array(np.asarray(replies["step"]) == 1))
-        ids, texts, d = distinct(group, first)
-        second = replies.filter(pa.array(np.asarray(replies["step"]) == 2))
-        blobs = dict(zip(second["owner"].to_pylist(), second["answer"].to_pylist(), strict=True))
-        windows = np.array([len(p) - width + 1 for p in d.index], np.int64)
-        at = np.concatenate(([0], np.cumsum(windows)))
-        least = np.empty(at[-1], np.int64)
-        for owner, mine in enumerate(by_owner(d)):
-            if len(mine):
-                values = np.frombuffer(zlib.decompress(blobs[owner]), np.int64)
-                least[ranges(at[mine], windows[mine])] = values
-        own = np.array(ids, np.int64)
-        gone: dict[int, list] = {}
-        for which, text, byte, count in d.places:
-            begin = ranges(byte, count)
-            drop = least[ranges(at[which], count)] < np.repeat(own[text], count)
-            begin, whose = begin[drop], np.repeat(text, count)[drop]
-            for part in np.split(np.arange(len(whose)), np.flatnonzero(np.diff(whose)) + 1):
-                if len(part):
-                    gone[int(whose[part[0]])] = [begin[part]]
-        found = []
-        for k, (i, text) in enumerate(zip(ids, texts, strict=True)):
-            starts, ends = spans(np.sort(gone[k][0]), width) if k in gone else ([], [])
+        s = Slice(group, width, gram)
+        step = np.asarray(replies["step"])
+        s.keep_repeated(ex.answers(replies.filter(pa.array(step == 1))))
+        second = replies.filter(pa.array(step == 2)).sort_by("owner")["answer"].to_pylist()
+        least = np.frombuffer(b"".join(zlib.decompress(x) for x in second), np.int64)
+        at = np.cumsum(s.distinct.windows) - s.distinct.windows
+        f = s.found
+        drop = least[ranges(at[s.which], f.windows)] < np.repeat(s.ids[f.text], f.windows)
+        begin, whose = ranges(f.start, f.windows)[drop], np.repeat(f.text, f.windows)[drop]
+        cuts = np.searchsorted(whose, np.arange(len(s.texts) + 1)).tolist()
+        out = []
+        for k, (i, text) in enumerate(zip(s.ids.tolist(), s.texts, strict=True)):
+            starts, ends = spans(begin[cuts[k]:cuts[k + 1]], width)
             kept, done = [], 0
-            for s, e in zip(starts, ends, strict=True):
-                kept.append(text[done:s])
-                done = e
-            found.append((None if i == NULL_ID else i, len(text), starts, ends, b"".join([*kept, text[done:]])))
-        return ex.to_table(found, OUT_ARROW)
+            for a, b in zip(starts, ends, strict=True):
+                kept.append(text[done:a])
+                done = b
+            out.append((None if i == NULL_ID else i, len(text), starts, ends, b"".join([*kept, text[done:]])))
+        return ex.to_table(out, OUT_ARROW)
 
     by_slice = rows.groupBy("slice")
     counted = written(ex.exchange(by_slice.applyInArrow(send_routes, ex.SENT), "count", "u1"))
@@ -434,5 +411,7 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def spans(begin: np.ndarray, width: int) -> tuple[list[int], list[int]]:
     """Maximal intervals covered by windows that begin at ``begin`` (sorted)."""
+    if not len(begin):
+        return [], []
     cut = np.flatnonzero(np.diff(begin) > width) + 1
     return begin[np.concatenate(([0], cut))].tolist(), (begin[np.concatenate((cut - 1, [-1]))] + width).tolist()
