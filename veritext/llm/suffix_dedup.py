@@ -46,7 +46,7 @@ from .common import shuffle_partitions, slice_of, written
 
 BITS = 48
 LONGEST = 512  # windows of a fragment
-BATCH = 4 << 20  # bytes of fragments in one suffix array
+BATCH = 1 << 20  # bytes of fragments in one suffix array
 NULL_ID = -2 ** 63
 OUT = "doc_id long, n_bytes long, span_starts array<int>, span_ends array<int>, kept binary"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("span_starts", pa.list_(pa.int32())),
@@ -319,7 +319,8 @@ def suffix_dedup(docs: DataFrame, width: int = 50, gram: int = 24, id_col: str =
                  text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, span_starts, span_ends, kept`` per row: maximal
     removed byte intervals (ends exclusive) and the remaining bytes."""
-    slices = owners = shuffle_partitions(docs.sparkSession)
+    # two groups per shuffle partition: a task holds one of them at a time
+    slices = owners = 2 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"))
     rows = rows.withColumn("slice", slice_of("id", slices))
@@ -349,6 +350,8 @@ def suffix_dedup(docs: DataFrame, width: int = 50, gram: int = 24, id_col: str =
         size, least, route = (np.concatenate([np.frombuffer(x, kind) for x in group[c].to_pylist()])
                               for c, kind in (("sizes", np.int32), ("ids", np.int64), ("routes", np.uint64)))
         each = [len(x) // 4 for x in group["sizes"].to_pylist()]
+        owner, senders = group["owner"][0].as_py(), group["slice"].to_pylist()
+        del group
         begin = np.cumsum(size, dtype=np.int64) - size
         windows = size.astype(np.int64) - width + 1
         upto = np.concatenate(([0], np.cumsum(windows)))
@@ -365,9 +368,8 @@ def suffix_dedup(docs: DataFrame, width: int = 50, gram: int = 24, id_col: str =
             np.minimum.at(ids, which, least[batch])
             found = smallest_ids(list(index), ids, width)
             result[ranges(upto[batch], windows[batch])] = np.concatenate([found[i] for i in which.tolist()])
-        owner, at = group["owner"][0].as_py(), 0
-        answered = []
-        for slice_no, n in zip(group["slice"].to_pylist(), each, strict=True):
+        answered, at = [], 0
+        for slice_no, n in zip(senders, each, strict=True):
             answered.append((slice_no, owner, zlib.compress(result[upto[at]:upto[at + n]].tobytes(), 1)))
             at += n
         return ex.to_table(answered, ex.ANSWERED_ARROW)
