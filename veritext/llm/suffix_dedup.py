@@ -104,15 +104,15 @@ def chunk_fragments(texts: list[bytes], width: int, gram: int) -> Fragments:
         return Fragments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     up, down = tk.BYTE_POWERS.get(len(buffer))
     sums = tk.prefix(tk.BYTE[buffer] * up)
-    grams = tk.mix((sums[gram:] - sums[:-gram]) * down[:len(buffer) - gram + 1]) >> np.uint64(64 - BITS)
-    route = sliding_min(grams, width - gram + 1)
+    grams = tk.mix((sums[gram:] - sums[:-gram]) * down[:len(buffer) - gram + 1])
+    least = sliding_min(grams, width - gram + 1)
     valid = np.zeros(n + 1, np.int8)  # windows that lie inside one text
     long = size >= width
     valid[text_start[long]] += 1
     np.add.at(valid, text_start[long] + size[long] - width + 1, -1)
     valid = np.cumsum(valid[:n]).astype(bool)
     begin = valid.copy()
-    begin[1:] &= ~valid[:-1] | (route[1:] != route[:-1])
+    begin[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
     start = np.flatnonzero(begin)
     ends = valid.copy()
     ends[:-1] &= ~valid[1:] | begin[1:]
@@ -124,7 +124,9 @@ def chunk_fragments(texts: list[bytes], width: int, gram: int) -> Fragments:
         start, windows = np.repeat(start, parts) + piece * LONGEST, np.minimum(left, LONGEST)
     text = np.searchsorted(text_start, start, "right") - 1
     content = tk.mix((sums[start + windows + width - 1] - sums[start]) * down[start])
-    return Fragments(text, start - text_start[text], windows, route[start], content)
+    # minima crowd at the low end: mixed again, all owners get as many
+    route = tk.mix(least[start]) >> np.uint64(64 - BITS)
+    return Fragments(text, start - text_start[text], windows, route, content)
 
 
 # --- suffix array --------------------------------------------------------------
