@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, mixing, ngram_join, substring_dedup, suffix_dedup
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -91,7 +95,7 @@ SQL = {
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op4_exact_dedup, op5_substring_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_ngram_join, op4_exact_dedup, op5_substring_dedup, op10_bpe)}
 
 
 def all_sql() -> dict[str, str]:
