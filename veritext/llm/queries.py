@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join, substring_dedup, suffix_dedup
+from . import (bpe, embed_dedup, exact_dedup, html_extract, mixing, ngram_join, substring_dedup, suffix_dedup,
+               url_filter)
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +39,23 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE),
                                 public_tokenizers.PATTERN)
@@ -95,7 +113,8 @@ SQL = {
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_ngram_join, op4_exact_dedup, op5_substring_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_ngram_join, op4_exact_dedup, op5_substring_dedup,
+                                   op6_html_extract, op7_url_filter, op8_embed_dedup, op10_bpe)}
 
 
 def all_sql() -> dict[str, str]:
