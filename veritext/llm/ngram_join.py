@@ -212,3 +212,12 @@ def ngram_join(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4
 def with_components(lists: DataFrame, links: DataFrame) -> DataFrame:
     parts = components(links).select("id", F.col("component").alias("found"))
     return written(lists.join(parts, "id", "left").withColumn("component", F.coalesce("found", "id")).drop("found"))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one document of each component (the smallest id), all
+    columns as they were."""
+    found = ngram_join(docs, id_col=id_col, **options)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")

@@ -6,22 +6,42 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, mixing, ngram_join, quality
 from .common import table, written
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
+
+
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts (the largest id)."""
     return exact_dedup.kept_rows(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (the smallest id)."""
+    return ngram_join.kept_rows(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mixed_rows(docs)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every copy."""
     return bpe.encode_documents(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
 STAGES = [
+    ("quality", good_quality),
     ("exact_dedup", without_exact_copies),
+    ("ngram_join", without_near_copies),
+    ("mixing", mixed),
     ("bpe", encoded),
 ]
 

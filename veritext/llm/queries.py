@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, embed_dedup, exact_dedup, html_extract, mixing, ngram_join, substring_dedup, suffix_dedup,
-               url_filter)
+from . import (bpe, embed_dedup, exact_dedup, html_extract, mixing, ngram_join, quality, substring_dedup,
+               suffix_dedup, url_filter)
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +56,10 @@ def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE),
                                 public_tokenizers.PATTERN)
@@ -114,7 +118,7 @@ SQL = {
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_ngram_join, op4_exact_dedup, op5_substring_dedup,
-                                   op6_html_extract, op7_url_filter, op8_embed_dedup, op10_bpe)}
+                                   op6_html_extract, op7_url_filter, op8_embed_dedup, op9_quality, op10_bpe)}
 
 
 def all_sql() -> dict[str, str]:
