@@ -12,13 +12,19 @@ prefix members as the smaller of its two ``l``.
    Golomb-coded (:mod:`exchange`), and receive how many documents hold each.
    A document of which fewer than ``need`` shingles are held twice is alone.
 2. Documents with one and the same set (128-bit hash) become one node.
-3. Rounds of pivots: in the list of each prefix member, every node meets one
-   node of the list; each node verifies the one it meets most often.  Verified
-   links make components.  A group of thousands of near copies melts to a few
-   components in a round, with one verification per node.
-4. The rest, exactly: pairs in the prefix lists whose nodes are in different
-   components, counted, filtered by ``l`` and size, verified.  (Links inside a
-   component can't change it.)
+3. Rounds of pivots: in the list of each prefix member, every node meets the
+   list's most central node (whose shingles are held most often); each node
+   verifies the one it meets most often.  Verified links make components, and
+   lists that lie in one component are done.  A group of thousands of near
+   copies melts to a few components, with one verification per node and round.
+   The rounds end when the pairs left across components are no more than the
+   list entries, when a round gains little, or after ``ROUNDS``.
+4. The rest, exactly, where links inside a component can't change it.  Lists of
+   fewer than ``HOT`` nodes: their pairs across components, counted, filtered by
+   ``l`` and size, verified.  Longer lists: nodes that such lists tie together
+   form a bundle, dealt into blocks; a cell counts the common members of all
+   pairs of two blocks and returns the links that join components there, at
+   most one per node, so no pairs are emitted.
 
 Defined results: a null text counts as empty and is linked with nothing; a null
 id is smaller than any other; rows with one id are one node; an empty table
@@ -33,7 +39,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
@@ -43,11 +49,14 @@ from .graph import components
 
 BITS = 48  # of the hashes that are counted; sets keep 64
 MOST_MATCHES = 8
-ROUNDS = 3
+ROUNDS = 4
+HOT = 48  # nodes of a list that is compared in blocks
+BLOCK = 512  # nodes of a block
+COLUMNS = 4096  # members counted at a time
 NULL_ID = -2 ** 63
-SKETCH = ("id long, n long, key binary, matches int, members array<long>, hashes binary")
+SKETCH = "id long, n long, key binary, matches int, central double, members array<long>, hashes binary"
 SKETCH_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("matches", pa.int32()),
-                          ("members", pa.list_(pa.int64())), ("hashes", pa.binary())])
+                          ("central", pa.float64()), ("members", pa.list_(pa.int64())), ("hashes", pa.binary())])
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -112,15 +121,14 @@ def sketches(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
 
     def sketch(group: pa.Table, replies: pa.Table) -> pa.Table:
         ids, sets, flat, sizes = read(group)
-        values = np.unique(flat)
-        held = ex.answers(replies)[np.searchsorted(values, flat)] if len(flat) else np.empty(0, np.uint8)
+        held = ex.answers(replies)[np.unique(flat, return_inverse=True)[1]]
         out, at = [], 0
         for i, hashes, n in zip(ids, sets, sizes.tolist(), strict=True):
             counts = held[at:at + n]
             at += n
             key = np.concatenate((np.bitwise_xor.reduce(tk.mix(hashes + np.uint64(1)), keepdims=True),
                                   np.add.reduce(tk.mix(hashes ^ np.uint64(77)), keepdims=True))).tobytes()
-            row = (i, n, key, None, None, None)
+            row = (i, n, key, None, None, None, None)
             least = int(need(n, t))
             if n and (counts > 1).sum() >= least:
                 order = np.lexsort((hashes, counts))
@@ -128,7 +136,7 @@ def sketches(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
                 matches = choose_matches(ranked, n, t)
                 first = order[:n - least + matches]
                 members = hashes[first[counts[first] > 1]]
-                row = (i, n, key, matches, members.view(np.int64).tolist(), hashes.tobytes())
+                row = (i, n, key, matches, float(counts.mean()), members.view(np.int64).tolist(), hashes.tobytes())
             out.append(row)
         return ex.to_table(out, SKETCH_ARROW)
 
@@ -137,7 +145,8 @@ def sketches(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: exact."""
+    """The rows of ``pairs`` (a, b, ...) whose sets are similar enough: exact."""
+    columns = pairs.columns
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,11 +157,100 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
                 keep.append(t.denominator * both >= t.numerator * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
 
     one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(check, "a long, b long").distinct()
+    joined = pairs.join(one, "a").join(two, "b").select(*columns, "x", "y")
+    return joined.mapInArrow(check, pairs.schema).distinct()
+
+
+def open_lists(lists: DataFrame) -> DataFrame:
+    """The lists whose nodes lie in several components."""
+    several = lists.groupBy("member").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return written(lists.join(several.where("lo < hi").select("member"), "member"))
+
+
+def pairs_left(lists: DataFrame) -> tuple[int, float]:
+    """Entries of the lists, and pairs across components in them."""
+    each = lists.groupBy("member", "component").agg(F.count("*").cast("double").alias("n"))
+    each = each.groupBy("member").agg(F.sum("n").alias("n"), F.sum(F.col("n") ** 2).alias("inside"))
+    row = each.agg(F.sum("n").alias("n"), F.sum((F.col("n") ** 2 - F.col("inside")) / 2).alias("pairs")).first()
+    return int(row["n"] or 0), float(row["pairs"] or 0)
+
+
+def pivot_pairs(lists: DataFrame, turn: int, t: Fraction) -> DataFrame:
+    """``a, b, ca, cb``: every node with the pivot it meets most often in
+    another component.  Later rounds vary the choice among central nodes."""
+    vary = 1 - F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1000)) / 10000 if turn else F.lit(1.0)
+    pivots = lists.groupBy("member").agg(F.max(F.struct(
+        (F.col("central") * vary).alias("rank"), "id", "n", "component")).alias("p")).select(
+        "member", F.col("p.id").alias("b"), F.col("p.n").alias("n2"), F.col("p.component").alias("cb"))
+    met = (lists.join(pivots, "member").where((F.col("component") != F.col("cb")) & fits(t))
+           .groupBy(F.col("id").alias("a"), F.col("component").alias("ca"), "b", "cb")
+           .agg(F.count("*").alias("times")))
+    best = met.groupBy("a", "ca").agg(F.max(F.struct("times", "b", "cb")).alias("best"))
+    return best.select("a", F.col("best.b").alias("b"), "ca", F.col("best.cb").alias("cb"))
+
+
+def joining_links(ids: list, parts: list, sets: list[np.ndarray], split: int, t: Fraction) -> list[tuple]:
+    """Similar pairs between the first ``split`` sets and all others (the same
+    set twice where a block meets itself) that join two components."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    values, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    row, both = np.repeat(np.arange(len(sets)), sizes), np.zeros((split, len(sets) - split), np.float32)
+    common = np.flatnonzero(times > 1)  # others are in no intersection
+    place = np.full(len(values), -1)
+    place[common] = np.arange(len(common))
+    column = place[column]
+    for start in range(0, len(common), COLUMNS):
+        mine = (column >= start) & (column < start + COLUMNS)
+        held = np.zeros((len(sets), min(COLUMNS, len(common) - start)), np.float32)
+        held[row[mine], column[mine] - start] = 1
+        both += held[:split] @ held[split:].T
+    union = sizes[:split, None] + sizes[None, split:] - both
+    x, y = np.nonzero(t.denominator * both >= t.numerator * union)
+    group: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while group.setdefault(c, c) != c:
+            group[c] = c = group[group[c]]
+        return c
+
+    out = []
+    for i, j in zip(x.tolist(), (y + split).tolist(), strict=True):
+        a, b = find(parts[i]), find(parts[j])
+        if a != b:
+            group[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def bundle_links(lists: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Links that join components among the nodes of long lists."""
+    first = lists.groupBy("member").agg(F.min("id").alias("b")).select("member", "b")
+    tied = components(lists.join(first, "member").select(F.col("id").alias("a"), "b"))
+    nodes = lists.select("id", F.col("component").alias("part")).distinct()
+    bundles = nodes.join(tied, "id").select("id", "part", F.col("component").alias("bundle"))
+    blocks = bundles.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = written(bundles.join(blocks, "bundle").join(sets, "id").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    left = dealt.select("bundle", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), "block")).alias("j"),
+                        "id", "part", "hashes")
+    right = dealt.select("bundle", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("i"),
+                         F.col("block").alias("j"), "id", "part", "hashes")
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if one.num_rows and two.num_rows:
+            both = pa.concat_tables([one.select(["id", "part", "hashes"]), two.select(["id", "part", "hashes"])])
+            sets = [np.frombuffer(h, np.uint64) for h in both["hashes"].to_pylist()]
+            out = joining_links(both["id"].to_pylist(), both["part"].to_pylist(), sets, one.num_rows, t)
+        return ex.to_table(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    cell = ["bundle", "i", "j"]
+    return left.groupBy(cell).cogroup(right.groupBy(cell)).applyInArrow(compare, "a long, b long")
 
 
 def fits(t: Fraction, a: str = "n", b: str = "n2"):
@@ -173,33 +271,38 @@ def ngram_join(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4
         classes.select("key", F.col("node").alias("id")), ["key", "id"], "left_semi")
     nodes = written(chosen.dropDuplicates(["key", "id"]))
     sets = nodes.select("id", "hashes")
-    lists = written(nodes.select("id", "n", "matches", F.explode("members").alias("member"))
-                    .withColumn("component", F.col("id")))
-    links = None
+    lists = open_lists(nodes.select("id", "n", "matches", "central", F.col("id").alias("component"),
+                                    F.explode("members").alias("member")))
+    found_links = []
+    entries, left = pairs_left(lists)
     for turn in range(ROUNDS):
-        # one pivot per list, another one each round
-        pivot = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), "id", "n", "component"))
-        pivots = lists.groupBy("member").agg(pivot.alias("p")).select(
-            "member", F.col("p.id").alias("b"), F.col("p.n").alias("n2"), F.col("p.component").alias("component2"))
-        met = (lists.join(pivots, "member").where((F.col("component") != F.col("component2")) & fits(t))
-               .groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("times")))
-        most = Window.partitionBy("a").orderBy(F.desc("times"), "b")
-        pairs = met.withColumn("r", F.row_number().over(most)).where("r = 1").select("a", "b")
-        new = written(verified(pairs, sets, t))
-        links = new if links is None else links.unionByName(new)
-        if not new.take(1):
+        if left <= entries:
+            break
+        new = written(verified(pivot_pairs(lists, turn, t), sets, t))
+        found_links.append(new.select("a", "b"))
+        moved = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(
+            F.col("id").alias("component"), F.col("component").alias("moved"))
+        lists = open_lists(lists.join(moved, "component", "left")
+                           .withColumn("component", F.coalesce("moved", "component")).drop("moved"))
+        before = left
+        entries, left = pairs_left(lists)
+        if left > 0.8 * before:
             break
-        lists = with_components(lists, links)
-    # exactly the rest: pairs across components, on lists that hold several
-    mixed = lists.groupBy("member").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_lists = lists.join(mixed.select("member"), "member")
-    other = open_lists.select("member", F.col("id").alias("b"), F.col("n").alias("n2"),
-                              F.col("matches").alias("matches2"), F.col("component").alias("component2"))
-    rest = (open_lists.join(other, "member")
+    # exactly the rest: pairs across components
+    lengths = lists.groupBy("member").agg(F.count("*").alias("length"))
+    lists = written(lists.join(lengths, "member"))
+    short = lists.where(F.col("length") < HOT)
+    other = short.select("member", F.col("id").alias("b"), F.col("n").alias("n2"),
+                         F.col("matches").alias("matches2"), F.col("component").alias("component2"))
+    rest = (short.join(other, "member")
             .where((F.col("component") < F.col("component2")) & fits(t))
             .groupBy(F.col("id").alias("a"), "b", "matches", "matches2").agg(F.count("*").alias("times"))
             .where(F.col("times") >= F.least("matches", "matches2")).select("a", "b"))
-    links = links.unionByName(written(verified(rest, sets, t)))
+    # a pair that shares a long list is compared there, any other is counted in full above
+    long = lists.where(F.col("length") >= HOT)
+    links = written(verified(rest, sets, t).unionByName(bundle_links(long, sets, t)).distinct())
+    for more in found_links:
+        links = links.unionByName(more)
     parts = components(links).select(F.col("id").alias("node"), "component")
     named = classes.join(parts, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     out = found.select("id", "n", "key", "matches").join(named, "key", "left")
@@ -209,11 +312,6 @@ def ngram_join(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4
                       known(component).alias("component_id"))
 
 
-def with_components(lists: DataFrame, links: DataFrame) -> DataFrame:
-    parts = components(links).select("id", F.col("component").alias("found"))
-    return written(lists.join(parts, "id", "left").withColumn("component", F.coalesce("found", "id")).drop("found"))
-
-
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each component (the smallest id), all
     columns as they were."""
