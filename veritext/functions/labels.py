@@ -55,6 +55,10 @@ LIAR_SCHEMES = {"6way": LIAR_6WAY, "3way": LIAR_3WAY, "2way": LIAR_2WAY}
 FAKEDDIT_SCHEMES = {"6way": FAKEDDIT_6WAY, "3way": FAKEDDIT_3WAY, "2way": FAKEDDIT_2WAY}
 
 
+# schemes whose class 0 is the true one
+ZERO_IS_TRUE = ("fakeddit6", "fakeddit3", "fakeddit2", "sample6", "sample3", "sample2", "ternary")
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -91,8 +95,9 @@ def harmonise_binary(df: DataFrame, scheme: str, id_col: str = "label_id",
                      label_col: str = "label") -> DataFrame:
     """Map any supported scheme to binary (0 fake, 1 true).
 
-    ``scheme`` is explicit: ``binary`` (ids kept), ``fakeddit6`` (only satire
-    is 1), ``liar6`` (<=2 -> 0), ``ternary`` (0 -> 1).  ``auto`` reproduces the
+    ``scheme`` is explicit: ``binary`` (ids kept), ``fakeddit6``,
+    ``fakeddit3``, ``fakeddit2``, ``sample3``, ``sample2`` and ``ternary``
+    (id 0 is the true class), ``liar6`` (<=2 -> 0).  ``auto`` reproduces the
     original detection rules with one small aggregate over the ids.
     """
     i = _c(id_col)
@@ -100,11 +105,9 @@ def harmonise_binary(df: DataFrame, scheme: str, id_col: str = "label_id",
         scheme = detect_scheme(df, id_col, label_col)
     if scheme == "binary":
         new = i
-    elif scheme == "fakeddit6":
-        new = F.when(i == 0, 1).otherwise(0)
     elif scheme == "liar6":
         new = F.when(i <= 2, 0).otherwise(1)
-    elif scheme == "ternary":
+    elif scheme in ZERO_IS_TRUE:
         new = F.when(i == 0, 1).otherwise(0)
     else:
         raise ValueError(f"unknown scheme {scheme!r}")

@@ -146,8 +146,8 @@ def assemble_statement(statement, subject) -> Column:
                   F.concat(s, F.lit(" ["), sub, F.lit("]"))).otherwise(s)
 
 
-def assemble_title_content(title, content, max_content: int | None = 800) -> Column:
-    """``title. content[:max]``; title alone when content is null."""
+def assemble_title_content(title, content, max_content: int | None = None) -> Column:
+    """``title. content`` (``content[:max]`` when a limit is given); title alone when content is null."""
     t = F.coalesce(_c(title), F.lit(""))
     c = _c(content)
     if max_content is not None:

@@ -3,14 +3,24 @@ scores with an under-served flag, and length profiles per class."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import confusion_counts, per_class
 
 
-def split_class_counts(df: DataFrame, split_col: str = "split", label_col: str = "label_id") -> DataFrame:
-    return df.groupBy(split_col, label_col).agg(F.count(F.lit(1)).alias("n"))
+def split_class_counts(df: DataFrame, split_col: str = "split", label_col: str = "label_id",
+                       classes: list | None = None) -> DataFrame:
+    """(split, class, n) for every split and every class (A2): a class that a
+    split lacks counts 0.  ``classes`` defaults to those of any split."""
+    cnt = df.groupBy(split_col, label_col).agg(F.count(F.lit(1)).alias("n"))
+    # splits x classes rows: the window over the count table is bounded
+    known = F.array(*map(F.lit, classes)) if classes else F.collect_set(label_col).over(Window.partitionBy())
+    full = (cnt.withColumn("_known", known)
+               .select(F.col(split_col).alias("_split"), F.explode("_known").alias("_class")).distinct())
+    on = F.col("_split").eqNullSafe(F.col(split_col)) & (F.col("_class") == F.col(label_col))
+    return full.join(cnt, on, "left").select(F.col("_split").alias(split_col), F.col("_class").alias(label_col),
+                                             F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def imbalance_ratio(counts: DataFrame, group: list[str] | None = None, n_col: str = "n") -> DataFrame:

@@ -99,7 +99,7 @@ def histogram(df: DataFrame, value_col: str, group: list[str], bins: int = 30) -
     """Equal-width density histogram per group over the group's own min..max
     (A17).  Two passes: a min/max aggregate (one row per group, joined
     back) and a count per (group, bin).  Last bin is closed; a degenerate
-    range uses [v-0.5, v+0.5]."""
+    range uses [v-0.5, v+0.5]; empty bins have count 0."""
     rng = df.groupBy(*group).agg(F.min(value_col).cast("double").alias("_lo"),
                                  F.max(value_col).cast("double").alias("_hi"),
                                  F.count(F.lit(1)).alias("_n"))
@@ -114,9 +114,11 @@ def histogram(df: DataFrame, value_col: str, group: list[str], bins: int = 30) -
     from .metrics import materialize_small
     rng = materialize_small(rng)
     counted = (df.join(rng, group)
-                 .groupBy(*group, b.alias("bin"), "_lo2", "_w", "_n")
-                 .agg(F.count(F.lit(1)).alias("count")))
-    return counted.select(*group, "bin",
+                 .groupBy(*group, b.alias("bin"))
+                 .agg(F.count(F.lit(1)).alias("_count")))
+    grid = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    filled = grid.join(counted, [*group, "bin"], "left").withColumn("count", F.coalesce("_count", F.lit(0)).cast("long"))
+    return filled.select(*group, "bin",
                           (F.col("_lo2") + F.col("bin") * F.col("_w")).alias("bin_start"),
                           (F.col("_lo2") + (F.col("bin") + 1) * F.col("_w")).alias("bin_end"),
                           "count", (F.col("count") / (F.col("_n") * F.col("_w"))).alias("density"))

@@ -56,7 +56,11 @@ def balanced_weights(df: DataFrame, label_col: str = "label_id", weight_col: str
     return metrics.with_class_weight(df, label_col, weight_col)
 
 
-def make_lr(n: int, C: float = 1.0, max_iter: int = 100, weighted: bool = True) -> LogisticRegression:
+# Iteration limits of the original solvers.
+LR_ITERATIONS, SVC_ITERATIONS = 1000, 2000
+
+
+def make_lr(n: int, C: float = 1.0, max_iter: int = LR_ITERATIONS, weighted: bool = True) -> LogisticRegression:
     kw = dict(featuresCol="features", labelCol="label", family="multinomial", regParam=1.0 / (C * n),
               elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4)
     if weighted:
@@ -72,7 +76,7 @@ def make_nb(alpha: float = 1.0, weighted: bool = True) -> NaiveBayes:
 
 
 def _svc(n: int, C: float, weighted: bool, label: str) -> LinearSVC:
-    kw = dict(featuresCol="features", labelCol=label, regParam=1.0 / (C * n), maxIter=100,
+    kw = dict(featuresCol="features", labelCol=label, regParam=1.0 / (C * n), maxIter=SVC_ITERATIONS,
               standardization=False, tol=1e-4)
     if weighted:
         kw["weightCol"] = "weight"

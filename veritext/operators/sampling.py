@@ -66,18 +66,52 @@ def _ceil_pct(n, pct: int):
     return F.floor((n * F.lit(pct) + F.lit(99)) / F.lit(100)).cast("long")
 
 
+def split_thresholds(df: DataFrame, label_col: str, key: str, cuts: list[int], seed: int = 42,
+                     bits: int = 16) -> DataFrame:
+    """One row per class: for cut number i (percent of the class) ``_cut_i`` is
+    the (hash, key) of the first row past it, null when no row is past it.
+
+    Only (class, key) is read.  Bucket counts place each cut in one bucket, and
+    only those buckets' rows (n / 2^bits of a class) are ranked."""
+    ids = df.select(F.col(label_col).alias("_class"), F.col(key).alias("_key"), hash_key(seed, key).alias("_h")) \
+        .withColumn("_b", F.shiftright(F.col("_h"), 32 - bits) if bits else F.lit(0)).where("_class is not null")
+    cells = ids.groupBy("_class", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    one = Window.partitionBy("_class")
+    upto = one.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_off", F.sum("_cnt").over(upto) - F.col("_cnt")).withColumn("_n", F.sum("_cnt").over(one))
+    at = F.array(*[F.struct(F.lit(i).alias("_i"), _ceil_pct(F.col("_n"), c).alias("_at")) for i, c in enumerate(cuts)])
+    from .metrics import materialize_small
+    # a row per class and cut, and the class itself where no cut falls inside
+    cells = cells.select("_class", "_b", "_off", F.filter(
+        at, lambda x: (x["_at"] >= F.col("_off")) & (x["_at"] < F.col("_off") + F.col("_cnt"))).alias("_in"))
+    bounds = materialize_small(cells.where((F.size("_in") > 0) | (F.col("_off") == 0))
+                               .select("_class", "_b", "_off", F.explode_outer("_in").alias("_x"))
+                               .select("_class", "_b", "_off", "_x._i", "_x._at"))
+    rank = F.row_number().over(Window.partitionBy("_class", "_b", "_i").orderBy("_h", "_key")) - 1 + F.col("_off")
+    first = (ids.join(bounds.where("_i is not null"), ["_class", "_b"]).withColumn("_rank", rank)
+                .where(F.col("_rank") == F.col("_at")).select("_class", "_i", F.struct("_h", "_key").alias("_first")))
+    cols = [F.max(F.when(F.col("_i") == i, F.col("_first"))).alias(f"_cut_{i}") for i in range(len(cuts))]
+    return bounds.select("_class").distinct().join(first, "_class", "left").groupBy("_class").agg(*cols)
+
+
 def stratified_split(df: DataFrame, label_col: str = "label_id", key: str = "doc_id",
                      test_pct: int = 20, val_pct: int = 10, seed: int = 42,
                      bits: int = 16, split_col: str = "split") -> DataFrame:
     """Exact per-class split: the first ceil(n_c*test%) rows of a class (in
     hash order) are test, the next up to ceil(n_c*(test+val)%) are val, the
-    rest train.  Percentages are integers so the cut is exact."""
-    r = exact_rank(df, [label_col], key, seed, bits)
-    n = F.col("_n")
-    split = (F.when(F.col("_rank") < _ceil_pct(n, test_pct), F.lit("test"))
-              .when(F.col("_rank") < _ceil_pct(n, test_pct + val_pct), F.lit("val"))
+    rest train.  Percentages are integers so the cut is exact.  Rows are
+    compared with their class's thresholds where they are: nothing but
+    (class, key) of the buckets at the cuts is shuffled.  ``key`` is unique
+    (rows that share one fall on the same side); rows without a class are
+    dropped."""
+    from .metrics import materialize_small
+    cuts = materialize_small(split_thresholds(df, label_col, key, [test_pct, test_pct + val_pct], seed, bits))
+    me = F.struct(hash_key(seed, key).alias("_h"), F.col(key).alias("_key"))
+    split = (F.when(F.col("_cut_0").isNull() | (me < F.col("_cut_0")), F.lit("test"))
+              .when(F.col("_cut_1").isNull() | (me < F.col("_cut_1")), F.lit("val"))
               .otherwise(F.lit("train")))
-    return r.withColumn(split_col, split).drop("_rank", "_n")
+    return (df.join(cuts, F.col(label_col) == F.col("_class")).withColumn(split_col, split)
+              .drop("_class", "_cut_0", "_cut_1"))
 
 
 def kfold_assign(df: DataFrame, k: int = 3, label_col: str = "label_id", key: str = "doc_id",

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import name_for_id
 from ..operators import bias, errors, metrics, models, nb, sampling
-from ..operators.encode import encode_fixed_length, token_vocabulary
+from ..operators.encode import encode_fixed_length
 from ..operators.tfidf import fit_tfidf
+from ..sources.tables import labelled_corpus
 from .common import SEED, cleaned_corpus
 
 
@@ -137,20 +138,13 @@ def run_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_WS_RUN = r"[ \t\n\x0B\f\r]+"
 
 
-def run_transformer_arm(spark: SparkSession, sf_dir: str, max_train: int | None = 2000,
-                        max_length: int = 128) -> dict[str, DataFrame]:
+def run_transformer_arm(spark: SparkSession, sf_dir: str, max_length: int = 128) -> dict[str, DataFrame]:
     """C9 data flow: RAW text (lower-cased tokens, no cleaning rules), exact
-    70/15/15 split, train capped by an exact hash sample, fixed-length
-    encoding for every split.  The network itself is external (batch scorer)."""
-    c = cleaned_corpus(spark, sf_dir).withColumn("raw_tokens_text", F.lower(F.col("text")))
-    s = sampling.stratified_split(c, "label_id", "doc_id", 15, 15, SEED)
-    train = s.where(F.col("split") == "train")
-    if max_train:
-        train = sampling.hash_sample(train, max_train, "doc_id", SEED)
-    rest = s.where(F.col("split") != "train")
+    70/15/15 split, every window of every text.  The network itself is
+    external (batch scorer)."""
+    c = labelled_corpus(spark, sf_dir)
+    s = sampling.stratified_split(c.select("doc_id", "label_id"), "label_id", "doc_id", 15, 15, SEED)
     # Java's \s spelled out, so the SQL oracle's regex means the same
-    used = train.unionByName(rest).withColumn("clean_text", F.regexp_replace("raw_tokens_text", RAW_WS_RUN, " "))
-    vocab = token_vocabulary(used.where(F.col("split") == "train"), max_vocab=30000)
-    enc = encode_fixed_length(used, vocab, max_length=max_length)
-    return {"split": s.select("doc_id", "label_id", "split"), "encoded": enc,
-            "weights": metrics.class_weights(train)}
+    raw = c.select("doc_id", F.regexp_replace(F.lower("text"), RAW_WS_RUN, " ").alias("clean_text"))
+    return {"split": s, "encoded": encode_fixed_length(raw, max_length=max_length),
+            "weights": metrics.class_weights(s.where(F.col("split") == "train"))}

@@ -47,7 +47,7 @@ S["text_assembly_liar"] = """SELECT conv_id, turn,
 FROM conversations"""
 
 S["text_assembly_nela"] = """SELECT doc_id,
-  CASE WHEN text IS NULL THEN coalesce(source, '') ELSE coalesce(source, '') || '. ' || substring(text, 1, 800) END AS text
+  CASE WHEN text IS NULL THEN coalesce(source, '') ELSE coalesce(source, '') || '. ' || text END AS text
 FROM documents"""
 
 S["min_length_filter"] = f"""SELECT doc_id, CAST(length({strip_ws('text')}) AS INTEGER) AS stripped_len
@@ -163,7 +163,9 @@ cnt AS (SELECT label_id, count(*) AS n_c FROM split WHERE split = 'train' GROUP
 SELECT label_id, n_c, {r6('sum(n_c) OVER () / (count(*) OVER () * n_c)')} AS weight FROM cnt"""
 
 S["imbalance_ratio"] = f"""{_SPLIT},
-cnt AS (SELECT split, label_id, count(*) AS n FROM split GROUP BY ALL)
+grid AS (SELECT * FROM (SELECT DISTINCT split FROM split), (SELECT DISTINCT label_id FROM split)),
+cnt AS (SELECT g.split, g.label_id, count(s.doc_id) AS n FROM grid g
+        LEFT JOIN split s ON s.split = g.split AND s.label_id = g.label_id GROUP BY ALL)
 SELECT split, max(n) AS max_n, min(n) AS min_n,
   {r6("CASE WHEN min(n) > 0 THEN CAST(max(n) AS DOUBLE) / min(n) ELSE 'inf'::DOUBLE END")} AS imbalance_ratio
 FROM cnt GROUP BY split"""
@@ -276,9 +278,10 @@ rng2 AS (SELECT correct, n, CASE WHEN hi = lo THEN lo - 0.5 ELSE lo END AS lo2,
 rng3 AS (SELECT *, (hi2 - lo2) / 30 AS w FROM rng2),
 b AS (SELECT r.correct, CAST(least(29, floor((CAST(d.word_count AS DOUBLE) - r.lo2) / r.w)) AS INTEGER) AS bin, r.lo2, r.w, r.n
       FROM dp d JOIN rng3 r ON d.correct = r.correct)
-SELECT correct, bin, {r6('lo2 + bin * w')} AS bin_start, {r6('lo2 + (bin + 1) * w')} AS bin_end, count(*) AS count,
-  {r6('count(*) / (n * w)')} AS density
-FROM b GROUP BY correct, bin, lo2, w, n"""
+SELECT g.correct, CAST(g.bin AS INTEGER) AS bin, {r6('g.lo2 + g.bin * g.w')} AS bin_start,
+  {r6('g.lo2 + (g.bin + 1) * g.w')} AS bin_end, count(b.bin) AS count, {r6('count(b.bin) / (g.n * g.w)')} AS density
+FROM (SELECT *, unnest(range(30)) AS bin FROM rng3) g LEFT JOIN b ON b.correct = g.correct AND b.bin = g.bin
+GROUP BY g.correct, g.bin, g.lo2, g.w, g.n"""
 
 S["performance_disparities"] = f"""WITH {_DP},{metrics_ctes('dp')}
 SELECT cls, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1,
@@ -313,16 +316,13 @@ SELECT label_id, CAST(rank AS INTEGER) AS rank, term, {r6('theta')} AS theta FRO
 
 S["fixed_length_encode"] = f"""WITH {_C},
 toks AS (SELECT doc_id, list_filter(string_split(clean_text, ' '), lambda w: w <> '') AS t FROM c),
-freq AS (SELECT token, count(*) AS tf FROM (SELECT unnest(t) AS token FROM toks) GROUP BY token),
-vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY tf DESC, token) + 1 AS INTEGER) AS token_id
-          FROM freq ORDER BY tf DESC, token LIMIT 30000),
-ex AS (SELECT doc_id, unnest(t[1:128]) AS token, generate_subscripts(t[1:128], 1) AS pos FROM toks),
-ids AS (SELECT e.doc_id, list(CAST(coalesce(v.token_id, 1) AS INTEGER) ORDER BY e.pos) AS ids
-        FROM ex e LEFT JOIN vocab v ON e.token = v.token GROUP BY e.doc_id)
-SELECT t.doc_id, list_resize(coalesce(i.ids, []::INTEGER[]), 128, 0) AS input_ids,
-  list_resize(list_transform(coalesce(i.ids, []::INTEGER[]), lambda x: 1), 128, 0) AS attention_mask,
-  CAST(len(t.t) AS INTEGER) AS n_tokens
-FROM toks t LEFT JOIN ids i ON t.doc_id = i.doc_id"""
+win AS (SELECT doc_id, t, unnest(range(greatest(CAST(ceil(len(t) / 128.0) AS BIGINT), 1))) AS chunk FROM toks),
+cut AS (SELECT doc_id, chunk, len(t) AS n, t[chunk * 128 + 1 : chunk * 128 + 128] AS w FROM win)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk,
+  list_resize(list_transform(w, lambda x: CAST({hkey(42, 'x')} % 2147483645 + 2 AS INTEGER)), 128, 0) AS input_ids,
+  list_resize(list_transform(w, lambda x: 1), 128, 0) AS attention_mask,
+  CAST(n AS INTEGER) AS n_tokens
+FROM cut"""
 
 
 def _gap(reverse: bool = False, source: str = "en", target: str = "other"):
@@ -384,23 +384,17 @@ def all_sql() -> dict[str, str]:
     return out
 
 
-# C9 data flow: raw lower-cased text, exact 70/15/15 split, train capped by
-# the exact hash sample (2000), vocabulary from the used train rows, ids
-# truncated to 128 and padded; tokens are split on single spaces after the
-# whitespace runs are collapsed (empty pieces are tokens, as in Spark).
-S["transformer_arm_encode"] = f"""WITH {CORPUS},{split_cte('cleaned', 'sp', 15, 15)},
+# C9 data flow: raw lower-cased text, exact 70/15/15 split, every 128-token
+# window of every row; tokens are split on single spaces after the whitespace
+# runs are collapsed (empty pieces are tokens, as in Spark).
+S["transformer_arm_encode"] = f"""WITH {CORPUS},{split_cte('corpus', 'sp', 15, 15)},
 raw AS (SELECT doc_id, label_id, split, regexp_replace(lower(text), {lit(RAW_WS_RUN)}, ' ', 'g') AS rt FROM sp),
-trn AS (SELECT * FROM raw WHERE split = 'train' ORDER BY {hkey(42, 'doc_id')}, doc_id LIMIT 2000),
-used AS (SELECT * FROM trn UNION ALL SELECT * FROM raw WHERE split <> 'train'),
 toks AS (SELECT doc_id, label_id, split,
-                CASE WHEN rt = '' THEN []::VARCHAR[] ELSE string_split(rt, ' ') END AS t FROM used),
-freq AS (SELECT token, count(*) AS tf FROM (SELECT unnest(t) AS token FROM toks WHERE split = 'train') GROUP BY token),
-vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY tf DESC, token) + 1 AS INTEGER) AS token_id
-          FROM freq ORDER BY tf DESC, token LIMIT 30000),
-ex AS (SELECT doc_id, unnest(t[1:128]) AS token, generate_subscripts(t[1:128], 1) AS pos FROM toks),
-ids AS (SELECT e.doc_id, list(CAST(coalesce(v.token_id, 1) AS INTEGER) ORDER BY e.pos) AS ids
-        FROM ex e LEFT JOIN vocab v ON e.token = v.token GROUP BY e.doc_id)
-SELECT t.doc_id, list_resize(coalesce(i.ids, []::INTEGER[]), 128, 0) AS input_ids,
-  list_resize(list_transform(coalesce(i.ids, []::INTEGER[]), lambda x: 1), 128, 0) AS attention_mask,
-  CAST(len(t.t) AS INTEGER) AS n_tokens, t.label_id, t.split
-FROM toks t LEFT JOIN ids i ON t.doc_id = i.doc_id"""
+                CASE WHEN rt = '' THEN []::VARCHAR[] ELSE string_split(rt, ' ') END AS t FROM raw),
+win AS (SELECT doc_id, label_id, split, t, unnest(range(greatest(CAST(ceil(len(t) / 128.0) AS BIGINT), 1))) AS chunk FROM toks),
+cut AS (SELECT doc_id, label_id, split, chunk, len(t) AS n, t[chunk * 128 + 1 : chunk * 128 + 128] AS w FROM win)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk,
+  list_resize(list_transform(w, lambda x: CAST({hkey(42, 'x')} % 2147483645 + 2 AS INTEGER)), 128, 0) AS input_ids,
+  list_resize(list_transform(w, lambda x: 1), 128, 0) AS attention_mask,
+  CAST(n AS INTEGER) AS n_tokens, label_id, split
+FROM cut"""

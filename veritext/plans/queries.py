@@ -17,7 +17,7 @@ from ..functions.hashing import hash_key
 from ..functions.text import (assemble_statement, assemble_title_content, char_length, clean_text,
                               drop_stopwords, normalise_source_key, with_clean, word_count, WS)
 from ..operators import bias, errors, metrics, nb, sampling
-from ..operators.encode import encode_fixed_length, token_vocabulary
+from ..operators.encode import encode_fixed_length
 from ..operators.lemma import lemma_table, token_table
 from ..operators.tfidf import fit_tfidf, term_frequencies, term_stats
 from ..sources.synthetic import generate_corpus
@@ -111,7 +111,7 @@ def q_text_assembly_liar(spark, d):
 @query("text_assembly_nela")
 def q_text_assembly_nela(spark, d):
     t = read_table(spark, d, "documents")
-    return t.select("doc_id", assemble_title_content("source", "text", 800).alias("text"))
+    return t.select("doc_id", assemble_title_content("source", "text").alias("text"))
 
 
 def strip_ws(col):
@@ -430,7 +430,7 @@ def q_bigrams(spark, d):
 
 
 def _fitted(spark, d):
-    s = split_corpus(spark, d).cache()
+    s = split_corpus(spark, d)
     model = fit_tfidf(s.where(F.col("split") == "train"), max_features=10000)
     return s, model
 
@@ -476,8 +476,7 @@ def q_top_features(spark, d):
 @query("fixed_length_encode")
 def q_encode(spark, d):
     c = read_table(spark, d, "documents").select("doc_id", clean_text("text").alias("clean_text"))
-    v = token_vocabulary(c, max_vocab=30000)
-    return encode_fixed_length(c, v, max_length=128)
+    return encode_fixed_length(c, max_length=128)
 
 
 @query("generalization_gap")

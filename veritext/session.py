@@ -14,11 +14,13 @@ def get_spark(master: str | None = None, partitions: int | None = None,
               app: str = "veritext") -> SparkSession:
     """Return the active session or build a local one tuned for small runs.
 
-    On a cluster the session is created by the launcher; we only read it.
+    On a cluster the launcher sets the master and the sizes; they are kept.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
+    if "PYSPARK_GATEWAY_PORT" in os.environ and master is None:  # set by spark-submit
+        return SparkSession.builder.appName(app).getOrCreate()
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     master = master or f"local[{cpus}]"
     partitions = partitions or cpus

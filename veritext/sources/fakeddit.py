@@ -48,7 +48,7 @@ def load_fakeddit(spark: SparkSession, data_dir: str, label_scheme: str = "6way"
                   seed: int = 42) -> dict[str, DataFrame]:
     scheme_map = FAKEDDIT_SCHEMES[label_scheme]
     out: dict[str, DataFrame] = {}
-    for split, fname in SPLIT_FILES.items():
+    for number, (split, fname) in enumerate(SPLIT_FILES.items()):
         path = f"{data_dir.rstrip('/')}/{fname}"
         if not fs.exists(spark, path):
             continue  # a missing split is skipped
@@ -65,15 +65,17 @@ def load_fakeddit(spark: SparkSession, data_dir: str, label_scheme: str = "6way"
             (c for c in ["6_way_label", "3_way_label", "2_way_label"] if c in cols), None)
         if label_col is None:
             continue
-        df = raw.select(*[c for c in KEEP if c in cols]).withColumn("text", text)
+        # unique by position in the scan; the split's number is in the top bits
+        df = raw.select(*[c for c in KEEP if c in cols]).withColumn("text", text).withColumn(
+            "doc_id", F.monotonically_increasing_id() + F.lit(number << 61))
         df = df.withColumn("label_id", F.expr(f"try_cast(`{label_col}` AS INT)"))
         df = df.withColumn("label", F.element_at(map_expr(scheme_map), F.col("label_id")))
         if filter_political and "subreddit" in cols:
             df = df.where(topic_mask(F.col("subreddit"), F.col("text")))
-        df = df.select("text", "label", "label_id").dropna()
-        df = df.withColumn("doc_id", F.xxhash64(F.lit(split), "text", "label_id"))
+        df = df.select("doc_id", "text", "label", "label_id").dropna()
         if max_samples:
-            df = hash_sample(df, max_samples, "doc_id", seed)
+            df = hash_sample(df.withColumn("_content", F.xxhash64(F.lit(split), "text", "label_id")), max_samples,
+                             "_content", seed).drop("_content")
         out[split] = df.withColumn("split", F.lit(split))
     return out
 

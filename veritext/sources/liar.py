@@ -32,15 +32,16 @@ def load_liar(spark: SparkSession, data_dir: str, label_scheme: str = "2way", sp
     raw = parts[0]
     for p in parts[1:]:
         raw = raw.unionByName(p)
-    df = raw.withColumn("text", assemble_statement("statement", "subject"))
+    # unique by position in the scan: a statement that repeats keeps its own id
+    df = raw.withColumn("doc_id", F.monotonically_increasing_id()).withColumn("text", assemble_statement("statement", "subject"))
     df = remap_liar(df, "label", label_scheme, "label_id", "label")
     df = df.withColumn("source", F.coalesce(F.col("speaker"), F.lit("unknown")))
     stripped = F.regexp_replace(F.col("text"), rf"^[{WS}]+|[{WS}]+$", "")
-    df = (df.select("id", "split", "text", "label", "label_id", "source")
+    df = (df.select("doc_id", "id", "split", "text", "label", "label_id", "source")
             .where(F.col("text").isNotNull() & F.col("label_id").isNotNull())
             .where(F.col("label_id") >= 0)
-            .where(F.length(stripped) > 10)
-            .withColumn("doc_id", F.xxhash64("split", "id", "text")))
+            .where(F.length(stripped) > 10))
     if max_samples:
-        df = hash_sample(df, max_samples, "doc_id", seed)
+        df = hash_sample(df.withColumn("_content", F.xxhash64("split", "id", "text")), max_samples, "_content",
+                         seed).drop("_content")
     return df

@@ -71,12 +71,21 @@ def credibility_dimension(spark: SparkSession, pairs=None) -> DataFrame:
 
 
 def _finish(df: DataFrame, min_len: int, max_samples: int | None, seed: int) -> DataFrame:
-    df = df.where(F.length("text") > min_len).withColumn("doc_id", F.xxhash64("source", "text"))
+    """Drop short texts; an exact sample by the rows' content (equal rows are
+    interchangeable), so it does not depend on the file layout."""
+    df = df.where(F.length("text") > min_len)
     if max_samples:
-        df = hash_sample(df, max_samples, "doc_id", seed)
+        df = hash_sample(df.withColumn("_content", F.xxhash64("source", "text")), max_samples, "_content",
+                         seed).drop("_content")
     return df
 
 
+def with_id(raw: DataFrame) -> DataFrame:
+    """Unique ``doc_id`` by position in the scan (partition, row): repeated
+    articles keep ids of their own, and nothing is shuffled."""
+    return raw.withColumn("doc_id", F.monotonically_increasing_id())
+
+
 def load_nela_csv(spark: SparkSession, paths: list[str] | str, max_samples: int | None = None,
                   seed: int = 42, dim: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (corpus, unknown_sources) -- the anti-join is a DataFrame, not
@@ -85,6 +94,7 @@ def load_nela_csv(spark: SparkSession, paths: list[str] | str, max_samples: int
            .option("escape", '"').csv(paths))
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
     cols = set(raw.columns)
+    raw = with_id(raw.drop("doc_id"))
     if "source" not in cols:
         raise ValueError("CSV has no 'source' column")
     if "title" in cols and "content" in cols:
@@ -100,7 +110,7 @@ def load_nela_csv(spark: SparkSession, paths: list[str] | str, max_samples: int
     known = keyed.join(F.broadcast(dim), "source_key")  # <= a few hundred keys
     unknown = keyed.join(F.broadcast(dim), "source_key", "left_anti").groupBy("source").agg(
         F.count(F.lit(1)).alias("n"))
-    corpus = known.select("text", name_for_id("label_id", NELA_3WAY).alias("label"), "label_id", "source")
+    corpus = known.select("text", name_for_id("label_id", NELA_3WAY).alias("label"), "label_id", "source", "doc_id")
     return _finish(corpus, 20, max_samples, seed), unknown
 
 
@@ -132,12 +142,14 @@ JSON_SCHEMA = T.StructType([T.StructField("source", T.StringType()), T.StructFie
 
 
 def load_nela_json(spark: SparkSession, data_dir: str, max_samples: int | None = None,
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, max_content: int | None = None) -> DataFrame:
+    """Whole texts; ``max_content`` limits their characters."""
     articles = f"{data_dir.rstrip('/')}/articles"
     labels = load_labels_file(spark, f"{data_dir.rstrip('/')}/labels.csv", json_style=True)
     raw = (spark.read.schema(JSON_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").json(articles)
            .withColumn("_path", F.col("_metadata.file_path")))
+    raw = with_id(raw)
     parent = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
     src = F.coalesce(F.col("source"), parent)
     df = raw.withColumn("source", src).withColumn("source_key", F.lower("source"))
@@ -147,21 +159,22 @@ def load_nela_json(spark: SparkSession, data_dir: str, max_samples: int | None =
     text = F.coalesce(F.col("content"), F.col("title"), F.lit(""))
     stripped = F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+$", "")
     out = (j.where(F.length(stripped) > 20)
-            .select(F.substring(text, 1, 1000).alias("text"), "source", "label_id",
+            .select((F.substring(text, 1, max_content) if max_content else text).alias("text"), "source", "label_id",
+                    "doc_id",
                     F.coalesce(F.element_at(F.create_map(*[x for k, v in NELA_3WAY.items() for x in (F.lit(k), F.lit(v))]),
                                             F.col("label_id")), F.lit("unknown")).alias("label")))
     return _finish(out, 0, max_samples, seed)
 
 
 def load_nela_table(spark: SparkSession, labels: DataFrame, table: str = "newsdata",
-                    max_samples: int | None = None, seed: int = 42) -> DataFrame:
-    """Any registered table/view named ``newsdata`` (S10); labels: (source_key, label_id)."""
-    t = spark.table(table).select("source", "title", "content")
-    if max_samples:
-        t = t.limit(max_samples * 3)
+                    max_samples: int | None = None, seed: int = 42, max_content: int | None = None) -> DataFrame:
+    """Any registered table/view named ``newsdata`` (S10); labels: (source_key,
+    label_id).  Whole texts (``max_content`` limits their characters); the
+    sample is drawn from all rows that pass the join and the filters."""
+    t = with_id(spark.table(table).select("source", "title", "content"))
     j = t.withColumn("source_key", F.lower("source")).join(materialize_small(labels), "source_key")
-    out = j.select(assemble_title_content("title", "content", 800).alias("text"),
-                   name_for_id("label_id", NELA_3WAY).alias("label"), "label_id", "source").dropna()
+    out = j.select(assemble_title_content("title", "content", max_content).alias("text"),
+                   name_for_id("label_id", NELA_3WAY).alias("label"), "label_id", "source", "doc_id").dropna()
     return _finish(out, 20, max_samples, seed)
 
 

@@ -2,7 +2,9 @@
 
 ``both`` concatenates Fakeddit and NELA with ``unionByName(allowMissing)``
 after both are harmonised to binary (ids mean different things otherwise,
-D3) and uses whatever exists (D4)."""
+D3) and uses whatever exists (D4); ``data_dir`` then holds the folders
+``fakeddit`` and ``nela``.  ``doc_id`` is unique within a corpus, so keys of
+``both`` are (corpus, doc_id)."""
 
 from __future__ import annotations
 
@@ -16,7 +18,7 @@ def load_corpus(spark: SparkSession, dataset: str, data_dir: str | None = None,
                 max_samples: int | None = None, seed: int = 42, n_samples: int = 2000) -> DataFrame:
     if dataset == "fakeddit":
         from .fakeddit import load_fakeddit, union_splits
-        out = union_splits(load_fakeddit(spark, data_dir or "data/fakeddit", label_scheme.replace("way", "way"),
+        out = union_splits(load_fakeddit(spark, data_dir or "data/fakeddit", label_scheme,
                                          max_samples=max_samples, seed=seed))
         if out is None:
             raise FileNotFoundError("no Fakeddit split files found")
@@ -33,10 +35,11 @@ def load_corpus(spark: SparkSession, dataset: str, data_dir: str | None = None,
                                label_scheme, seed)
     if dataset == "both":
         parts = []
-        for name, scheme in (("fakeddit", "fakeddit6" if label_scheme == "6way" else "binary"), ("nela", "ternary")):
+        for name, scheme in (("fakeddit", "fakeddit" + label_scheme.replace("way", "")), ("nela", "ternary")):
             try:
-                df = load_corpus(spark, name, None, label_scheme, max_samples, seed)
-            except (FileNotFoundError, ValueError):
+                df = load_corpus(spark, name, f"{data_dir.rstrip('/')}/{name}" if data_dir else None, label_scheme,
+                                 max_samples, seed)
+            except FileNotFoundError:
                 continue
             parts.append(harmonise_binary(df, scheme).withColumn("corpus", F.lit(name)))
         if not parts:
