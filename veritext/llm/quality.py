@@ -162,7 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     marks = marks.where(" and ".join(f"{t} = {t}_max" for t in TARGETS)).select("id", *TARGETS)
     n = marks.count()
     share = min(1.0, fit_rows / max(1, n))
-    chosen = marks.where(unit("fit", "id") < share)
+    chosen = written(marks.where(unit("fit", "id") < share))
+    # about fit_rows narrow rows, counted: the texts stay where they are read
+    if chosen.count() <= 2 * fit_rows:
+        chosen = F.broadcast(chosen)
     sample = written(docs.join(chosen, "id").select("id", "content", *TARGETS))
     half = unit("half", "id") < 0.5
     first, second = sample.where(half), sample.where(~half)
