@@ -37,6 +37,27 @@ def test_block_rules():
     assert text("<main><p>kept <b>bold</p><p title='a>b'>and cut &am") == "kept bold\nand cut &am"
 
 
+def test_articles_are_one_signal():
+    text = html_extract.main_text
+    good = "The cat sat on the mat and it was happy with all that there is in the house. " * 3
+    teaser = "<article><h3><a href=x>A teaser</a></h3><p>Read on.</article>"
+    # the text stands beside teaser cards
+    assert text(f"<div><h1>Head</h1><p>{good}<p>Short one.<p>{good}</div>{teaser}{teaser}") == \
+        "\n".join(["Head", good.strip(), "Short one.", good.strip()])
+    assert text(f"<main><div>{good}</div>{teaser}{teaser}</main>") == good.strip()
+    # several articles with text, text beside an article, link lists beside it
+    assert text(f"<article><p>{good}<p>One.</article><article><p>Two.<p>{good}</article>") == \
+        "\n".join([good.strip(), "One.", "Two.", good.strip()])
+    assert text(f"<div>{good}</div><ul><li><a href=x>Link</a></ul><article><h2>Head</h2><p>{good}</article>") == \
+        "\n".join([good.strip(), "Head", good.strip()])
+    # no article, and an article without a long block or without stop words
+    assert text(f"<div><a href=x>Home</a></div><div>Near a link.</div><p>Open.<p>{good}") == f"Open.\n{good.strip()}"
+    strange = "Xq zv kkw prr " * 20
+    assert text("<div class=ad>Buy</div><article><h1>Head</h1><p>Short.</article><footer>x</footer>") == "Head\nShort."
+    assert text(f"<div>{good}</div><article><p>{strange}<p>Short.</article>") == \
+        "\n".join([good.strip(), strange.strip(), "Short."])
+
+
 def test_urls(spark):
     out = op7_url_filter(spark, SF01)
     assert out.columns == ["page_id", "host", "path", "rule", "verdict"]

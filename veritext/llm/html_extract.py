@@ -3,12 +3,13 @@
 Markup is scanned once into blocks of text, each with its length, its share of
 stop words, its share of linked characters and the containers it stands in.
 First pass: a block in a menu, header, footer, sidebar, notice, advert, form or
-comment container, or made of links, is decided bad; a block of the article
-container, or a long one rich in stop words, is decided good; the others (short
-or poor in stop words) stay open.  Second pass: an open block takes the label of
-the nearest decided block, good at a tie; on a page without decided blocks all
-open ones are good.  Where a page has an article container, blocks outside it
-are bad.
+comment container, or made of links, is decided bad; a long one rich in stop
+words is decided good, in an article container a long one of any words; the
+others (short or poor in stop words) stay open.  An article container that holds
+a decided good block (any of them, on a page without decided good blocks) makes
+its open blocks good.  Second pass: an open block takes the label of the nearest
+decided block, good at a tie; on a page without decided blocks all open ones are
+good.
 
 Defined results: a null or empty html gives an empty text; markup cut off at the
 end of the page is dropped, text cut off there is kept; unclosed and stray tags
@@ -63,7 +64,7 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     bad: bool = False
-    main: bool = False
+    mains: tuple[int, ...] = ()  # the article containers it stands in, innermost last
     heading: bool = False
     text: str = ""
 
@@ -104,7 +105,7 @@ def judged(tag: str, attributes: str, inside_main: bool) -> str:
 
 def blocks(page: str) -> list[Block]:
     out, block = [], Block()
-    stack: list[tuple[str, str]] = []  # open tags and what they are
+    stack: list[tuple[str, str, int]] = []  # open tags, what they are and where they start
     at, links = 0, 0
 
     def close() -> None:
@@ -114,11 +115,11 @@ def blocks(page: str) -> list[Block]:
             block.text = text
             block.pieces = []
             out.append(block)
-        kinds = [k for _, k in stack]
-        main = "main" in kinds
-        after = kinds[len(kinds) - kinds[::-1].index("main"):] if main else kinds
+        kinds = [k for _, k, _ in stack]
+        mains = tuple(start for _, k, start in stack if k == "main")
+        after = kinds[len(kinds) - kinds[::-1].index("main"):] if mains else kinds
         bad = "comment" in kinds or "bad" in after
-        block = Block(bad=bad, main=main, heading=any(t in HEADING for t, _ in stack))
+        block = Block(bad=bad, mains=mains, heading=any(t in HEADING for t, _, _ in stack))
 
     def add(text: str) -> None:
         block.pieces.append(text)
@@ -142,7 +143,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:  # end tag
             if tag == "a" and links:
                 links -= 1
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, _, _ in stack):
                 if tag in BLOCK:
                     close()
                 while stack.pop()[0] != tag:
@@ -162,7 +163,7 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             close()
             links = 0
-            open_tags = [t for t, _ in stack]
+            open_tags = [t for t, _, _ in stack]
             ends = {"li": "li", "td": "td", "th": "td", "tr": "tr", "dt": "dd", "dd": "dt", "option": "option"}.get(tag)
             for name in ("p", *([ends, tag] if ends else [])):
                 if name in open_tags:
@@ -172,8 +173,8 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             links += 1
         if tag not in VOID:
-            kind = judged(tag, m[3], any(k == "main" for _, k in stack)) if tag in BLOCK or m[3] else ""
-            stack.append((tag, kind if tag in BLOCK or kind in ("bad", "comment") else ""))
+            kind = judged(tag, m[3], any(k == "main" for _, k, _ in stack)) if tag in BLOCK or m[3] else ""
+            stack.append((tag, kind if tag in BLOCK or kind in ("bad", "comment") else "", at))
         if tag in BLOCK:
             close()
     close()
@@ -182,18 +183,26 @@ def blocks(page: str) -> list[Block]:
 
 def first_pass(found: list[Block], rules: Rules) -> list[bool | None]:
     """Good, bad or open (None) for every block."""
-    has_main = any(b.main and not b.bad for b in found)
     out: list[bool | None] = []
-    for b in found:
-        size = len(b.text.replace(" ", ""))
-        if b.bad or (has_main and not b.main) or (b.linked > rules.linked * size and not (b.main and b.heading)):
+    linked = [b.linked > rules.linked * len(b.text.replace(" ", "")) for b in found]
+    for b, link in zip(found, linked, strict=True):
+        if b.bad:
             out.append(False)
-        elif b.main:
-            out.append(True)
+        elif link:
+            out.append(None if b.mains and b.heading else False)
+        elif len(b.text) < rules.long:
+            out.append(None)
         else:
             words = [w.lower() for w in WORD.findall(b.text)]
             share = sum(w in rules.stop_words for w in words) / max(1, len(words))
-            out.append(True if len(b.text) >= rules.long and share >= rules.stop_share else None)
+            out.append(True if b.mains or share >= rules.stop_share else None)
+    # without any good block a page's articles are what it has
+    holding = {m for b, x in zip(found, out, strict=True) if x for m in b.mains}
+    if True not in out:
+        holding = {m for b in found for m in b.mains}
+    for i, b in enumerate(found):
+        if out[i] is None and b.mains:
+            out[i] = True if b.mains[-1] in holding else False if linked[i] else None
     return out
 
 
