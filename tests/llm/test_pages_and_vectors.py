@@ -58,6 +58,35 @@ def test_articles_are_one_signal():
         "\n".join([good.strip(), strange.strip(), "Short."])
 
 
+def test_names_around_and_inside_articles():
+    text = html_extract.main_text
+    good = "The cat sat on the mat and it was happy with all that there is in the house. " * 3
+    g = good.strip()
+    # around an article
+    for tag in ("<aside>", "<footer>", "<nav>", "<div class=related>", "<div id=related-posts>"):
+        end = f"</{tag[1:].split()[0].strip('>')}>"
+        teaser = f"{tag}<h2>More</h2><article><h3>A teaser</h3><p>{good[:150]}</article>{end}"
+        assert text(f"<article><h1>Head</h1><p>{good}</article>{teaser}") == f"Head\n{g}"
+        assert "teaser" not in text(f"<article><h1>Head</h1><p>{good}</article>{teaser}")
+        assert "teaser" not in text(f"<main><article><h1>Head</h1><p>{good}</article>{teaser}</main>")
+    # containers of the whole page
+    for tag in ("<form id=f>", "<div class=elementor-widget>", "<div class='content with-sidebar'>"):
+        end = f"</{tag[1:].split()[0]}>"
+        assert text(f"<body class='post comments-open'>{tag}<main><h1>Head</h1><p>{good}</main>{end}") == f"Head\n{g}"
+        assert text(f"{tag}<main><p>Short.</main>{end}") == "Short."
+        assert g in text(f"<div>{good[:150]}</div>{tag}<main><p>{good}</main>{end}")
+    # names inside an article
+    page = (f"<article class='post no-comments'><h1 class=social>Head</h1><p>{good}<h2 id=related-work>Related work</h2>"
+            f"<p>Short.<section id=discussion><h2>Discussion</h2><p>{good}<p>End.</section>"
+            f"<p class=notice>{good}<div class='share'>We share <b>all</b></div><div class=widget><p>{good}</div>")
+    kept = ["Head", g, "Related work", "Short.", "Discussion", g, "End.", g, "We share all", g]
+    assert text(page + "</article>") == "\n".join(kept)
+    # adverts, comments, forms and named links stay out, paragraphs that are links stay in
+    page += (f"<div class=ad>{good}</div><div class=comments><p>{good}</div><form>{good}</form><aside>{good}</aside>"
+             f"<div class=share><a href=x>Tweet</a></div><p><a href=x>A long link</a><ul><li><a href=y>One</a></ul>")
+    assert text(page + "</article>") == "\n".join([*kept, "A long link", "One"])
+
+
 def test_urls(spark):
     out = op7_url_filter(spark, SF01)
     assert out.columns == ["page_id", "host", "path", "rule", "verdict"]

@@ -7,9 +7,14 @@ comment container, or made of links, is decided bad; a long one rich in stop
 words is decided good, in an article container a long one of any words; the
 others (short or poor in stop words) stay open.  An article container that holds
 a decided good block (any of them, on a page without decided good blocks) makes
-its open blocks good.  Second pass: an open block takes the label of the nearest
-decided block, good at a tie; on a page without decided blocks all open ones are
-good.
+its open blocks good.  What stands around an article counts too: in a sidebar or
+the like (not in a form, which often holds the whole page) it is bad, in a
+container that merely has a bad name it is bad unless it holds more decided good
+text than all other parts of the page.  Inside an article a bad name (other than
+of reader comments and adverts) or a share of links leaves a block open, both
+make it bad; on headings names mean nothing.  Second pass: an open block takes
+the label of the nearest decided block, good at a tie; on a page without decided
+blocks all open ones are good.
 
 Defined results: a null or empty html gives an empty text; markup cut off at the
 end of the page is dropped, text cut off there is kept; unclosed and stray tags
@@ -45,10 +50,12 @@ MAIN = frozenset("article main".split())
 BAD_TAGS = frozenset("nav header footer aside form button fieldset dialog menu head".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu".split())
 COMMENT = frozenset("comment comments commentlist disqus respond replies discussion".split())
-BAD_NAMES = COMMENT | frozenset("""ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs consent
+SECTION = frozenset("replies discussion".split())  # of COMMENT, but a part of an article too
+ADVERT = frozenset("ad ads advert advertisement advertising adverts sponsored".split())
+BAD_NAMES = COMMENT | ADVERT | frozenset("""banner breadcrumb breadcrumbs consent
 cookie cookies disclaimer footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices
 notification pager pagination popup promo promotion related recommended share sharing sidebar signup skip social
-sponsor sponsored subscribe toolbar widget""".split())
+sponsor subscribe toolbar widget""".split())
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)",
                    re.S)
@@ -65,7 +72,8 @@ class Block:
     linked: int = 0
     bad: bool = False
     mains: tuple[int, ...] = ()  # the article containers it stands in, innermost last
-    heading: bool = False
+    wrapped: int = 0  # of them, the outermost in a container of a bad name
+    named: bool = False  # it has a bad name inside its article
     text: str = ""
 
 
@@ -80,27 +88,35 @@ class Rules:
 
 
 def judged(tag: str, attributes: str, inside_main: bool) -> str:
-    """What a container is: '' (nothing), 'bad', 'comment' or 'main'."""
-    names, role, hidden = set(), "", False
+    """What a container is: '' (nothing), 'bad', 'form', 'named' (bad by its name only), 'comment' or 'main'."""
+    names, whole, role, hidden = set(), set(), "", False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
             names.update(NAME.findall(value))
+            whole.update(value.split())
         elif key == "role":
             role = value
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
             hidden = True
         elif key == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
-    if names & COMMENT:
+    if hidden or role in BAD_ROLES - {"form"}:
+        return "bad"
+    if tag in HEADING:
+        return ""
+    if tag in ("body", "html"):
+        return ""
+    if whole & COMMENT - SECTION if tag in MAIN else names & (COMMENT - SECTION if inside_main else COMMENT):
         return "comment"
-    bad_names = names & BAD_NAMES
-    bad_tag = tag in BAD_TAGS
-    if inside_main:  # an article's own heading is part of it
-        bad_tag &= tag != "header"
-    if hidden or role in BAD_ROLES or (tag not in MAIN and tag not in ("body", "html") and (bad_names or bad_tag)):
+    if tag in MAIN or role in ("main", "article"):
+        return "main"
+    if tag == "form" or role == "form":
+        return "form"
+    # an article's own heading is part of it
+    if tag in BAD_TAGS and not (inside_main and tag == "header") or inside_main and whole & ADVERT:
         return "bad"
-    return "main" if tag in MAIN or role in ("main", "article") else ""
+    return "named" if names & BAD_NAMES else ""
 
 
 def blocks(page: str) -> list[Block]:
@@ -117,9 +133,12 @@ def blocks(page: str) -> list[Block]:
             out.append(block)
         kinds = [k for _, k, _ in stack]
         mains = tuple(start for _, k, start in stack if k == "main")
-        after = kinds[len(kinds) - kinds[::-1].index("main"):] if mains else kinds
-        bad = "comment" in kinds or "bad" in after
-        block = Block(bad=bad, mains=mains, heading=any(t in HEADING for t, _, _ in stack))
+        at_main = len(kinds) - kinds[::-1].index("main") if mains else 0
+        inside = kinds[at_main:]
+        bad = "comment" in kinds or "bad" in kinds or "form" in inside or (not mains and "named" in inside)
+        at_name = kinds.index("named") if "named" in kinds[:at_main] else len(kinds)
+        wrapped = next((start for _, k, start in stack[at_name:] if k == "main"), 0)
+        block = Block(bad=bad, mains=mains, wrapped=wrapped, named=bool(mains) and "named" in inside)
 
     def add(text: str) -> None:
         block.pieces.append(text)
@@ -174,7 +193,7 @@ def blocks(page: str) -> list[Block]:
             links += 1
         if tag not in VOID:
             kind = judged(tag, m[3], any(k == "main" for _, k, _ in stack)) if tag in BLOCK or m[3] else ""
-            stack.append((tag, kind if tag in BLOCK or kind in ("bad", "comment") else "", at))
+            stack.append((tag, kind if tag in BLOCK or kind not in ("", "main") else "", at))
         if tag in BLOCK:
             close()
     close()
@@ -189,19 +208,25 @@ def first_pass(found: list[Block], rules: Rules) -> list[bool | None]:
         if b.bad:
             out.append(False)
         elif link:
-            out.append(None if b.mains and b.heading else False)
+            out.append(None if b.mains and not b.named else False)
         elif len(b.text) < rules.long:
             out.append(None)
         else:
             words = [w.lower() for w in WORD.findall(b.text)]
             share = sum(w in rules.stop_words for w in words) / max(1, len(words))
-            out.append(True if b.mains or share >= rules.stop_share else None)
+            out.append(True if b.mains and not b.named or share >= rules.stop_share else None)
+    # good text of the articles in containers of a bad name, and (0) of the others
+    weight = dict.fromkeys((0, *(b.wrapped for b in found)), 0)
+    for b, x in zip(found, out, strict=True):
+        weight[b.wrapped] += len(b.text) if x else 0
+    if True in out or any(x is None and b.mains and not b.wrapped for b, x in zip(found, out, strict=True)):
+        out = [False if b.wrapped and weight[b.wrapped] <= weight[0] else x for b, x in zip(found, out, strict=True)]
     # without any good block a page's articles are what it has
     holding = {m for b, x in zip(found, out, strict=True) if x for m in b.mains}
     if True not in out:
         holding = {m for b in found for m in b.mains}
     for i, b in enumerate(found):
-        if out[i] is None and b.mains:
+        if out[i] is None and b.mains and not b.named:
             out[i] = True if b.mains[-1] in holding else False if linked[i] else None
     return out
 
