@@ -117,6 +117,38 @@ def test_learned_rules_and_odd_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), labels, URL_RULES).collect() == []
 
 
+def test_rules_do_not_depend_on_the_number_of_urls(spark):
+    # 20 unwanted urls of one host make a rule, 19 don't, among 100 and 60,000 labelled ones
+    for n in (100, 60_000):
+        rows = spark.range(n).select(
+            F.expr("array(case when id < 20 then 'bad' when id < 39 then 'rare' else concat('ok', id % 7) end, 'all', "
+                   "concat('page', id))").alias("tokens"), (F.col("id") < 39).alias("unwanted"))
+        found = url_filter.mine(rows).collect()
+        assert [(r.items, r.confidence) for r in found] == [(["bad"], 1.0)], n
+        assert abs(found[0].support * n - 20) < 1e-6
+
+
+def test_rules_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(400):
+        held = [t for t in "abcde" if rng.random() < 0.4]
+        rows.append((held, bool(rng.random() < (0.8 if {"a", "b"} <= set(held) or "e" in held else 0.1))))
+    frame = spark.createDataFrame(rows, "tokens array<string>, unwanted boolean")
+    rows = [(set(t), u) for t, u in rows if t]
+    base = sum(u for _, u in rows) / len(rows)
+    sure = {}
+    for k in range(1, 32):
+        items = {t for i, t in enumerate("abcde") if k >> i & 1}
+        marks = [u for t, u in rows if items <= t]
+        if sum(marks) >= 20 and sum(marks) / len(marks) >= max(0.5, 1.5 * base):
+            sure[frozenset(items)] = sum(marks) / len(marks)
+    expected = {x: c for x, c in sure.items() if not any(y < x and d >= c for y, d in sure.items())}
+    got = {frozenset(r.items): r.confidence for r in url_filter.mine(frame).collect()}
+    assert expected and got.keys() == expected.keys()
+    assert all(abs(got[x] - expected[x]) < 1e-9 for x in got)
+
+
 def brute(rows, threshold=0.93):
     sound = [(i, np.array(v, float), lab) for i, v, lab in rows if lab is not None and v and None not in v
              and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]

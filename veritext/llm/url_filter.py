@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLOCK = "!block"
-MIN_URLS = 20  # labelled urls that must hold a combination, and
-MIN_SUPPORT = 0.0005  # their share
+MIN_URLS = 20  # unwanted urls that must hold a combination, whatever the number of labelled ones
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.5
 
@@ -53,18 +52,24 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     return F.when((host == "") | url.isNull(), F.array().cast("array<string>")).otherwise(tokens)
 
 
-def mine(labelled: DataFrame, min_urls: int = MIN_URLS, min_support: float = MIN_SUPPORT,
-         min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine(labelled: DataFrame, min_urls: int = MIN_URLS, min_confidence: float = MIN_CONFIDENCE,
+         min_lift: float = MIN_LIFT) -> DataFrame:
     """``rule, items, confidence, support`` from ``tokens, unwanted``."""
     spark = labelled.sparkSession
-    rows = labelled.where(F.size("tokens") > 0).select(F.when(
-        F.col("unwanted"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
-    n = rows.count()
+    labelled = written(labelled.where(F.size("tokens") > 0).withColumn("row", F.monotonically_increasing_id()))
+    n = labelled.count()
     schema = "rule long, items array<string>, confidence double, support double"
-    if n == 0:
+    if n < min_urls:
         return spark.createDataFrame([], schema)
-    growth = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_urls / n)),
-                      minConfidence=min_confidence)
+    # all tokens of a rule are in min_urls unwanted urls: others need no mining
+    tokens = labelled.select("row", "unwanted", F.explode("tokens").alias("token"))
+    able = tokens.where("unwanted").groupBy("token").count().where(F.col("count") >= min_urls).select("token")
+    held = tokens.join(able, "token").groupBy("row").agg(F.collect_list("token").alias("held"))
+    items = F.coalesce("held", F.array().cast("array<string>"))
+    rows = labelled.join(held, "row", "left").select(F.when(
+        F.col("unwanted"), F.array_append(items, F.lit(BLOCK))).otherwise(items).alias("items"))
+    # the half keeps the product with n, rounded up, at min_urls
+    growth = FPGrowth(itemsCol="items", minSupport=(min_urls - 0.5) / n, minConfidence=min_confidence)
     found = growth.fit(rows).associationRules.where(
         (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= min_lift))
     rules = found.select(F.array_sort("antecedent").alias("items"), "confidence", "support")
