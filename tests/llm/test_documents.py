@@ -111,6 +111,27 @@ def test_quality_and_pipeline(spark):
     assert quality.classify(both.limit(0), labels).collect() == []
 
 
+def test_documents_without_words_follow_their_site(spark):
+    rnd, rows, marks = random.Random(11), [], []
+    for source, low in (("a", 0.02), ("b", 0.06), ("c", 0.95)):
+        for i in range(300):
+            bad = rnd.random() < low
+            words = [rnd.choice(("junk", "spam", "offer") if bad else ("house", "tree", "river")) for _ in range(12)]
+            rows.append((len(rows), " ".join(words), source))
+            marks.append((len(marks), int(not bad), 0))
+    odd = [(-1, "", "a"), (-2, None, "b"), (-3, " \n ", "b"), (-4, "", "c"), (-5, None, "d")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    # more good rows of another source: the global mean is better than b
+    more = spark.range(1000, 4000).selectExpr("id as doc_id", "'house tree river tree house' as text", "'e' as source",
+                                              "'en' as lang")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(docs.unionByName(more), labels).collect()}
+    assert len(got) == len(rows) + len(odd) + 3000
+    assert [got[i].kept for i in (-1, -2, -3, -4, -5)] == [True, True, True, False, True]
+    assert got[-2].p_quality == got[-3].p_quality and 0.88 < got[-2].p_quality < 0.99 and got[-4].p_quality < 0.2
+    assert abs(got[-5].p_quality - got[-5].p_document) < 1e-9
+
+
 def test_pipeline_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "exact_dedup", "ngram_join", "mixing", "bpe"]

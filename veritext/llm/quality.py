@@ -18,7 +18,7 @@ A document is rejected when its posterior of being good is under one half, or
 its posterior of being toxic over one half.
 
 Defined results: a null text counts as empty, and a document without words has
-no evidence of its own, so its site decides; null source or lang is a site of
+no evidence of its own, so its path's posterior decides; null source or lang is a site of
 its own; labels that are null, contradict each other or fit no document are not
 used; without labels of both kinds that classifier says nothing (probability
 one half, no site shift) and rejects nothing; repeated rows each give a row; an
@@ -151,7 +151,7 @@ class Classifier:
         out = {}
         for t, model in self.models.items():
             value = rows @ model[0] + model[1] if model and len(rows) else np.zeros(len(rows))
-            out[t] = np.where(empty, 0.0, np.clip(value, -30, 30))
+            out[t] = np.where(empty & (model is not None), np.nan, np.clip(value, -30, 30))
         return out
 
 
@@ -196,13 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """``id, source, lang, low, toxic``: the document log odds."""
+    """``id, source, lang, low, toxic``: the document log odds, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = classifier.odds(batch["content"].cast(pa.binary()).to_pylist())
             yield pa.record_batch([batch["id"], batch["source"], batch["lang"],
-                                   *(pa.array(found[t], pa.float64()) for t in TARGETS)],
+                                   *(pa.array(found[t], pa.float64(), from_pandas=True) for t in TARGETS)],
                                   ["id", "source", "lang", *TARGETS])
 
     return docs.select("id", "source", "lang", "content").mapInArrow(
@@ -221,7 +221,7 @@ def log_odds(p: Column) -> Column:
 def strength(rows: DataFrame, mean: Column, around: Column) -> float:
     """Pseudo-documents of a prior: the spread of the groups' means around
     their parents', less what chance gives (moments)."""
-    r = rows.agg(F.sum(F.col("n") * (mean - around) ** 2).alias("spread"), F.sum("n").alias("n"),
+    r = rows.where("n > 0").agg(F.sum(F.col("n") * (mean - around) ** 2).alias("spread"), F.sum("n").alias("n"),
                  F.count("*").alias("groups"), F.sum(F.col("n") * around * (1 - around)).alias("v")).first()
     if not r["n"] or not r["v"]:
         return 1.0
@@ -231,20 +231,22 @@ def strength(rows: DataFrame, mean: Column, around: Column) -> float:
 
 
 def site_shift(scores: DataFrame, target: str) -> DataFrame:
-    """``source, lang, shift``: log odds of the path's posterior less the
-    global ones."""
+    """``source, lang, shift, base``: log odds of the path's posterior less the
+    global ones, and these.  Documents without words don't count."""
     p = probability(F.col(target))
-    paths = written(scores.groupBy("source", "lang").agg(F.sum(p).alias("k"), F.count("*").alias("n")))
+    paths = written(scores.groupBy("source", "lang").agg(
+        F.coalesce(F.sum(p), F.lit(0.0)).alias("k"), F.count(target).alias("n")))
     total = paths.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
-    base = (total["k"] or 0.0) / max(1, total["n"] or 0)
+    base = total["k"] / total["n"] if total["n"] else 0.5
     hosts = paths.groupBy("source").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    m = strength(hosts, F.col("k") / F.col("n"), F.lit(base))
+    m = strength(hosts, F.try_divide("k", "n"), F.lit(base))
     hosts = hosts.select(F.col("source").alias("host"), ((F.col("k") + m * base) / (F.col("n") + m)).alias("host_p"))
     joined = paths.join(hosts, F.col("source").eqNullSafe(F.col("host"))).drop("host")
-    m2 = strength(joined, F.col("k") / F.col("n"), F.col("host_p"))
+    m2 = strength(joined, F.try_divide("k", "n"), F.col("host_p"))
     post = (F.col("k") + m2 * F.col("host_p")) / (F.col("n") + m2)
     return joined.select(F.col("source").alias("s"), F.col("lang").alias("l"),
-                         (log_odds(post) - log_odds(F.lit(base))).alias("shift_" + target))
+                         (log_odds(post) - log_odds(F.lit(base))).alias("shift_" + target),
+                         log_odds(F.lit(base)).alias("base_" + target))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -265,7 +267,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         if classifier.models[t] is None:
             shift = shift.withColumn("shift_" + t, F.lit(0.0))
         out = out.join(shift, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l"))
-                       ).drop("s", "l")
+                       ).drop("s", "l").withColumn(t, F.coalesce(t, "base_" + t))
     low, toxic = (probability(F.col(t) + F.col("shift_" + t)) for t in TARGETS)
     return out.select(F.col("id").alias("doc_id"), (1 - probability(F.col("low"))).alias("p_document"),
                       (1 - low).alias("p_quality"), toxic.alias("p_toxic"),
