@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, embed_dedup, exact_dedup, html_extract, mixing, ngram_join, quality, substring_dedup,
+from . import (bpe, embed_dedup, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality, substring_dedup,
                suffix_dedup, url_filter)
 from .common import table
 
@@ -65,6 +65,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 public_tokenizers.PATTERN)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.kept_texts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 SQL = {
     "op2_mixing": r"""
         WITH sizes AS (
@@ -113,12 +118,25 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_line_dedup": r"""
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        lines AS (
+          SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split),
+        keyed AS (
+          SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        common AS (
+          SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+        judged AS (SELECT k.*, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
 }
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_ngram_join, op4_exact_dedup, op5_substring_dedup,
-                                   op6_html_extract, op7_url_filter, op8_embed_dedup, op9_quality, op10_bpe)}
+                                   op6_html_extract, op7_url_filter, op8_embed_dedup, op9_quality, op10_bpe, op11_line_dedup)}
 
 
 def all_sql() -> dict[str, str]:
