@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, embed_dedup, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality, substring_dedup,
-               suffix_dedup, url_filter)
+from . import (bpe, embed_dedup, exact_dedup, html_extract, line_dedup, mixing, ngram_join, periodic_runs,
+               quality, substring_dedup, suffix_dedup, url_filter)
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -70,6 +70,32 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents repeat from word ``a`` on
+    with period ``p``, both derived from the id; the others are unchanged."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    # a generated column: the words are cut once a row, not once a word
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.explode(F.array(words)).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.expr("if(n > 0, g % n, 0)"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, get(words, cast(a + (i - a) % p as int)))), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    # runs come by start, then period: the first of those with the largest length / period
+    best = F.expr("aggregate(runs, get(runs, 0), (best, r) -> "
+                  "if(r.length * best.period > best.length * r.period, r, best))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    out = out.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                     F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      "runs_sha256", "collapsed_sha256")
+
+
 SQL = {
     "op2_mixing": r"""
         WITH sizes AS (
@@ -136,7 +162,8 @@ SQL = {
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_ngram_join, op4_exact_dedup, op5_substring_dedup,
-                                   op6_html_extract, op7_url_filter, op8_embed_dedup, op9_quality, op10_bpe, op11_line_dedup)}
+                                   op6_html_extract, op7_url_filter, op8_embed_dedup, op9_quality, op10_bpe, op11_line_dedup,
+                                   op13_periodic_runs)}
 
 
 def all_sql() -> dict[str, str]:
