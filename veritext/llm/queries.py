@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, embed_dedup, exact_dedup, html_extract, line_dedup, mixing, ngram_join, periodic_runs,
-               quality, substring_dedup, suffix_dedup, url_filter)
+from . import (bpe, conversation_repair, embed_dedup, exact_dedup, html_extract, line_dedup, mixing, ngram_join,
+               periodic_runs, quality, substring_dedup, suffix_dedup, url_filter)
 from .common import table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -70,6 +70,29 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with the faults of the contract, by crc32(`conv_id:turn`) % 20."""
+    spaced = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(spaced["conv_id"], F.lit(":"), spaced["turn"])) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(spaced["text"], ".!?", "")).otherwise(spaced["text"])
+    copies = F.when(kind == 3, 2).otherwise(1)
+    return conversations.where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(spaced["role"]).alias("role"), text.alias("text"),
+        F.explode(F.sequence(F.lit(1), copies)).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    repair = conversation_repair.Repair(damaged(conversations))
+    every = conversations.select("conv_id").distinct()
+    out = every.join(repair.summary(), F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    out = out.join(repair.digests(), F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: a tenth of the documents repeat from word ``a`` on
     with period ``p``, both derived from the id; the others are unchanged."""
@@ -163,7 +186,7 @@ SQL = {
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_ngram_join, op4_exact_dedup, op5_substring_dedup,
                                    op6_html_extract, op7_url_filter, op8_embed_dedup, op9_quality, op10_bpe, op11_line_dedup,
-                                   op13_periodic_runs)}
+                                   op12_conversation_repair, op13_periodic_runs)}
 
 
 def all_sql() -> dict[str, str]:
