@@ -50,7 +50,7 @@ def test_nb_scoring_combines_before_shuffle(spark):
         theta = spark.createDataFrame([(0, "aa", -1.0), (0, "bb", -2.0), (1, "aa", -2.0), (1, "bb", -1.0)],
                                       "label_id int, term string, theta double")
         prior = spark.createDataFrame([(0, -0.7), (1, -0.7)], "label_id int, log_prior double")
-        out = nb.nb_predict(long, docs, theta, prior)
+        out = nb.predict_long(long, docs, theta, prior)
         plan = _plan(out)
         # (doc, class) partial sums happen before the doc-keyed exchange
         m = re.search(r"HashAggregate\(keys=\[doc_id#\d+L, _c#\d+\], functions=\[partial_sum", plan)

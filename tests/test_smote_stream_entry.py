@@ -92,13 +92,15 @@ def test_preprocessor_transformer_and_estimator(spark):
                                "doc_id long, text string")
     from pyspark.sql import Observation
     obs = Observation("prep")
-    out = TextPreprocessor(doRemoveStopwords=True, observation=obs).transform(df)
+    out = TextPreprocessor(doLemmatize=False, observation=obs).transform(df)
     got = {r.doc_id: r.clean_text for r in out.collect()}
     assert got == {1: "cats dogs", 3: "dogs run fast"}        # doc 2 empty -> dropped
     assert obs.get == {"rows": 3, "empty_removed": 1}
     lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "token string, lemma string")
-    lem = TextPreprocessor(doLemmatize=True, lemmaTable=lemmas).transform(df)
-    assert {r.doc_id: r.clean_text for r in lem.collect()}[1] == "cat dog"
+    lem = TextPreprocessor(lemmaTable=lemmas).transform(df)
+    assert {r.doc_id: r.clean_text for r in lem.collect()} == {1: "cat dog", 3: "dog run fast"}
+    raw = TextPreprocessor(doClean=False, doRemoveStopwords=False, doLemmatize=False).transform(df)
+    assert {r.doc_id: r.clean_text for r in raw.collect()} == {r.doc_id: r.text for r in df.collect()}
     m = TfidfEstimator(maxFeatures=10, minDf=1, maxDf=1.0).fit(out)
     assert m.transform(out).count() == 2 and m.vocabulary.count() > 0
 

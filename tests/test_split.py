@@ -1,5 +1,8 @@
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veritext.functions.hashing import hash_key
 from veritext.operators import sampling
 
 
@@ -46,19 +49,33 @@ def test_hash_sample_exact_size_and_deterministic(spark):
     df = _df(spark)
     a = sorted(r.doc_id for r in sampling.hash_sample(df, 50).collect())
     b = sorted(r.doc_id for r in sampling.hash_sample(df.repartition(7), 50).collect())
-    c = sorted(r.doc_id for r in sampling.hash_sample(df, 50, small_n=10).collect())
+    c = sorted(r.doc_id for r in sampling.hash_sample(df, 50, bits=0).collect())
     assert len(a) == 50 and a == b == c
 
 
-def test_hash_sample_paths_agree(spark):
-    """The top-k path and the exact-rank path pick the same rows."""
-    from veritext.operators import sampling
-    df = spark.range(0, 3000, numPartitions=6).withColumnRenamed("id", "doc_id")
-    a = {r.doc_id for r in sampling.hash_sample(df, 250).collect()}
-    old = sampling.MAX_TOPK_MERGE_ROWS
-    sampling.MAX_TOPK_MERGE_ROWS = 0          # force the distributed rank
-    try:
-        b = {r.doc_id for r in sampling.hash_sample(df, 250).collect()}
-    finally:
-        sampling.MAX_TOPK_MERGE_ROWS = old
-    assert len(a) == 250 and a == b
+def test_hash_sample_equals_the_order(spark):
+    df = spark.range(0, 3000, numPartitions=6).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("g"),
+                                                      F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("h"))
+    want = {r.doc_id for r in df.orderBy(hash_key(42, "doc_id"), "doc_id").limit(250).collect()}
+    assert {r.doc_id for r in sampling.hash_sample(df, 250).collect()} == want
+    assert sampling.hash_sample(df, 5000).count() == 3000 and sampling.hash_sample(df, 0).count() == 0
+    by = sampling.hash_sample(df, 40, strata=["g", "h"]).groupBy("g", "h").count().collect()
+    assert len(by) == 21 and {r["count"] for r in by} == {40}
+    assert sampling.hash_sample(df.limit(0), 5).collect() == []
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_folds_equal_the_window(spark, k):
+    df = spark.range(0, 500, numPartitions=4).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "few")
+                                                     .when(F.col("id") < 300, "many").otherwise("some").alias("label"))
+    w = Window.partitionBy("label")
+    rank = F.row_number().over(w.orderBy(hash_key(42, "doc_id"), "doc_id")) - 1
+    rows = df.select("doc_id", F.floor(rank * k / F.count("*").over(w)).alias("f")).collect()
+    out = sampling.kfold_assign(df, k, "label", "doc_id").collect()
+    assert {r.doc_id: r.fold for r in out} == {r.doc_id: r.f for r in rows}
+
+
+def test_folds_and_samples_shuffle_no_text(spark):
+    df = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label_id"), F.lit("t").alias("text"))
+    for out in (sampling.kfold_assign(df), sampling.hash_sample(df, 10), sampling.hash_sample(df, 10, strata=["label_id"])):
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritext.operators import nb
-from veritext.operators.tfidf import fit_tfidf, term_frequencies
+from veritext.operators.tfidf import fit_tfidf
 
 DOCS = [
     (1, "the cat sat on the mat", 0), (2, "the dog sat on the log", 1), (3, "cat and dog", 0),
@@ -63,12 +63,28 @@ def test_vector_face_equals_long_face(spark):
 
 
 def test_in_row_tf_counts(spark):
-    df = spark.createDataFrame([(1, "b a b c b")], "doc_id long, clean_text string")
-    got = {r.term: r.tf for r in term_frequencies(df, n_max=1).collect()}
-    assert got == {}  # single letters are not tokens
-    df = spark.createDataFrame([(1, "bb aa bb cc bb")], "doc_id long, clean_text string")
-    got = {r.term: r.tf for r in term_frequencies(df, n_max=2).collect()}
-    assert got == {"bb": 3, "aa": 1, "cc": 1, "bb aa": 1, "aa bb": 1, "bb cc": 1, "cc bb": 1}
+    df = spark.createDataFrame([(1, "b a b c b"), (2, "bb aa bb cc bb"), (3, "")], "doc_id long, clean_text string")
+    m = fit_tfidf(df, min_df=1, max_df=1.0)
+    got = {}
+    for r in m.transform_long(df).collect():
+        got.setdefault(r.doc_id, {})[r.term] = r.tf
+    assert got == {2: {"bb": 3, "aa": 1, "cc": 1, "bb aa": 1, "aa bb": 1, "bb cc": 1, "cc bb": 1}}  # no single letters
+    assert {r.doc_id: len(r.weights) for r in m.sparse_rows(df).collect()} == {1: 0, 2: 7, 3: 0}
+    none = fit_tfidf(df, min_df=3)
+    assert none.vocab_size == 0 and none.transform_long(df).count() == 0 and none.transform_vectors(df).count() == 3
+    with pytest.raises(ValueError):
+        fit_tfidf(df, max_features=10 ** 9)
+
+
+def test_transform_shuffles_nothing_and_runs_no_python(spark):
+    df = spark.createDataFrame(DOCS, "doc_id long, clean_text string, label_id int")
+    m = fit_tfidf(df)
+    theta, prior = nb.nb_fit(m.transform_long(df, keep=["label_id"]), df, m.vocab)
+    parameters = nb.nb_parameters(theta, prior, m.vocab)
+    for out in (m.transform_long(df), m.sparse_rows(df), nb.nb_predict(m.sparse_rows(df), parameters)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan
+    assert "Python" not in m.transform_vectors(df)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_sql_nb_matches_mllib(spark):
@@ -77,12 +93,16 @@ def test_sql_nb_matches_mllib(spark):
     m = fit_tfidf(df)
     long = m.transform_long(df, keep=["label_id"])
     theta, prior = nb.nb_fit(long, df, m.vocab)
-    ours = {r.doc_id: r.pred_id for r in nb.nb_predict(long, df, theta, prior).collect()}
+    ours = {r.doc_id: r.pred_id for r in nb.predict_long(long, df, theta, prior).collect()}
+    rows = {r.doc_id: r for r in nb.nb_predict(m.sparse_rows(df), nb.nb_parameters(theta, prior, m.vocab)).collect()}
+    assert {d: r.pred_id for d, r in rows.items()} == ours
     vec = m.transform_vectors(df, keep=["label_id"]).withColumn("label", F.col("label_id").cast("double"))
     vec = models.balanced_weights(vec)
     ml = models.make_nb(1.0).fit(vec)
     theirs = {r.doc_id: int(r.prediction) for r in ml.transform(vec).collect()}
     assert ours == theirs
+    for r in ml.transform(vec).collect():
+        assert list(r.probability) == pytest.approx(rows[r.doc_id].probabilities, abs=1e-9)
     # closed form of theta equals MLlib's
     idx = {r.term: r.term_index for r in m.vocab.collect()}
     th = ml.theta.toArray()

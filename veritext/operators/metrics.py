@@ -14,20 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 
-MAX_LOCAL_ROWS = 100_000
 
-
-def materialize_small(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
-    """Run an aggregate ONCE and hand back a local DataFrame of its rows, so
-    later self-joins/unions over it never rescan the source table.  Only for
-    results with a proven bound (models x k^2 count tables); above
-    ``max_rows`` it falls back to a persisted distributed frame."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        from pyspark import StorageLevel
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Run an aggregate ONCE, so later self-joins/unions over it never rescan
+    the source table.  Its stored size tells Spark whether to broadcast it."""
+    return staged(df)
 
 
 def confusion_counts(pred: DataFrame, true_col: str = "true_label", pred_col: str = "pred_label",

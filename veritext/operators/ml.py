@@ -11,28 +11,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, drop_stopwords
+from ..session import staged
+from .lemma import fit_lemmas, lemmatise_text, may_change
 from .tfidf import TfidfModel, fit_tfidf
 
 
 class TextPreprocessor(Transformer, HasInputCol, HasOutputCol):
     """clean -> stop words -> lemmas, each step switchable; drops rows that
-    end up empty.  Pass ``observation`` (a ``pyspark.sql.Observation``) to get
+    end up empty.  Without a ``lemmaTable`` (token, lemma) the lemmas are
+    fitted on the transformed rows (tokens that two documents hold).  Pass
+    ``observation`` (a ``pyspark.sql.Observation``) to get
     ``rows`` / ``empty_removed`` from the job that consumes the output."""
 
     doClean = Param(Params._dummy(), "doClean", "apply cleaning", TypeConverters.toBoolean)
     doRemoveStopwords = Param(Params._dummy(), "doRemoveStopwords", "remove stop words", TypeConverters.toBoolean)
-    doLemmatize = Param(Params._dummy(), "doLemmatize", "lemmatise (needs lemmaTable)", TypeConverters.toBoolean)
+    doLemmatize = Param(Params._dummy(), "doLemmatize", "lemmatise", TypeConverters.toBoolean)
     dropEmpty = Param(Params._dummy(), "dropEmpty", "drop empty results", TypeConverters.toBoolean)
 
     @keyword_only
     def __init__(self, inputCol: str = "text", outputCol: str = "clean_text", doClean: bool = True,
-                 doRemoveStopwords: bool = True, doLemmatize: bool = False, dropEmpty: bool = True,
+                 doRemoveStopwords: bool = True, doLemmatize: bool = True, dropEmpty: bool = True,
                  lemmaTable: DataFrame | None = None, idCol: str = "doc_id", observation=None):
         super().__init__()
         self._setDefault(inputCol="text", outputCol="clean_text", doClean=True, doRemoveStopwords=True,
-                         doLemmatize=False, dropEmpty=True)
+                         doLemmatize=True, dropEmpty=True)
         kw = dict(self._input_kwargs)
         self.lemma_table = kw.pop("lemmaTable", None)
+        self.fitted_lemmas = None  # the table of the last transform without a lemmaTable
         self.id_col = kw.pop("idCol", "doc_id")
         self.observation = kw.pop("observation", None)
         self._set(**kw)
@@ -47,10 +52,13 @@ class TextPreprocessor(Transformer, HasInputCol, HasOutputCol):
         # generator form: the drop-empty filter cannot inline the regex chain twice
         res = df.select(*[x for x in df.columns if x != out], F.explode(F.array(c)).alias(out))
         if self.getOrDefault(self.doLemmatize):
-            if self.lemma_table is None:
-                raise ValueError("doLemmatize needs a lemmaTable (token, lemma)")
-            from .lemma import lemmatise_text
-            res = lemmatise_text(res, self.lemma_table, out, self.id_col, "_lem").drop(out).withColumnRenamed("_lem", out)
+            table = self.lemma_table
+            if table is None:
+                res = staged(res)  # read for the tokens, then for the answers
+                table = self.fitted_lemmas = fit_lemmas(res, out)
+            # the rules say which tokens of a fitted table can change, a given table may hold any
+            candidate = may_change if self.lemma_table is None else None
+            res = lemmatise_text(res, table, out, self.id_col, out, candidate)
         if self.observation is not None:
             res = res.observe(self.observation, F.count(F.lit(1)).alias("rows"),
                               F.count_if(F.length(F.col(out)) == 0).alias("empty_removed"))

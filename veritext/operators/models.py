@@ -14,7 +14,6 @@
 
 from __future__ import annotations
 
-import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -28,30 +27,6 @@ from pyspark.sql import functions as F
 from . import metrics
 
 
-def training_layout(df: DataFrame, rows_per_partition: int = 20_000) -> tuple[DataFrame, int]:
-    """Checkpoint + persist an iterative-training set with a partition count
-    sized to its row count: every optimiser step is one job over all
-    partitions, so tiny sets run as one task and large sets spread over (at
-    most) 4x the cluster's parallelism.  The reliable checkpoint (shared
-    ``spark.checkpoint.dir``) cuts the text/TF-IDF lineage, so a lost
-    executor re-reads checkpoint files instead of re-cleaning the corpus.
-    Returns (persisted frame, row count)."""
-    from pyspark import StorageLevel
-
-    from ..session import cut_lineage
-    # stage once: the count is the single evaluation of the text / TF-IDF
-    # lineage; the checkpoint's count and write jobs then read the staged
-    # rows (and re-use one shuffle) instead of re-running the lineage twice
-    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = staged.count()
-    cap = max(1, df.sparkSession.sparkContext.defaultParallelism * 4)
-    parts = max(1, min(cap, -(-n // rows_per_partition)))
-    out = cut_lineage(staged.repartition(parts)).persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    staged.unpersist()
-    return out, n
-
-
 def balanced_weights(df: DataFrame, label_col: str = "label_id", weight_col: str = "weight") -> DataFrame:
     return metrics.with_class_weight(df, label_col, weight_col)
 
@@ -161,9 +136,3 @@ class MacroF1Evaluator(Evaluator):
 
     def isLargerBetter(self) -> bool:
         return True
-
-
-def timed_fit(estimator, df: DataFrame):
-    t0 = time.time()
-    m = estimator.fit(df)
-    return m, time.time() - t0

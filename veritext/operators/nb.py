@@ -5,10 +5,10 @@ theta[c, t] = ln(F[c, t] + alpha) - ln(sum_t F[c, t] + alpha * V),
 F[c, t] = sum over training docs d of class c of w_c * x[d, t],
 log prior = ln(sum_{d in c} w_c / sum_d w_d) (uniform under balanced weights).
 
-The parameter table has k * V rows (V <= max_features): broadcast.  Scoring
-is one broadcast join + a (doc, class) sum that is combined map-side, so
-only docs x k rows are shuffled; the union with the all-classes rows is
-repartitioned by doc_id, which both final aggregations reuse.
+Scoring reads a row's sparse arrays (``TfidfModel.sparse_rows``) and one
+parameter array per class (k * V numbers, V <= max_features), so it shuffles
+nothing; ``predict_long`` scores a long table instead, with a (doc, class) sum
+that is combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PARAM_ROWS = 5_000_000
+from .metrics import array_argmax
+from .tfidf import constant_array, generated
 
 
 def nb_fit(train_long: DataFrame, train_docs: DataFrame, vocab: DataFrame, label_col: str = "label_id",
@@ -40,8 +41,9 @@ def nb_fit(train_long: DataFrame, train_docs: DataFrame, vocab: DataFrame, label
     prior = spark.createDataFrame([(int(c), float(math.log(m / total_mass))) for c, m in mass.items()],
                                   f"{label_col} int, log_prior double")
     wdf = spark.createDataFrame([(int(c), float(v)) for c, v in w.items()], f"{label_col} int, _sw double")
-    fc = (train_long.join(F.broadcast(wdf), label_col)
-                    .groupBy(label_col, "term").agg(F.sum(F.col("_sw") * F.col("weight")).alias("fc")))
+    # the weight is constant in a class: sum first, weigh the k x V sums
+    fc = (train_long.groupBy(label_col, "term").agg(F.sum("weight").alias("_f"))
+                    .join(F.broadcast(wdf), label_col).select(label_col, "term", (F.col("_sw") * F.col("_f")).alias("fc")))
     classes = sorted(int(c) for c in w)
     v_terms = vocab.select("term")
     grid = v_terms.select("term", F.explode(F.array(*[F.lit(c) for c in classes])).alias(label_col))
@@ -53,11 +55,49 @@ def nb_fit(train_long: DataFrame, train_docs: DataFrame, vocab: DataFrame, label
     return theta, prior
 
 
-def nb_predict(test_long: DataFrame, test_docs: DataFrame, theta: DataFrame, prior: DataFrame,
-               label_col: str = "label_id", id_col: str = "doc_id", pred_col: str = "pred_id") -> DataFrame:
-    """Arg-max of log prior + sum_t x[d,t] * theta[c,t]; first maximum wins
-    (smallest class id), matching numpy ``argmax``.  Returns (id, pred_id, score)."""
-    th = F.broadcast(theta.select(F.col(label_col).alias("_c"), "term", "theta"))
+def nb_parameters(theta: DataFrame, prior: DataFrame, vocab: DataFrame,
+                  label_col: str = "label_id") -> list[tuple[int, float, list[float]]]:
+    """(class, log prior, theta by term index) in class order: k x V numbers."""
+    priors = {r[label_col]: r["log_prior"] for r in prior.collect()}
+    index = vocab.select("term", "term_index")
+    arrays = theta.join(index, "term").groupBy(label_col).agg(
+        F.array_sort(F.collect_list(F.struct("term_index", "theta"))).alias("t"))
+    by_class = {r[label_col]: [x["theta"] for x in r["t"]] for r in arrays.collect()}
+    return [(int(c), float(priors[c]), by_class.get(c, [])) for c in sorted(priors)]
+
+
+def nb_scores(parameters: list[tuple[int, float, list[float]]]) -> F.Column:
+    """Array of log scores in class order, of a row with ``term_indices`` and
+    ``weights``."""
+    def score(log_prior: float, theta: list[float]) -> F.Column:
+        by_index = constant_array(theta, "double")
+        parts = F.zip_with("term_indices", "weights", lambda i, w: w * F.get(by_index, i))
+        return F.lit(log_prior) + F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    return F.array(*[score(p, t) for _, p, t in parameters])
+
+
+def nb_predict(rows: DataFrame, parameters: list[tuple[int, float, list[float]]], id_col: str = "doc_id",
+               keep: list[str] | None = None, pred_col: str = "pred_id") -> DataFrame:
+    """Arg-max of log prior + sum_t x[d,t] * theta[c,t] for each of the
+    ``sparse_rows``; first maximum wins (smallest class id), matching numpy
+    ``argmax``.  (id, keep..., pred_id, scores, probabilities): one row per
+    row, nothing is shuffled."""
+    columns = [id_col, *(keep or [])]
+    scored = generated(rows, nb_scores(parameters), "scores")
+    classes = F.array(*[F.lit(c) for c, _, _ in parameters])
+    best = F.array_max("scores")
+    scored = generated(scored, F.transform("scores", lambda s: F.exp(s - best)), "_odds")
+    total = F.aggregate("_odds", F.lit(0.0), lambda s, x: s + x)
+    scored = generated(scored, total, "_total")
+    return scored.select(*columns, F.get(classes, array_argmax("scores")).cast("int").alias(pred_col), "scores",
+                         F.transform("_odds", lambda x: x / F.col("_total")).alias("probabilities"))
+
+
+def predict_long(test_long: DataFrame, test_docs: DataFrame, theta: DataFrame, prior: DataFrame,
+                 label_col: str = "label_id", id_col: str = "doc_id", pred_col: str = "pred_id") -> DataFrame:
+    """``nb_predict`` of a long table (id, term, weight): (id, pred_id, score).
+    Spark chooses how to join the parameters by their size."""
+    th = theta.select(F.col(label_col).alias("_c"), "term", "theta")
     # sum per (doc, class) before anything is shuffled: the partial
     # aggregation turns terms x k rows into docs x k rows map-side
     contrib = (test_long.select(id_col, "term", "weight").join(th, "term")

@@ -1,26 +1,30 @@
 """Deterministic sampling and exact stratified splitting.
 
 Every random choice is ``hash_key(seed, key)``: independent of partitioning
-and reproducible in SQL.  Ranks inside a class are computed with a two-level
-scheme so no single task ever holds a whole class:
+and reproducible in SQL.  Splits, folds and samples are all a selection of
+ranks in (hash, key) order inside a class, and a selection is a comparison of
+each row, where it is, with a few thresholds of its class:
 
 1. bucket = top ``bits`` of the 32-bit hash; count rows per (class, bucket)
    -- a map-side-combined aggregate of at most 2^bits * k rows;
-2. running sum over that tiny table gives each bucket's offset;
-3. offsets are broadcast back (size bounded by 2^bits * k, checked) and
-   ``row_number`` runs only within (class, bucket).
+2. running sums place each wanted rank in one bucket;
+3. only the (class, key) of those buckets are ranked, which gives the
+   (hash, key) at each wanted rank.
 
-The result equals ``row_number() over (partition by class order by h, key)``.
+No text is shuffled and no task holds a class, at any size.  ``exact_rank``
+numbers all rows instead (two-level: offset of the bucket plus the rank inside
+it) where a rank itself is needed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
-
-MAX_OFFSET_ROWS = 4_000_000  # broadcast bound for the offset table
+from ..session import staged
 
 
 def with_hash(df: DataFrame, key: str, seed: int = 42, name: str = "_h") -> DataFrame:
@@ -39,19 +43,16 @@ def exact_rank(df: DataFrame, strata: list[str], key: str, seed: int = 42,
         raise ValueError("bits must be in [0, 24]")
     h = df.withColumn("_h", hash_key(seed, key)).withColumn(
         "_b", F.shiftright(F.col("_h"), 32 - bits) if bits else F.lit(0))
-    from pyspark import StorageLevel
-    cells = h.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_cnt")).persist(StorageLevel.MEMORY_AND_DISK)
-    n_cells = cells.count()  # first pass over the data; the cells table is tiny
+    cells = h.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wcum = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*strata)
-    offsets = cells.select(
+    # written once: Spark broadcasts the table or not by its size
+    offsets = staged(cells.select(
         *strata, "_b",
         F.coalesce(F.sum("_cnt").over(wcum), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(wall).alias("_stratum_n"),
-    )
-    # broadcast only behind the measured size of the offsets table
-    joined = h.join(F.broadcast(offsets), [*strata, "_b"]) if n_cells <= MAX_OFFSET_ROWS \
-        else h.join(offsets, [*strata, "_b"])
+    ))
+    joined = h.join(offsets, [*strata, "_b"])
     w = Window.partitionBy(*strata, "_b").orderBy("_h", key)
     out = joined.withColumn(rank_col, (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
     if size_col:
@@ -66,32 +67,48 @@ def _ceil_pct(n, pct: int):
     return F.floor((n * F.lit(pct) + F.lit(99)) / F.lit(100)).cast("long")
 
 
-def split_thresholds(df: DataFrame, label_col: str, key: str, cuts: list[int], seed: int = 42,
-                     bits: int = 16) -> DataFrame:
-    """One row per class: for cut number i (percent of the class) ``_cut_i`` is
-    the (hash, key) of the first row past it, null when no row is past it.
+def thresholds(df: DataFrame, class_col: str | Column, key: str, ranks: list[Callable[[Column], Column]],
+               seed: int = 42, bits: int = 16) -> DataFrame:
+    """One row per class: for rank number i (a function of the class size)
+    ``_cut_i`` is the (hash, key) of the row at that 0-based rank, null when
+    the class ends before it.
 
-    Only (class, key) is read.  Bucket counts place each cut in one bucket, and
+    Only (class, key) is read.  Bucket counts place each rank in one bucket, and
     only those buckets' rows (n / 2^bits of a class) are ranked."""
-    ids = df.select(F.col(label_col).alias("_class"), F.col(key).alias("_key"), hash_key(seed, key).alias("_h")) \
+    cls = F.col(class_col) if isinstance(class_col, str) else class_col
+    ids = df.select(cls.alias("_class"), F.col(key).alias("_key"), hash_key(seed, key).alias("_h")) \
         .withColumn("_b", F.shiftright(F.col("_h"), 32 - bits) if bits else F.lit(0)).where("_class is not null")
     cells = ids.groupBy("_class", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     one = Window.partitionBy("_class")
     upto = one.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("_off", F.sum("_cnt").over(upto) - F.col("_cnt")).withColumn("_n", F.sum("_cnt").over(one))
-    at = F.array(*[F.struct(F.lit(i).alias("_i"), _ceil_pct(F.col("_n"), c).alias("_at")) for i, c in enumerate(cuts)])
-    from .metrics import materialize_small
-    # a row per class and cut, and the class itself where no cut falls inside
+    at = F.array(*[F.struct(F.lit(i).alias("_i"), rank(F.col("_n")).cast("long").alias("_at"))
+                   for i, rank in enumerate(ranks)])
+    # a row per class and rank, and the class itself where no rank falls inside
     cells = cells.select("_class", "_b", "_off", F.filter(
         at, lambda x: (x["_at"] >= F.col("_off")) & (x["_at"] < F.col("_off") + F.col("_cnt"))).alias("_in"))
-    bounds = materialize_small(cells.where((F.size("_in") > 0) | (F.col("_off") == 0))
-                               .select("_class", "_b", "_off", F.explode_outer("_in").alias("_x"))
-                               .select("_class", "_b", "_off", "_x._i", "_x._at"))
+    bounds = staged(cells.where((F.size("_in") > 0) | (F.col("_off") == 0))
+                    .select("_class", "_b", "_off", F.explode_outer("_in").alias("_x"))
+                    .select("_class", "_b", "_off", "_x._i", "_x._at"))
     rank = F.row_number().over(Window.partitionBy("_class", "_b", "_i").orderBy("_h", "_key")) - 1 + F.col("_off")
     first = (ids.join(bounds.where("_i is not null"), ["_class", "_b"]).withColumn("_rank", rank)
                 .where(F.col("_rank") == F.col("_at")).select("_class", "_i", F.struct("_h", "_key").alias("_first")))
-    cols = [F.max(F.when(F.col("_i") == i, F.col("_first"))).alias(f"_cut_{i}") for i in range(len(cuts))]
-    return bounds.select("_class").distinct().join(first, "_class", "left").groupBy("_class").agg(*cols)
+    cols = [F.max(F.when(F.col("_i") == i, F.col("_first"))).alias(f"_cut_{i}") for i in range(len(ranks))]
+    return staged(bounds.select("_class").distinct().join(first, "_class", "left").groupBy("_class").agg(*cols))
+
+
+def _pieces(df: DataFrame, class_col: str | Column, key: str, ranks: list[Callable[[Column], Column]],
+            names: list[str] | list[int], seed: int, bits: int, out_col: str) -> DataFrame:
+    """``out_col`` = ``names[i]`` for rows before rank i (and not before an
+    earlier one), the last name for the others."""
+    cls = F.col(class_col) if isinstance(class_col, str) else class_col
+    cuts = thresholds(df, class_col, key, ranks, seed, bits)
+    me = F.struct(hash_key(seed, key).alias("_h"), F.col(key).alias("_key"))
+    piece = F.lit(names[-1])
+    for i in reversed(range(len(ranks))):
+        piece = F.when(F.col(f"_cut_{i}").isNull() | (me < F.col(f"_cut_{i}")), F.lit(names[i])).otherwise(piece)
+    return (df.join(cuts, cls == F.col("_class")).withColumn(out_col, piece)
+              .drop("_class", *[f"_cut_{i}" for i in range(len(ranks))]))
 
 
 def stratified_split(df: DataFrame, label_col: str = "label_id", key: str = "doc_id",
@@ -99,26 +116,21 @@ def stratified_split(df: DataFrame, label_col: str = "label_id", key: str = "doc
                      bits: int = 16, split_col: str = "split") -> DataFrame:
     """Exact per-class split: the first ceil(n_c*test%) rows of a class (in
     hash order) are test, the next up to ceil(n_c*(test+val)%) are val, the
-    rest train.  Percentages are integers so the cut is exact.  Rows are
-    compared with their class's thresholds where they are: nothing but
-    (class, key) of the buckets at the cuts is shuffled.  ``key`` is unique
-    (rows that share one fall on the same side); rows without a class are
-    dropped."""
-    from .metrics import materialize_small
-    cuts = materialize_small(split_thresholds(df, label_col, key, [test_pct, test_pct + val_pct], seed, bits))
-    me = F.struct(hash_key(seed, key).alias("_h"), F.col(key).alias("_key"))
-    split = (F.when(F.col("_cut_0").isNull() | (me < F.col("_cut_0")), F.lit("test"))
-              .when(F.col("_cut_1").isNull() | (me < F.col("_cut_1")), F.lit("val"))
-              .otherwise(F.lit("train")))
-    return (df.join(cuts, F.col(label_col) == F.col("_class")).withColumn(split_col, split)
-              .drop("_class", "_cut_0", "_cut_1"))
+    rest train.  Percentages are integers so the cut is exact.  ``key`` is
+    unique (rows that share one fall on the same side); rows without a class
+    are dropped."""
+    ranks = [lambda n, p=p: _ceil_pct(n, p) for p in (test_pct, test_pct + val_pct)]
+    return _pieces(df, label_col, key, ranks, ["test", "val", "train"], seed, bits, split_col)
 
 
 def kfold_assign(df: DataFrame, k: int = 3, label_col: str = "label_id", key: str = "doc_id",
                  seed: int = 42, bits: int = 16, fold_col: str = "fold") -> DataFrame:
-    """Stratified k-fold: fold = (rank within class) mod k."""
-    r = exact_rank(df, [label_col], key, seed, bits, size_col=None)
-    return r.withColumn(fold_col, F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_rank")
+    """Stratified k-fold: fold = floor(rank * k / n) of each class in hash
+    order, so a class's fold sizes differ by one at most.  Like the split: a
+    comparison with k - 1 thresholds, ``key`` unique, rows without a class
+    dropped."""
+    ranks = [lambda n, i=i: F.floor((n * F.lit(i) + F.lit(k - 1)) / F.lit(k)) for i in range(1, k)]
+    return _pieces(df, label_col, key, ranks, list(range(k)), seed, bits, fold_col)
 
 
 def hash_split(df: DataFrame, key: str = "doc_id", test_frac: float = 0.2,
@@ -130,20 +142,16 @@ def hash_split(df: DataFrame, key: str = "doc_id", test_frac: float = 0.2,
     return df.withColumn(split_col, F.when(u < t1, "test").when(u < t2, "val").otherwise("train"))
 
 
-MAX_TOPK_MERGE_ROWS = 5_000_000  # rows the single merge task of a top-k may receive
-
-
 def hash_sample(df: DataFrame, n: int, key: str = "doc_id", seed: int = 42,
-                strata: list[str] | None = None, small_n: int = 100_000) -> DataFrame:
-    """Exact-size sample without replacement: the n rows with the smallest
-    (hash, key).  A top-k (TakeOrdered) merges up to n rows from every
-    partition in ONE task, so it is used only while n x partitions stays
-    small; otherwise the distributed exact rank (no single-task merge)."""
-    if not strata and n <= small_n and n * df.rdd.getNumPartitions() <= MAX_TOPK_MERGE_ROWS:
-        return (df.withColumn("_h", hash_key(seed, key)).orderBy("_h", key).limit(n).drop("_h"))
-    r = exact_rank(df, strata or [], key, seed, size_col=None) if strata else \
-        exact_rank(df.withColumn("_all", F.lit(0)), ["_all"], key, seed, size_col=None).drop("_all")
-    return r.where(F.col("_rank") < n).drop("_rank")
+                strata: list[str] | None = None, bits: int = 16) -> DataFrame:
+    """Exact-size sample without replacement: the n rows (of each stratum) with
+    the smallest (hash, key), all rows where there are fewer.  ``key`` is
+    unique; rows that share one are taken or left together."""
+    cls = F.struct(*strata) if strata else F.lit(0)
+    cut = thresholds(df, cls, key, [lambda _: F.lit(n)], seed, bits)
+    me = F.struct(hash_key(seed, key).alias("_h"), F.col(key).alias("_key"))
+    taken = F.col("_cut_0").isNull() | (me < F.col("_cut_0"))
+    return df.join(cut, cls == F.col("_class")).where(taken).drop("_class", "_cut_0")
 
 
 def shuffle_key(df: DataFrame, key: str = "doc_id", seed: int = 42, name: str = "shuffle_key") -> DataFrame:

@@ -15,22 +15,29 @@ at all: each document's term array is sorted inside its row, so a term's
 first occurrence in the sorted array marks its document-frequency
 contribution; one map-side-combined ``groupBy(term)`` then yields both
 counts (a hot term costs one row per partition, one shuffle keyed by term).
-Per-document tf (for weights and vectors) is ``groupBy(doc, term)`` on
-documents hash-partitioned by doc_id once; the norm window and the vector
-assembly reuse that partitioning.  The fitted vocabulary is bounded by
-``max_features`` and is the only thing broadcast.
+
+The transform shuffles nothing.  A row's term array is counted against the
+fitted vocabulary by MLlib's ``CountVectorizerModel`` (a JVM hash map, held
+once per task), the counts are weighted and normalised as arrays inside the
+row, and both faces are read off these arrays: the long face explodes them,
+the vector face stores them in the form in which a sparse vector is stored.
+The fitted vocabulary is bounded by ``max_features`` <= ``MAX_VOCABULARY``.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_VOCAB = 2_000_000
+from ..session import staged
+
+MAX_VOCABULARY = 2_000_000  # terms that one task may hold
 
 
 def token_string(clean_col: str = "clean_text") -> F.Column:
@@ -57,84 +64,82 @@ def gram_array(clean_col: str = "clean_text", n_max: int = 2) -> F.Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def exploded_terms(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_text", n_max: int = 2,
-                   keep: list[str] | None = None) -> DataFrame:
-    """One row per term occurrence: (id, keep..., term).  The generator reads
-    one per-row gram array and emits only the term (the array is never
-    copied into the output rows)."""
-    keep = list(keep or [])
-    return (df.select(id_col, *keep, F.explode(gram_array(clean_col, n_max)).alias("term"))
-              .where(F.col("term") != ""))
-
-
-def term_frequencies(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_text",
-                     n_max: int = 2, keep: list[str] | None = None, colocate: bool = True,
-                     vocab: DataFrame | None = None) -> DataFrame:
-    """Long (id, keep..., term, tf).
-
-    ``colocate`` hash-partitions the *documents* by id first; the term
-    aggregation, the vocabulary join and any later per-document window or
-    aggregate then reuse that partitioning (one shuffle of document rows,
-    none of term rows).  With ``vocab`` the out-of-vocabulary occurrences are
-    dropped by a broadcast join before aggregating."""
-    keep = list(keep or [])
-    if colocate:
-        df = df.repartition(id_col)
-    ex = exploded_terms(df, id_col, clean_col, n_max, keep)
-    if vocab is not None:
-        ex = ex.join(F.broadcast(vocab), "term")
-        extra = [c for c in vocab.columns if c != "term"]
-    else:
-        extra = []
-    return ex.groupBy(id_col, *keep, "term", *extra).agg(F.count(F.lit(1)).cast("int").alias("tf"))
+def constant_array(values: list, kind: str) -> Column:
+    """A list as one folded array literal, held once per task (an array of
+    literals would be planned node by node).  No value holds a comma."""
+    if not values:
+        return F.array().cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def generated(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """``df`` with ``column`` as a generated column: later lambdas read its
+    value, the optimiser cannot copy its expression into them."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
 
 
 @dataclass
 class TfidfModel:
     vocab: DataFrame          # term, term_index, df, total_tf, idf  (<= max_features rows)
+    terms: list[str]          # by term_index
+    idf: list[float]
     n_docs: int
-    vocab_size: int
     n_max: int = 2
     clean_col: str = "clean_text"
 
+    @property
+    def vocab_size(self) -> int:
+        return len(self.terms)
+
+    def sparse_rows(self, df: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+        """(id, keep..., term_indices, tf, weights): one row per row of ``df``,
+        three aligned arrays by term index; out-of-vocabulary terms vanish (J7)
+        and a row without terms has empty arrays.  Nothing is shuffled."""
+        columns = [id_col, *(keep or [])]
+        grams = df.select(*columns, gram_array(self.clean_col, self.n_max).alias("_grams"))
+        if not self.terms:
+            none = F.array()
+            return grams.select(*columns, none.cast("array<int>").alias("term_indices"),
+                                none.cast("array<int>").alias("tf"), none.cast("array<double>").alias("weights"))
+        counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_grams", outputCol="_counts")
+        rows = counter.transform(grams).select(*columns, F.unwrap_udt("_counts").alias("_v"))
+        idf = constant_array(self.idf, "double")
+        raw = F.zip_with("_v.indices", "_v.values", lambda i, n: (1.0 + F.log(n)) * F.get(idf, i))
+        rows = generated(rows, raw, "_raw")
+        squares = F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x)
+        rows = generated(rows, F.sqrt(squares), "_norm")
+        return rows.select(*columns, F.col("_v.indices").alias("term_indices"),
+                           F.col("_v.values").cast("array<int>").alias("tf"),
+                           F.transform("_raw", lambda x: x / F.col("_norm")).alias("weights"))
+
     def transform_long(self, df: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-        """(id, keep..., term, term_index, tf, weight): out-of-vocabulary terms vanish."""
-        keep = list(keep or [])
-        v = self.vocab.select("term", "term_index", "idf")  # <= max_features rows
-        tf = term_frequencies(df, id_col, self.clean_col, self.n_max, keep, vocab=v)
-        raw = tf.withColumn("_w", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
-        norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-        return raw.select(id_col, *keep, "term", "term_index", "tf", (F.col("_w") / norm).alias("weight"))
+        """(id, keep..., term, term_index, tf, weight), one row per row and vocabulary term."""
+        rows = self.sparse_rows(df, id_col, keep)
+        parts = F.arrays_zip(F.col("term_indices").alias("term_index"), F.col("tf").alias("tf"),
+                             F.col("weights").alias("weight"))
+        long = rows.select(id_col, *(keep or []), F.inline(parts))
+        term = F.get(constant_array(self.terms, "string"), F.col("term_index"))
+        return long.select(id_col, *(keep or []), term.alias("term"), "term_index", "tf", "weight")
 
     def transform_vectors(self, df: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None,
                           features_col: str = "features") -> DataFrame:
         """One row per input row with an MLlib SparseVector (all-zero when no
-        vocabulary term occurs).  Everything is keyed by id on one partitioning."""
-        keep = list(keep or [])
-        base = df.repartition(id_col)
-        v = self.vocab.select("term", "term_index", "idf")
-        tf = term_frequencies(base, id_col, self.clean_col, self.n_max, colocate=False, vocab=v)
-        w = tf.withColumn("_w", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
-        g = w.groupBy(id_col).agg(
-            F.array_sort(F.collect_list(F.struct("term_index", "_w"))).alias("_kv"),
-            F.sum(F.col("_w") * F.col("_w")).alias("_ss"))
-        j = base.select(id_col, *keep).join(g, id_col, "left")
-        vec = _to_sparse(self.vocab_size)
-        return j.select(id_col, *keep, vec(F.col("_kv.term_index"),
-                                           F.transform(F.col("_kv._w"), lambda x: x / F.sqrt(F.col("_ss"))))
-                        .alias(features_col))
-
-
-def _to_sparse(size: int):
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT(), useArrow=True)
-    def to_vec(idx, vals):
-        if idx is None or len(idx) == 0:
-            return SparseVector(size, [], [])
-        return SparseVector(size, list(idx), list(vals))
-
-    return to_vec
+        vocabulary term occurs), written once and read back: training iterates
+        over the stored vectors, never over the text."""
+        rows = self.sparse_rows(df, id_col, keep)
+        columns = [id_col, *(keep or [])]
+        return staged_vectors(rows, columns, self.vocab_size, "term_indices", "weights", features_col)
+
+
+def staged_vectors(rows: DataFrame, columns: list[str], size: int, indices_col: str, values_col: str,
+                   features_col: str = "features") -> DataFrame:
+    """``columns`` and a sparse vector of two arrays, staged in the vector's
+    stored form (kind 0: sparse)."""
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+                      F.col(indices_col).alias("indices"), F.col(values_col).alias("values"))
+    out = rows.select(*columns, stored.alias(features_col))
+    schema = T.StructType([f for f in out.schema if f.name != features_col] + [T.StructField(features_col, VectorUDT())])
+    return staged(out, schema)
 
 
 def term_stats(df: DataFrame, id_col: str = "doc_id", clean_col: str = "clean_text", n_max: int = 2) -> DataFrame:
@@ -163,9 +168,8 @@ def top_by_count(df: DataFrame, n: int, count_col: str, key_col: str) -> DataFra
     in one task.  Instead the cutoff (the n-th largest count) is read from a
     small count of rows per count value, and only rows at or above it reach
     the top-n merge: about n rows (+ ties at the cutoff)."""
-    from .metrics import materialize_small
-    rows = df.persist(StorageLevel.MEMORY_AND_DISK)  # read by the histogram and the top-n
-    hist = materialize_small(rows.groupBy(count_col).agg(F.count(F.lit(1)).alias("_c")))
+    rows = staged(df)  # read by the histogram and the top-n
+    hist = rows.groupBy(count_col).agg(F.count(F.lit(1)).alias("_c"))
     cum = F.sum("_c").over(Window.orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, 0))
     cut = hist.select(count_col, cum.alias("_cum")).where(F.col("_cum") >= n).agg(F.max(count_col)).first()[0]
     cand = rows if cut is None else rows.where(F.col(count_col) >= F.lit(cut))
@@ -176,21 +180,15 @@ def fit_tfidf(df: DataFrame, clean_col: str = "clean_text", id_col: str = "doc_i
               max_features: int = 10000, n_max: int = 2, min_df: int = 2, max_df: float = 0.95) -> TfidfModel:
     """Fit on the given (training) rows.  Two small actions: the document
     count and the bounded vocabulary (<= max_features rows)."""
+    if max_features > MAX_VOCABULARY:
+        raise ValueError(f"max_features is above {MAX_VOCABULARY}, the terms that a task may hold")
     spark: SparkSession = df.sparkSession
     n_docs = df.count()
     stats = term_stats(df, id_col, clean_col, n_max)
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
-    top = top_by_count(kept, max_features, "total_tf", "term")
-    if max_features > MAX_BROADCAST_VOCAB:
-        raise ValueError("vocabulary above the broadcast bound; lower max_features")
-    rows = top.collect()  # bounded by max_features
+    rows = top_by_count(kept, max_features, "total_tf", "term").collect()  # bounded by max_features
     rows.sort(key=lambda r: r["term"])
-    import math
-    data = [(r["term"], i, int(r["df"]), int(r["total_tf"]),
-             math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0) for i, r in enumerate(rows)]
-    schema = T.StructType([
-        T.StructField("term", T.StringType()), T.StructField("term_index", T.IntegerType()),
-        T.StructField("df", T.LongType()), T.StructField("total_tf", T.LongType()),
-        T.StructField("idf", T.DoubleType())])
-    vocab = spark.createDataFrame(data, schema)
-    return TfidfModel(vocab=vocab, n_docs=n_docs, vocab_size=len(data), n_max=n_max, clean_col=clean_col)
+    idf = [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows]
+    data = [(r["term"], i, int(r["df"]), int(r["total_tf"]), idf[i]) for i, r in enumerate(rows)]
+    vocab = spark.createDataFrame(data, "term string, term_index int, df long, total_tf long, idf double")
+    return TfidfModel(vocab, [r["term"] for r in rows], idf, n_docs, n_max, clean_col)

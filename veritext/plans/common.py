@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
-from ..functions.text import with_clean
+from ..operators.ml import TextPreprocessor
 from ..operators.sampling import stratified_split
-from ..sources.tables import labelled_corpus, read_table
+from ..session import staged
+from ..sources.tables import labelled_corpus
 
 SEED = 42
 # The credibility dimension bound to the driver's sources:
@@ -18,23 +16,28 @@ SEED = 42
 CRED_SOURCES = {f"src{i}": i % 3 for i in range(18)}
 
 
-def cleaned_corpus(spark: SparkSession, d: str, scheme: str = "binary") -> DataFrame:
-    """Labelled corpus + clean_text, empty texts dropped."""
-    return with_clean(labelled_corpus(spark, d, scheme))
+def preprocessor(**options) -> TextPreprocessor:
+    """The default preprocessing (T10): clean, drop stop words, lemmatise, drop
+    rows that end up empty."""
+    return TextPreprocessor(inputCol="clean_text", **options)
 
 
-def split_corpus(spark: SparkSession, d: str, test_pct: int = 20, val_pct: int = 10) -> DataFrame:
-    """The exact split reads its input twice (cell counts, then ranks), and
-    the split corpus feeds the vocabulary fit and every transform: persist
-    the cleaned corpus once (memory, spilling to disk) instead of re-running
-    the regex chain per pass."""
-    c = cleaned_corpus(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    return stratified_split(c, "label_id", "doc_id", test_pct, val_pct, SEED)
+def prepared(df: DataFrame, pre: TextPreprocessor | None = None, text_col: str = "text") -> DataFrame:
+    """``df`` with ``clean_text`` in place of its text.  Written once: splits,
+    vocabulary and transforms read the stored rows."""
+    return staged((pre or preprocessor()).transform(df.withColumnRenamed(text_col, "clean_text")))
 
 
-def credibility_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(CRED_SOURCES.items()), "source_key string, label_id int")
+def cleaned_corpus(spark: SparkSession, d: str, scheme: str = "binary", pre: TextPreprocessor | None = None) -> DataFrame:
+    """Labelled corpus, preprocessed."""
+    return prepared(labelled_corpus(spark, d, scheme), pre)
+
 
+def split_corpus(spark: SparkSession, d: str, test_pct: int = 20, val_pct: int = 10,
+                 pre: TextPreprocessor | None = None) -> DataFrame:
+    """Preprocessed corpus with its exact split."""
+    return stratified_split(cleaned_corpus(spark, d, pre=pre), "label_id", "doc_id", test_pct, val_pct, SEED)
 
-def docs(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents")
+
+def credibility_dim(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sorted(CRED_SOURCES.items()), "source_key string, label_id int")

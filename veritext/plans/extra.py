@@ -8,30 +8,25 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text
 from ..operators import metrics, models, sampling
 from ..operators.scoring import LinearLogProbScorer, score_batches
 from ..operators.tfidf import fit_tfidf
 from ..sources.tables import read_table
-from .common import SEED, split_corpus
+from .common import SEED, preprocessor, split_corpus
 from .queries import query
 
 
-def features(spark, d, max_features: int = 10000):
-    """Split corpus -> TF-IDF fitted on train -> vectors for every row, with
-    balanced weights and stratified folds on the training rows."""
-    s = split_corpus(spark, d)
+def features(spark, d, max_features: int = 10000, pre=None):
+    """Split corpus -> TF-IDF fitted on train -> stored vectors for train and
+    test rows, with balanced weights and stratified folds on the training rows."""
+    s = split_corpus(spark, d, pre=pre)
     rows = s.where(F.col("split") == "train")
     tf = fit_tfidf(rows, max_features=max_features)
-    # folds depend only on (label, id): rank the cached rows, not the vectors
     folded = sampling.kfold_assign(rows, 3, "label_id", "doc_id", SEED)
-    train = tf.transform_vectors(folded, keep=["label_id", "split", "fold"]) \
-        .withColumn("label", F.col("label_id").cast("double"))
-    train = models.balanced_weights(train, "label_id", "weight")
-    train, _ = models.training_layout(train)
-    test = tf.transform_vectors(s.where(F.col("split") == "test"), keep=["label_id", "split"]) \
-        .withColumn("label", F.col("label_id").cast("double"))
-    return tf, train, test
+    label = F.col("label_id").cast("double")
+    train = tf.transform_vectors(folded, keep=["label_id", "split", "fold"]).withColumn("label", label)
+    test = tf.transform_vectors(s.where(F.col("split") == "test"), keep=["label_id", "split"]).withColumn("label", label)
+    return tf, models.balanced_weights(train, "label_id", "weight"), test
 
 
 def _pred_out(scored):
@@ -98,18 +93,18 @@ def q_grid(spark, d):
 def q_batch_score(spark, d):
     """Score the unlabelled benchmark corpus with a naive Bayes model trained
     on the labelled corpus, through the pluggable mapInPandas scorer."""
-    tf, train, _ = features(spark, d)
+    pre = preprocessor()
+    tf, train, _ = features(spark, d, pre=pre)
     nbm = models.make_nb(1.0).fit(train)
     theta = nbm.theta.toArray()
     state = {"theta": theta, "prior": nbm.pi.toArray(),
              "classes": np.array([int(c) for c in range(theta.shape[0])], dtype=np.int32)}
     bc = spark.sparkContext.broadcast(state)  # k x V, V <= max_features
-    bench = read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"),
-                                                     clean_text("text").alias("clean_text"))
-    long = tf.transform_long(bench)
-    arrs = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("kv"))
-    feats = (bench.select("doc_id").join(arrs, "doc_id", "left")
-                  .select(F.col("doc_id").alias("id"), F.col("kv.term_index").alias("idx"), F.col("kv.weight").alias("val")))
+    # the training corpus's lemmas; every item is scored, an empty one by the prior
+    bench = read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("clean_text"))
+    bench = preprocessor(lemmaTable=pre.fitted_lemmas, dropEmpty=False).transform(bench)
+    feats = tf.sparse_rows(bench).select(F.col("doc_id").alias("id"), F.col("term_indices").alias("idx"),
+                                         F.col("weights").alias("val"))
     out = score_batches(feats, LinearLogProbScorer(bc))
     return out.select(F.col("id").alias("item_id"), "pred_id", F.round("p_max", 6).alias("p_max"))
 

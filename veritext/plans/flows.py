@@ -71,11 +71,9 @@ def run_baseline(spark: SparkSession, sf_dir: str, use_smote: bool = False, clas
                  max_features: int = 10000) -> dict[str, DataFrame]:
     """Corpus -> clean -> exact 70/10/20 split -> TF-IDF on train ->
     LR / NB / calibrated SVM -> one evaluation pass -> error + bias analytics."""
-    s = sampling.stratified_split(cleaned_corpus(spark, sf_dir), "label_id", "doc_id", 20, 10, SEED).cache()
+    s = sampling.stratified_split(cleaned_corpus(spark, sf_dir), "label_id", "doc_id", 20, 10, SEED)
     rows = s.where(F.col("split") == "train")
     tf = fit_tfidf(rows, max_features=max_features)
-    # folds depend only on (label, id): rank the cached rows, not the vectors;
-    # each split is vectorised on its own rows
     folded = sampling.kfold_assign(rows, 3, "label_id", "doc_id", SEED)
     train = models.balanced_weights(tf.transform_vectors(folded, keep=["label_id", "split", "clean_text", "fold"])
                                     .withColumn("label", F.col("label_id").cast("double")))
@@ -90,9 +88,9 @@ def run_baseline(spark: SparkSession, sf_dir: str, use_smote: bool = False, clas
         resampled = train.select("doc_id", "label_id", "features").unionByName(extra)
         train = models.balanced_weights(resampled.withColumn("label", F.col("label_id").cast("double")))
         train = sampling.kfold_assign(train, 3, "label_id", "doc_id", SEED)
-    train, n = models.training_layout(train)
+    n = train.count()
     test = tf.transform_vectors(s.where(F.col("split") == "test"), keep=["label_id", "split", "clean_text"]) \
-        .withColumn("label", F.col("label_id").cast("double")).cache()
+        .withColumn("label", F.col("label_id").cast("double"))
     fitted, times = {}, {}
     t0 = time.time(); fitted["logistic_regression"] = models.make_lr(n, weighted=class_weight).fit(train); times["logistic_regression"] = time.time() - t0
     t0 = time.time(); fitted["multinomial_naive_bayes"] = models.make_nb(1.0).fit(train); times["multinomial_naive_bayes"] = time.time() - t0

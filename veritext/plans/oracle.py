@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from ..functions import labels as L
 from ..functions.text import WS
-from ..operators.lemma import IRREGULAR, NOUN_RULES
 from ..sources.synthetic import CATEGORIES, PREFIXES, SUFFIXES, TEMPLATES
 from .common import CRED_SOURCES
 from .flows import RAW_WS_RUN
 from .queries import KEYWORD_RE, POLITICAL_SUBREDDITS
-from .sqlfrag import (CORPUS, char_length, clean, hkey, lit, metrics_ctes, nb_ctes, nb_predict_ctes, r6,
-                      split_cte, strip_ws, terms_cte, tfidf_ctes, word_count)
+from .sqlfrag import (CORPUS, PREPARED, char_length, clean, drop_stop_words, hkey, lemma_ctes, lit, metrics_ctes,
+                      nb_ctes, nb_predict_ctes, prepared_ctes, r6, split_cte, strip_ws, terms_cte, tfidf_ctes,
+                      word_count)
 
 S: dict[str, str] = {}
 
@@ -56,36 +56,18 @@ FROM documents WHERE length({strip_ws('text')}) > 20"""
 S["word_counts"] = f"SELECT doc_id, {char_length('text')} AS text_length, {word_count('text')} AS word_count FROM documents"
 
 
-def _stop_sql():
-    from ..functions.text import DEFAULT_STOPWORDS
-    return "[" + ", ".join(lit(w) for w in DEFAULT_STOPWORDS()) + "]"
-
-
-def _stopword_query():
-    return f"""SELECT doc_id, array_to_string(list_filter(string_split(c, ' '),
-  lambda w: w <> '' AND NOT list_contains({_stop_sql()}, w)), ' ') AS text_nostop
+S["stopword_filter"] = f"""SELECT doc_id, {drop_stop_words('c')} AS text_nostop
 FROM (SELECT doc_id, {clean('text')} AS c FROM documents)"""
 
+S["preprocess_text"] = f"""WITH {prepared_ctes('documents', 'doc_id').lstrip()}
+SELECT doc_id, clean_text FROM cleaned"""
 
-def _lemma_query():
-    rules = []
-    for i, (suf, rep) in enumerate(NOUN_RULES, start=1):
-        rules.append(f"SELECT token, {i} AS ord, substr(token, 1, length(token) - {len(suf)}) || {lit(rep)} AS cand "
-                     f"FROM toks WHERE suffix(token, {lit(suf)}) AND length(token) > {len(suf)}")
-    exc = values(sorted(IRREGULAR.items()), ["token", "exc"])
-    return f"""WITH c AS (SELECT doc_id, {clean('text')} AS clean_text FROM documents),
+S["lemma_map"] = f"""WITH c AS (SELECT doc_id, {clean('text')} AS clean_text FROM documents),
 toks AS (SELECT token, count(*) AS df FROM (
   SELECT DISTINCT doc_id, token FROM (
     SELECT doc_id, unnest(list_filter(string_split(clean_text, ' '), lambda w: w <> '')) AS token FROM c))
-  GROUP BY token),
-lex AS (SELECT token AS cand FROM toks WHERE df >= 2),
-cands AS (SELECT token, 0 AS ord, token AS cand FROM toks UNION ALL {' UNION ALL '.join(rules)}),
-best AS (SELECT token, cand FROM (
-  SELECT c.token, c.cand, row_number() OVER (PARTITION BY c.token ORDER BY length(c.cand), c.ord) AS rn
-  FROM cands c JOIN lex l ON c.cand = l.cand) WHERE rn = 1),
-exc AS (SELECT * FROM {exc})
-SELECT t.token, coalesce(e.exc, b.cand, t.token) AS lemma
-FROM toks t LEFT JOIN best b ON t.token = b.token LEFT JOIN exc e ON t.token = e.token"""
+  GROUP BY token),{lemma_ctes('toks')}
+SELECT token, lemma FROM lemmas"""
 
 
 S["json_props_flatten"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
@@ -144,7 +126,7 @@ _t1, _t2 = int(0.2 * 2 ** 32), int(0.3 * 2 ** 32)
 S["hash_split"] = f"""SELECT doc_id, CASE WHEN h < {_t1} THEN 'test' WHEN h < {_t2} THEN 'val' ELSE 'train' END AS split
 FROM (SELECT doc_id, {hkey(42, 'doc_id')} AS h FROM documents)"""
 
-_SPLIT = f"WITH {CORPUS},{split_cte('cleaned', 'split')}"
+_SPLIT = f"WITH {PREPARED},{split_cte('cleaned', 'split')}"
 S["stratified_split"] = f"{_SPLIT}\nSELECT doc_id, label_id, split FROM split"
 
 S["stratified_split_orders"] = f"""WITH o AS (SELECT o_orderkey, o_orderpriority FROM orders),
@@ -156,7 +138,10 @@ S["stratified_split_lineitem"] = f"""WITH li AS (SELECT l_orderkey * 8 + l_linen
 SELECT l_key, l_returnflag, split FROM sp"""
 
 S["kfold_assign"] = f"""SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderpriority
-  ORDER BY {hkey(42, 'o_orderkey')}, o_orderkey) - 1) % 3 AS INTEGER) AS fold FROM orders"""
+  ORDER BY {hkey(42, 'o_orderkey')}, o_orderkey) - 1) * 3 // count(*) OVER (PARTITION BY o_orderpriority) AS INTEGER) AS fold
+FROM orders"""
+
+S["shuffle_key"] = f"SELECT doc_id, {hkey(42, 'doc_id')} AS shuffle_key FROM documents"
 
 S["class_weights"] = f"""{_SPLIT},
 cnt AS (SELECT label_id, count(*) AS n_c FROM split WHERE split = 'train' GROUP BY label_id)
@@ -309,6 +294,13 @@ testdocs AS (SELECT doc_id, label_id FROM split WHERE split = 'test'),
 testlong AS (SELECT * FROM tfw WHERE split = 'test'),{nb_predict_ctes('testdocs', 'testlong')}
 SELECT t.doc_id, t.label_id AS true_id, p.pred_id FROM testdocs t JOIN nbpred p ON t.doc_id = p.doc_id"""
 
+S["nb_probabilities"] = f"""{_NB},
+testdocs AS (SELECT doc_id, label_id FROM split WHERE split = 'test'),
+testlong AS (SELECT * FROM tfw WHERE split = 'test'),{nb_predict_ctes('testdocs', 'testlong')},
+odds AS (SELECT doc_id, label_id, exp(score - max(score) OVER (PARTITION BY doc_id)) AS o FROM nbpred_scores)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY label_id) - 1 AS INTEGER) AS class_id,
+  {r6('o / sum(o) OVER (PARTITION BY doc_id)')} AS p FROM odds"""
+
 S["top_features"] = f"""{_NB}
 SELECT label_id, CAST(rank AS INTEGER) AS rank, term, {r6('theta')} AS theta FROM (
   SELECT label_id, term, theta, row_number() OVER (PARTITION BY label_id ORDER BY round(theta, 9) DESC, term) AS rank
@@ -328,7 +320,7 @@ FROM cut"""
 def _gap(reverse: bool = False, source: str = "en", target: str = "other"):
     src_split = split_cte("src", "split", 20, 0)
     a, b = ("<>", "=") if reverse else ("=", "<>")
-    return f"""WITH {CORPUS},
+    return f"""WITH {PREPARED},
 src AS (SELECT * FROM cleaned WHERE lang {a} 'en'),
 tgt AS (SELECT * FROM cleaned WHERE lang {b} 'en'),{src_split},{tfidf_ctes('split')},{nb_ctes('split')},
 scored AS (SELECT doc_id, label_id, 'in' AS domain, clean_text FROM split WHERE split = 'test'
@@ -378,10 +370,7 @@ JOIN knn k ON k.label = s.label AND k.qid = b.qid AND k.slot = s.slot"""
 
 
 def all_sql() -> dict[str, str]:
-    out = dict(S)
-    out["stopword_filter"] = _stopword_query()
-    out["lemma_map"] = _lemma_query()
-    return out
+    return dict(S)
 
 
 # C9 data flow: raw lower-cased text, exact 70/15/15 split, every 128-token

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +18,12 @@ from ..functions.text import (assemble_statement, assemble_title_content, char_l
 from ..operators import bias, errors, metrics, nb, sampling
 from ..operators.encode import encode_fixed_length
 from ..operators.lemma import lemma_table, token_table
-from ..operators.tfidf import fit_tfidf, term_frequencies, term_stats
+from ..operators.tfidf import fit_tfidf, term_stats
+from ..session import staged
 from ..sources.synthetic import generate_corpus
 from ..sources.tables import (RETURNFLAG_CLASSES, label_rows, labelled_corpus, prediction_table_docs,
                               prediction_table_lineitem, read_table)
-from .common import SEED, cleaned_corpus, credibility_dim, split_corpus
+from .common import SEED, credibility_dim, prepared, split_corpus
 
 Q = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Q] = {}
@@ -137,12 +137,19 @@ def q_stopword(spark, d):
     return t.select("doc_id", drop_stopwords("c").alias("text_nostop"))
 
 
+@query("preprocess_text")
+def q_preprocess(spark, d):
+    """T10 with all steps: clean, drop stop words, lemmatise, drop empty rows;
+    the lexicon is the corpus's own tokens."""
+    return prepared(read_table(spark, d, "documents").select("doc_id", "text"))
+
+
 @query("lemma_map")
 def q_lemma_map(spark, d):
     c = read_table(spark, d, "documents").select("doc_id", clean_text("text").alias("clean_text"))
     # the distinct-token table (grows with the vocabulary, not the corpus)
     # feeds the candidates, the lexicon and the final join: clean once
-    toks = token_table(c).persist(StorageLevel.MEMORY_AND_DISK)
+    toks = staged(token_table(c))
     lex = toks.where(F.col("df") >= 2).select("token")
     return lemma_table(toks.select("token"), lex)
 
@@ -236,6 +243,12 @@ def q_hash_sample(spark, d):
     return sampling.hash_sample(t, 100, "doc_id", SEED)
 
 
+@query("shuffle_key")
+def q_shuffle_key(spark, d):
+    """The order of a shuffle as a column (sort by it where an order is consumed)."""
+    return sampling.shuffle_key(read_table(spark, d, "documents").select("doc_id"), "doc_id", SEED)
+
+
 @query("hash_split")
 def q_hash_split(spark, d):
     t = read_table(spark, d, "documents").select("doc_id")
@@ -449,21 +462,27 @@ def q_tfidf(spark, d):
 
 def _nb(spark, d, alpha=1.0):
     s, m = _fitted(spark, d)
-    # transform each split on its own rows: a split filter cannot pass the
-    # per-document norm window, so filtering one shared transform would
-    # weight every row once per consumer
     train = s.where(F.col("split") == "train")
-    tr = m.transform_long(train, keep=["label_id"])
-    theta, prior = nb.nb_fit(tr, train, m.vocab, alpha=alpha)
+    theta, prior = nb.nb_fit(m.transform_long(train, keep=["label_id"]), train, m.vocab, alpha=alpha)
     return s, m, theta, prior
 
 
+def _nb_scored(spark, d):
+    s, m, theta, prior = _nb(spark, d)
+    rows = m.sparse_rows(s.where(F.col("split") == "test"), keep=["label_id"])
+    return nb.nb_predict(rows, nb.nb_parameters(theta, prior, m.vocab), keep=["label_id"])
+
+
 @query("nb_predict")
 def q_nb_predict(spark, d):
-    s, m, theta, prior = _nb(spark, d)
-    test = s.where(F.col("split") == "test")
-    p = nb.nb_predict(m.transform_long(test), test, theta, prior)
-    return test.select("doc_id", F.col("label_id").alias("true_id")).join(p.select("doc_id", "pred_id"), "doc_id")
+    return _nb_scored(spark, d).select("doc_id", F.col("label_id").alias("true_id"), "pred_id")
+
+
+@query("nb_probabilities")
+def q_nb_probabilities(spark, d):
+    """M6: one row per test document and class."""
+    p = _nb_scored(spark, d).select("doc_id", F.posexplode("probabilities").alias("class_id", "p"))
+    return p.select("doc_id", "class_id", F.round("p", 6).alias("p"))
 
 
 @query("top_features")

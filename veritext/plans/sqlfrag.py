@@ -3,7 +3,9 @@ from the same constants so Spark and the oracle cannot drift apart."""
 
 from __future__ import annotations
 
-from ..functions.text import HASHTAG_RE, HTML_RE, MENTION_RE, SEPARATOR_RUN_RE, URL_RE, WS, WS_RUN_RE
+from ..functions.text import (DEFAULT_STOPWORDS, HASHTAG_RE, HTML_RE, MENTION_RE, SEPARATOR_RUN_RE, URL_RE, WS,
+                              WS_RUN_RE)
+from ..operators.lemma import IRREGULAR, NOUN_RULES
 
 
 def lit(s: str) -> str:
@@ -42,17 +44,64 @@ def r6(x: str) -> str:
     return f"round({x}, 6)"
 
 
-CORPUS = f"""
+CORPUS_ROWS = """
 corpus AS (
   SELECT d.doc_id, d.text, d.source, d.lang, CAST(l.quality AS INTEGER) AS label_id,
          CASE CAST(l.quality AS INTEGER) WHEN 0 THEN 'fake' WHEN 1 THEN 'true'
               ELSE CAST(l.quality AS VARCHAR) END AS label
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
-  WHERE l.quality IS NOT NULL AND d.text IS NOT NULL),
+  WHERE l.quality IS NOT NULL AND d.text IS NOT NULL)"""
+
+CORPUS = f"""{CORPUS_ROWS},
 cleaned AS (
   SELECT * FROM (SELECT *, {clean('text')} AS clean_text FROM corpus) WHERE length(clean_text) > 0)"""
 
 
+def stop_words() -> str:
+    return "[" + ", ".join(lit(w) for w in DEFAULT_STOPWORDS()) + "]"
+
+
+def drop_stop_words(x: str) -> str:
+    return (f"array_to_string(list_filter(string_split({x}, ' '), "
+            f"lambda w: w <> '' AND NOT list_contains({stop_words()}, w)), ' ')")
+
+
+def lemma_ctes(toks: str) -> str:
+    """lemmas (token, lemma) of a table of tokens with document frequencies."""
+    rules = " UNION ALL ".join(
+        f"SELECT token, {i} AS ord, substr(token, 1, length(token) - {len(suf)}) || {lit(rep)} AS cand "
+        f"FROM {toks} WHERE suffix(token, {lit(suf)}) AND length(token) > {len(suf)}"
+        for i, (suf, rep) in enumerate(NOUN_RULES, start=1))
+    exceptions = ", ".join(f"({lit(a)}, {lit(b)})" for a, b in sorted(IRREGULAR.items()))
+    return f"""
+lex AS (SELECT token AS cand FROM {toks} WHERE df >= 2),
+cands AS (SELECT token, 0 AS ord, token AS cand FROM {toks} UNION ALL {rules}),
+best AS (SELECT token, cand FROM (
+  SELECT c.token, c.cand, row_number() OVER (PARTITION BY c.token ORDER BY length(c.cand), c.ord) AS rn
+  FROM cands c JOIN lex l ON c.cand = l.cand) WHERE rn = 1),
+lemmas AS (
+  SELECT t.token, coalesce(e.exc, b.cand, t.token) AS lemma
+  FROM {toks} t LEFT JOIN best b ON t.token = b.token
+  LEFT JOIN (VALUES {exceptions}) AS e(token, exc) ON t.token = e.token)"""
+
+
+def prepared_ctes(src: str, keep: str) -> str:
+    """cleaned (keep..., clean_text): rows of ``src`` (with doc_id, text) after
+    cleaning, stop words and lemmas, empty ones dropped."""
+    columns = ", ".join(f"n.{c.strip()}" for c in keep.split(","))
+    return f"""
+nostop AS (SELECT * EXCLUDE (text), {drop_stop_words(clean('text'))} AS t FROM {src}),
+occ AS (SELECT doc_id, unnest(string_split(t, ' ')) AS token, unnest(range(len(string_split(t, ' ')))) AS pos
+        FROM nostop WHERE t <> ''),
+toks AS (SELECT token, count(DISTINCT doc_id) AS df FROM occ GROUP BY token),{lemma_ctes('toks')},
+lemmatised AS (SELECT o.doc_id, string_agg(l.lemma, ' ' ORDER BY o.pos) AS clean_text
+               FROM occ o JOIN lemmas l ON o.token = l.token GROUP BY o.doc_id),
+cleaned AS (SELECT {columns}, l.clean_text FROM nostop n JOIN lemmatised l ON n.doc_id = l.doc_id)"""
+
+
+PREPARED = f"{CORPUS_ROWS},{prepared_ctes('corpus', 'doc_id, source, lang, label_id, label')}"
+
+
 def split_cte(src: str, name: str, test_pct: int = 20, val_pct: int = 10, label: str = "label_id",
               key: str = "doc_id", seed: int = 42) -> str:
     return f"""

@@ -9,7 +9,6 @@ rows and the whole target corpus are scored in ONE transform with a
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +20,10 @@ from .common import SEED, cleaned_corpus
 
 def _domains(spark: SparkSession, d: str, source_lang: str | None = "en", pivot_lang: str = "en"):
     """source_lang=None means 'every language except pivot_lang' (reverse direction)."""
-    # source split, target transform, prediction base and truth table all
-    # read the cleaned corpus: run the regex chain once
-    c = harmonise_binary(cleaned_corpus(spark, d), "binary").persist(StorageLevel.MEMORY_AND_DISK)
+    c = harmonise_binary(cleaned_corpus(spark, d), "binary")
     is_pivot = F.col("lang") == pivot_lang
     src, tgt = (c.where(is_pivot), c.where(~is_pivot)) if source_lang else (c.where(~is_pivot), c.where(is_pivot))
-    s = sampling.stratified_split(src, "label_id", "doc_id", 20, 0, SEED).cache()
+    s = sampling.stratified_split(src, "label_id", "doc_id", 20, 0, SEED)
     return s, tgt
 
 
@@ -43,10 +40,9 @@ def nb_cross_domain_split(spark: SparkSession, d: str, source_lang: str | None,
     theta, prior = nb.nb_fit(tr_long, train, model.vocab)
     scored = (s.where(F.col("split") == "test").select("doc_id", "label_id", F.lit("in").alias("domain"), "clean_text")
                .unionByName(tgt.select("doc_id", "label_id", F.lit("cross").alias("domain"), "clean_text")))
-    long = model.transform_long(scored)
-    pred = nb.nb_predict(long, scored, theta, prior)
-    table = scored.select("doc_id", "domain", F.col("label_id").alias("true_label")).join(
-        pred.select("doc_id", F.col("pred_id").alias("pred_label")), "doc_id")
+    rows = model.sparse_rows(scored, keep=["label_id", "domain"])
+    pred = nb.nb_predict(rows, nb.nb_parameters(theta, prior, model.vocab), keep=["label_id", "domain"])
+    table = pred.select("domain", F.col("label_id").alias("true_label"), F.col("pred_id").alias("pred_label"))
     cnt = metrics.confusion_counts(table, group=["domain"])
     per_domain = metrics.summary_metrics(cnt, ["domain"]).withColumn("model", F.lit("multinomial_nb"))
     gap = metrics.generalization_gap(per_domain)

@@ -6,8 +6,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def get_spark(master: str | None = None, partitions: int | None = None,
@@ -69,3 +71,15 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss), never localCheckpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet below ``spark.checkpoint.dir`` and read it
+    back: the lineage ends there, a lost executor re-reads files, consumers
+    prune columns, and nothing stays in executor memory.  ``schema`` may name
+    a user-defined type where ``df`` has the type's stored form (a vector is
+    stored as a struct of size, indices and values)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)

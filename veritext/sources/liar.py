@@ -11,6 +11,7 @@ from ..functions.text import WS, assemble_statement
 from ..operators.sampling import hash_sample
 from . import fs
 from .fakeddit import read_tsv_strict
+from .ids import with_stable_id
 
 # The LIAR column layout.
 LIAR_COLUMNS = ["id", "label", "statement", "subject", "speaker", "speaker_job", "state", "party",
@@ -28,12 +29,12 @@ def load_liar(spark: SparkSession, data_dir: str, label_scheme: str = "2way", sp
             parts.append(read_tsv_strict(spark, path, quote="", header=False, names=LIAR_COLUMNS)
                          .withColumn("split", F.lit(s)))
     if not parts:
-        raise FileNotFoundError(f"No LIAR TSV files found in {data_dir}")
+        raise FileNotFoundError(f"{data_dir} holds none of {', '.join(SPLIT_FILES.values())}")
     raw = parts[0]
     for p in parts[1:]:
         raw = raw.unionByName(p)
-    # unique by position in the scan: a statement that repeats keeps its own id
-    df = raw.withColumn("doc_id", F.monotonically_increasing_id()).withColumn("text", assemble_statement("statement", "subject"))
+    # a statement that repeats keeps its own id
+    df = with_stable_id(raw).withColumn("text", assemble_statement("statement", "subject"))
     df = remap_liar(df, "label", label_scheme, "label_id", "label")
     df = df.withColumn("source", F.coalesce(F.col("speaker"), F.lit("unknown")))
     stripped = F.regexp_replace(F.col("text"), rf"^[{WS}]+|[{WS}]+$", "")
@@ -42,6 +43,5 @@ def load_liar(spark: SparkSession, data_dir: str, label_scheme: str = "2way", sp
             .where(F.col("label_id") >= 0)
             .where(F.length(stripped) > 10))
     if max_samples:
-        df = hash_sample(df.withColumn("_content", F.xxhash64("split", "id", "text")), max_samples, "_content",
-                         seed).drop("_content")
+        df = hash_sample(df, max_samples, "doc_id", seed)
     return df

@@ -24,6 +24,7 @@ from ..functions.text import WS, assemble_title_content, normalise_source_key
 from ..operators.metrics import materialize_small
 from ..operators.sampling import hash_sample
 from . import fs
+from .ids import with_stable_id
 
 # Source -> credibility (0 reliable, 1 mixed, 2 unreliable), in
 # the original order; "usatoday" appears twice and the later entry wins.
@@ -71,19 +72,10 @@ def credibility_dimension(spark: SparkSession, pairs=None) -> DataFrame:
 
 
 def _finish(df: DataFrame, min_len: int, max_samples: int | None, seed: int) -> DataFrame:
-    """Drop short texts; an exact sample by the rows' content (equal rows are
-    interchangeable), so it does not depend on the file layout."""
+    """Drop short texts; an exact sample by id, so it does not depend on the
+    file layout."""
     df = df.where(F.length("text") > min_len)
-    if max_samples:
-        df = hash_sample(df.withColumn("_content", F.xxhash64("source", "text")), max_samples, "_content",
-                         seed).drop("_content")
-    return df
-
-
-def with_id(raw: DataFrame) -> DataFrame:
-    """Unique ``doc_id`` by position in the scan (partition, row): repeated
-    articles keep ids of their own, and nothing is shuffled."""
-    return raw.withColumn("doc_id", F.monotonically_increasing_id())
+    return hash_sample(df, max_samples, "doc_id", seed) if max_samples else df
 
 
 def load_nela_csv(spark: SparkSession, paths: list[str] | str, max_samples: int | None = None,
@@ -94,9 +86,9 @@ def load_nela_csv(spark: SparkSession, paths: list[str] | str, max_samples: int
            .option("escape", '"').csv(paths))
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
     cols = set(raw.columns)
-    raw = with_id(raw.drop("doc_id"))
     if "source" not in cols:
-        raise ValueError("CSV has no 'source' column")
+        raise ValueError("no column named source among " + ", ".join(raw.columns))
+    raw = with_stable_id(raw.drop("doc_id"))
     if "title" in cols and "content" in cols:
         text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("content", F.lit("")))
     elif "content" in cols:
@@ -104,11 +96,11 @@ def load_nela_csv(spark: SparkSession, paths: list[str] | str, max_samples: int
     elif "title" in cols:
         text = F.coalesce("title", F.lit(""))
     else:
-        raise ValueError("CSV must have at least a 'title' or 'content' column")
+        raise ValueError("neither title nor content among the columns " + ", ".join(raw.columns))
     dim = dim if dim is not None else credibility_dimension(spark)
     keyed = raw.withColumn("source_key", normalise_source_key("source")).withColumn("text", text)
-    known = keyed.join(F.broadcast(dim), "source_key")  # <= a few hundred keys
-    unknown = keyed.join(F.broadcast(dim), "source_key", "left_anti").groupBy("source").agg(
+    known = keyed.join(dim, "source_key")
+    unknown = keyed.join(dim, "source_key", "left_anti").groupBy("source").agg(
         F.count(F.lit(1)).alias("n"))
     corpus = known.select("text", name_for_id("label_id", NELA_3WAY).alias("label"), "label_id", "source", "doc_id")
     return _finish(corpus, 20, max_samples, seed), unknown
@@ -124,7 +116,7 @@ def detect_label_column(schema: T.StructType, json_style: bool = True) -> str:
     numeric = [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)]
     if numeric:
         return numeric[-1]
-    raise ValueError("Cannot identify label column in labels file")
+    raise ValueError("no label column: none is named like one, and none is numeric")
 
 
 def load_labels_file(spark: SparkSession, path: str, json_style: bool = True) -> DataFrame:
@@ -149,12 +141,10 @@ def load_nela_json(spark: SparkSession, data_dir: str, max_samples: int | None =
     raw = (spark.read.schema(JSON_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").json(articles)
            .withColumn("_path", F.col("_metadata.file_path")))
-    raw = with_id(raw)
     parent = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
     src = F.coalesce(F.col("source"), parent)
-    df = raw.withColumn("source", src).withColumn("source_key", F.lower("source"))
-    # labels file: one row per source; local (broadcast) below a checked row
-    # bound, a persisted distributed table above it
+    df = with_stable_id(raw.withColumn("source", src).drop("_path")).withColumn("source_key", F.lower("source"))
+    # labels file: one row per source, written once; broadcast or not by its size
     j = df.join(materialize_small(labels), "source_key")
     text = F.coalesce(F.col("content"), F.col("title"), F.lit(""))
     stripped = F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+$", "")
@@ -171,7 +161,7 @@ def load_nela_table(spark: SparkSession, labels: DataFrame, table: str = "newsda
     """Any registered table/view named ``newsdata`` (S10); labels: (source_key,
     label_id).  Whole texts (``max_content`` limits their characters); the
     sample is drawn from all rows that pass the join and the filters."""
-    t = with_id(spark.table(table).select("source", "title", "content"))
+    t = with_stable_id(spark.table(table).select("source", "title", "content"))
     j = t.withColumn("source_key", F.lower("source")).join(materialize_small(labels), "source_key")
     out = j.select(assemble_title_content("title", "content", max_content).alias("text"),
                    name_for_id("label_id", NELA_3WAY).alias("label"), "label_id", "source", "doc_id").dropna()
