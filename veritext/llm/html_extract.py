@@ -28,6 +28,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,10 +42,10 @@ STOP_WORDS = frozenset((
     "el los las que y del se por con para una su al lo como más pero sus este entre cuando muy sin sobre").split())
 
 BLOCK = frozenset("""address article aside blockquote body button center dd details dialog dir div dl dt fieldset
-figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select
+figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav noscript ol option p pre section select
 summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object xmp noframes".split())
+RAW = frozenset("script style textarea title template iframe svg select xmp noframes".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 BAD_TAGS = frozenset("nav header footer aside form button fieldset dialog menu head".split())
@@ -52,13 +53,14 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert
 COMMENT = frozenset("comment comments commentlist disqus respond replies discussion".split())
 SECTION = frozenset("replies discussion".split())  # of COMMENT, but a part of an article too
 ADVERT = frozenset("ad ads advert advertisement advertising adverts sponsored".split())
-BAD_NAMES = COMMENT | ADVERT | frozenset("""banner breadcrumb breadcrumbs consent
-cookie cookies disclaimer footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices
+BAD_NAMES = COMMENT | ADVERT | frozenset("""banner breadcrumb breadcrumbs colophon consent
+cookie cookies copyright disclaimer footer gdpr hidden imprint legal login masthead menu modal nav navbar navigation newsletter notice notices
 notification pager pagination popup promo promotion related recommended share sharing sidebar signup skip social
 sponsor subscribe toolbar widget""".split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)",
-                   re.S)
+# a comment, a tag, a tag with an unclosed quote (it ends at the next >), other markup
+TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+                   r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
@@ -71,7 +73,7 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     bad: bool = False
-    mains: tuple[int, ...] = ()  # the article containers it stands in, innermost last
+    main: int = 0  # the innermost article container it stands in
     wrapped: int = 0  # of them, the outermost in a container of a bad name
     named: bool = False  # it has a bad name inside its article
     text: str = ""
@@ -114,14 +116,64 @@ def judged(tag: str, attributes: str, inside_main: bool) -> str:
     if tag == "form" or role == "form":
         return "form"
     # an article's own heading is part of it
+    if tag == "noscript":
+        return "named"
     if tag in BAD_TAGS and not (inside_main and tag == "header") or inside_main and whole & ADVERT:
         return "bad"
     return "named" if names & BAD_NAMES else ""
 
 
-def blocks(page: str) -> list[Block]:
-    out, block = [], Block()
-    stack: list[tuple[str, str, int]] = []  # open tags, what they are and where they start
+class Inside(NamedTuple):
+    """What the open containers make of the text in them."""
+
+    bad: bool = False  # in a bad container or reader comments
+    main: int = 0  # innermost article container, by its place in the page
+    form: bool = False  # in a form inside it
+    named: bool = False  # in a container of a bad name inside it
+    name: bool = False  # in a container of a bad name anywhere
+    wrapped: int = 0  # outermost article container in one
+
+    def enter(self, kind: str, at: int) -> Inside:
+        if kind in ("bad", "comment"):
+            return self._replace(bad=True)
+        if kind == "form":
+            return self._replace(form=True)
+        if kind == "named":
+            return self._replace(named=True, name=True)
+        if kind == "main":
+            return self._replace(main=at, form=False, named=False, wrapped=self.wrapped or (at if self.name else 0))
+        return self
+
+
+class OpenTags:
+    """The stack of open tags, with the places of each name in it, so that
+    deep nesting costs no search."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, Inside]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def inside(self) -> Inside:
+        return self.stack[-1][1] if self.stack else Inside()
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, kind: str, at: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, self.inside().enter(kind, at)))
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.places[self.stack.pop()[0]].pop()
+
+
+def blocks(page: str) -> tuple[list[Block], dict[int, int]]:
+    """The page's blocks in order, and for each article container the one
+    around it (0: none)."""
+    out, block, around = [], Block(), {}
+    tags = OpenTags()
     at, links = 0, 0
 
     def close() -> None:
@@ -131,14 +183,9 @@ def blocks(page: str) -> list[Block]:
             block.text = text
             block.pieces = []
             out.append(block)
-        kinds = [k for _, k, _ in stack]
-        mains = tuple(start for _, k, start in stack if k == "main")
-        at_main = len(kinds) - kinds[::-1].index("main") if mains else 0
-        inside = kinds[at_main:]
-        bad = "comment" in kinds or "bad" in kinds or "form" in inside or (not mains and "named" in inside)
-        at_name = kinds.index("named") if "named" in kinds[:at_main] else len(kinds)
-        wrapped = next((start for _, k, start in stack[at_name:] if k == "main"), 0)
-        block = Block(bad=bad, mains=mains, wrapped=wrapped, named=bool(mains) and "named" in inside)
+        here = tags.inside()
+        block = Block(bad=here.bad or here.form or (not here.main and here.named), main=here.main,
+                      wrapped=here.wrapped, named=bool(here.main) and here.named)
 
     def add(text: str) -> None:
         block.pieces.append(text)
@@ -156,17 +203,17 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at:m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
+        tag = (m[2] or m[5] or "").lower()
+        attributes = m[3] or m[6] or ""
         if not tag:
             continue
-        if m[1]:  # end tag
+        if m[1] or m[4]:  # end tag
             if tag == "a" and links:
                 links -= 1
-            if any(t == tag for t, _, _ in stack):
+            if tags.last(tag) >= 0:
                 if tag in BLOCK:
                     close()
-                while stack.pop()[0] != tag:
-                    pass
+                tags.cut(tags.last(tag))
                 if tag in BLOCK:
                     close()
             elif tag == "p":
@@ -182,25 +229,27 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             close()
             links = 0
-            open_tags = [t for t, _, _ in stack]
             ends = {"li": "li", "td": "td", "th": "td", "tr": "tr", "dt": "dd", "dd": "dt", "option": "option"}.get(tag)
             for name in ("p", *([ends, tag] if ends else [])):
-                if name in open_tags:
-                    k = len(open_tags) - 1 - open_tags[::-1].index(name)
-                    if name == "p" or not {"ul", "ol", "table", "dl"} & set(open_tags[k:]):
-                        del stack[k:], open_tags[k:]
+                k = tags.last(name)
+                if k >= 0 and (name == "p" or max(map(tags.last, ("ul", "ol", "table", "dl"))) < k):
+                    tags.cut(k)
         if tag == "a":
             links += 1
         if tag not in VOID:
-            kind = judged(tag, m[3], any(k == "main" for _, k, _ in stack)) if tag in BLOCK or m[3] else ""
-            stack.append((tag, kind if tag in BLOCK or kind not in ("", "main") else "", at))
+            main = tags.inside().main
+            kind = judged(tag, attributes, bool(main)) if tag in BLOCK or attributes else ""
+            kind = kind if tag in BLOCK or kind not in ("", "main") else ""
+            if kind == "main":
+                around[at] = main
+            tags.push(tag, kind, at)
         if tag in BLOCK:
             close()
     close()
-    return out
+    return out, around
 
 
-def first_pass(found: list[Block], rules: Rules) -> list[bool | None]:
+def first_pass(found: list[Block], around: dict[int, int], rules: Rules) -> list[bool | None]:
     """Good, bad or open (None) for every block."""
     out: list[bool | None] = []
     linked = [b.linked > rules.linked * len(b.text.replace(" ", "")) for b in found]
@@ -208,26 +257,29 @@ def first_pass(found: list[Block], rules: Rules) -> list[bool | None]:
         if b.bad:
             out.append(False)
         elif link:
-            out.append(None if b.mains and not b.named else False)
+            out.append(None if b.main and not b.named else False)
         elif len(b.text) < rules.long:
             out.append(None)
         else:
             words = [w.lower() for w in WORD.findall(b.text)]
             share = sum(w in rules.stop_words for w in words) / max(1, len(words))
-            out.append(True if b.mains and not b.named or share >= rules.stop_share else None)
+            out.append(True if b.main and not b.named or share >= rules.stop_share else None)
     # good text of the articles in containers of a bad name, and (0) of the others
     weight = dict.fromkeys((0, *(b.wrapped for b in found)), 0)
     for b, x in zip(found, out, strict=True):
         weight[b.wrapped] += len(b.text) if x else 0
-    if True in out or any(x is None and b.mains and not b.wrapped for b, x in zip(found, out, strict=True)):
+    if True in out or any(x is None and b.main and not b.wrapped for b, x in zip(found, out, strict=True)):
         out = [False if b.wrapped and weight[b.wrapped] <= weight[0] else x for b, x in zip(found, out, strict=True)]
     # without any good block a page's articles are what it has
-    holding = {m for b, x in zip(found, out, strict=True) if x for m in b.mains}
-    if True not in out:
-        holding = {m for b in found for m in b.mains}
+    holding: set[int] = set()
+    for b, x in zip(found, out, strict=True):
+        main = b.main if x or True not in out else 0
+        while main and main not in holding:
+            holding.add(main)
+            main = around[main]
     for i, b in enumerate(found):
-        if out[i] is None and b.mains and not b.named:
-            out[i] = True if b.mains[-1] in holding else False if linked[i] else None
+        if out[i] is None and b.main and not b.named:
+            out[i] = True if b.main in holding else False if linked[i] else None
     return out
 
 
@@ -248,8 +300,8 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
 
 
 def main_text(page: str | None, rules: Rules | None = None) -> str:
-    found = blocks(page or "")
-    keep = second_pass(first_pass(found, rules or Rules()))
+    found, around = blocks(page or "")
+    keep = second_pass(first_pass(found, around, rules or Rules()))
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
