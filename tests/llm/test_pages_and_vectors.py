@@ -1,9 +1,11 @@
 """HTML extraction, URL filter and embedding near-dedup."""
 
 import re
+import time
 from html import unescape
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.util import SF01, rows_of
@@ -190,3 +192,44 @@ def test_odd_vectors_and_many_blocks(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("v", F.lit(1))
     assert rows_of(embed_dedup.embed_dedup(frame)) == brute(rows)
     assert embed_dedup.embed_dedup(frame.limit(0)).collect() == []
+
+
+def test_pages_deep_and_broken():
+    text = html_extract.main_text
+    long = "this is the text of the page and it is long enough to be a block of its own in the article of the day " * 3
+    t0 = time.time()
+    assert text("<div>" * 100_000 + f"<p>{long}</p>") == long.strip()
+    assert text("<article>" * 20_000 + f"<p>{long}</p>" + "</article>" * 20_000) == long.strip()
+    assert time.time() - t0 < 20
+    assert text(f"<article><p>{long}</p><p>Formula <math><mi>x</mi></math> holds.</p></article>").endswith("Formula x holds.")
+    assert text(f'<article><p>{long}</p><p>see <a href="x>link more</a> here</p></article>').endswith("see link more here")
+    assert text(f'<article><p>{long}</p></article><div class="copyright">All rights reserved.</div>') == long.strip()
+
+
+def test_extract_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "u", "<p>one"), (3, "u", "<p>a &amp; b</p><p>c</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
+        {c: F.lit(1) for c in ("text", "n_chars", "tag")})
+    got = sorted(((r.page_id, r.url, r.text) for r in html_extract.extract(pages).collect()), key=str)
+    assert got == sorted([(1, "u", ""), (1, "u", ""), (2, None, ""), (None, "u", "one"), (3, "u", "a & b\nc")], key=str)
+    assert html_extract.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("dim", [16, 64, 384])
+def test_no_pair_at_the_threshold_is_left_out(dim):
+    """Pairs just above the threshold, one vector along the other's signs."""
+    rng = np.random.default_rng(dim)
+    turn, missed, n = embed_dedup.rotation(dim), 0, 400
+    for _ in range(n):
+        v = np.sign(rng.standard_normal(dim)) + rng.choice([0, 1e-3, 1e-6]) * rng.standard_normal(dim)
+        v /= np.linalg.norm(v)
+        side = rng.standard_normal(dim)
+        side -= side @ v * v
+        cosine = 0.93 + rng.choice([1e-12, 1e-9, 1e-6, 1e-5])
+        w = cosine * v + np.sqrt(1 - cosine ** 2) * side / np.linalg.norm(side)
+        both = np.stack([v, w]) @ turn  # back: encode turns them again
+        for x, y in ((0, 1), (1, 0)):
+            turned, _, _ = embed_dedup.encode(both[[x]])
+            _, codes, factors = embed_dedup.encode(both[[y]])
+            missed += len(embed_dedup.passing(turned, codes, factors, 0.93)[0]) == 0
+    assert missed == 0
