@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .common import by_batch
 from .tokens import chunks
 
 PAIRS = 2_000_000  # pairs a worker remembers
@@ -326,6 +328,12 @@ class Codec:
                    hashlib.sha256(decoded[i].as_buffer()).hexdigest())
 
 
+@lru_cache(1)
+def vocabulary(path: str, pattern: str) -> Vocabulary:
+    """Read once in each Python process; memos of pieces are each task's own."""
+    return Vocabulary.from_file(path, pattern)
+
+
 def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, number of tokens, SHA-256 of the decimal ids
@@ -337,7 +345,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or Codec(Vocabulary.from_file(vocabulary_path, pattern))
+            codec = codec or Codec(vocabulary(vocabulary_path, pattern))
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = [r for a, b in chunks(texts, CHUNK) for r in codec.digests(texts[a:b])]
             columns = [batch.column(0).to_pylist(), *(list(zip(*rows, strict=True)) or [[]] * 3)]
@@ -345,4 +353,4 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
                                   schema=OUT_ARROW)
 
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text"
-                           ).mapInArrow(run, OUT)
+                           ).mapInArrow(by_batch(run), OUT)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,42 @@ def unit(seed: str, *keys: str | Column) -> Column:
                                                      F.lit("")) for k in keys])
     bits = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double")
     return (bits + F.lit(0.5)) / F.lit(float(2 ** 52))
+
+
+def give_back() -> None:
+    """Return a Python worker's free memory to the system: Spark keeps idle
+    workers for later stages, beside the memory that those need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def by_group(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A grouped Arrow function whose worker gives back what a group took."""
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            return function(group)
+        finally:
+            give_back()
+    return run
+
+
+def by_groups(function: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``by_group`` for a cogrouped function."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return function(left, right)
+        finally:
+            give_back()
+    return run
+
+
+def by_batch(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``by_group`` for a function over a partition's batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+    return run

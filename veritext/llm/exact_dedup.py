@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .common import shuffle_partitions, slice_of, written
+from .common import by_group, by_groups, shuffle_partitions, slice_of, written
 
 BITS = 64
 SUSPECT = "id long, print long"
@@ -62,8 +62,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return group.select(["id", "print"]).filter(twice).cast(SUSPECT_ARROW)
 
     prints = ids.select("slice", "id", "print")
-    replies = ex.exchange(prints.groupBy("slice").applyInArrow(send, ex.SENT), "count", "u1")
-    suspects = written(prints.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(receive, SUSPECT))
+    replies = ex.exchange(prints.groupBy("slice").applyInArrow(by_group(send), ex.SENT), "count", "u1")
+    suspects = written(prints.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(by_groups(receive), SUSPECT))
 
     # byte verification: the text itself is the grouping key.  A null id can't
     # be looked up by equality, hence the null-safe join.

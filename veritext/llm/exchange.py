@@ -16,13 +16,14 @@ Answers
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import golomb
+from .common import by_group
 
 SENT = "slice int, owner int, prints binary, extra binary"
 ANSWERED = "slice int, owner int, answer binary"
@@ -97,7 +98,7 @@ def exchange(sent: DataFrame, kind: str, width: str) -> DataFrame:
     def owner(group: pa.Table) -> pa.Table:
         return answer(group, kind, width)
 
-    return sent.groupBy("owner").applyInArrow(owner, ANSWERED)
+    return sent.groupBy("owner").applyInArrow(by_group(owner), ANSWERED)
 
 
 def answers(group: pa.Table) -> np.ndarray:
@@ -108,5 +109,3 @@ def answers(group: pa.Table) -> np.ndarray:
     blobs = group["answer"].to_pylist()
     return np.frombuffer(b"".join(zlib.decompress(blobs[i]) for i in order), np.uint8)
 
-
-SliceFunction = Callable[[pa.Table], pa.Table]

@@ -90,9 +90,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("coarse", F.floor(rank * COARSE)).withColumn("fine", F.floor(rank * FINE))
     drawn = rows.where("f > 0")
 
-    first = boundary(drawn, "coarse", F.lit(0))
+    first = written(boundary(drawn, "coarse", F.lit(0)))  # one row per source at most, read more than once
     inside = with_source(drawn, first).where("coarse = cut").drop("cut").withColumnRenamed("words", "start")
-    second = boundary(inside, "fine", F.col("start"))
+    second = written(boundary(inside, "fine", F.col("start")))
     order = Window.partitionBy("source").orderBy("odds", "id").rangeBetween(Window.unboundedPreceding, 0)
     exact = with_source(inside, second).where("fine = cut")
     exact = exact.withColumn("upto", F.col("words") + F.sum("size").over(order))
@@ -111,9 +111,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (F.col("odds") == F.col("end_odds")) & (F.col("id") < F.col("end_id"))))
     rows = rows.withColumn("reached", F.coalesce(reached, F.lit(False)))
     off = F.abs(F.col("size") - F.col("missing"))
-    last = (rows.where(~F.col("reached") & (F.col("f") > 0) & (off < F.col("missing"))).groupBy("source")
-            .agg(F.min(F.struct(off.alias("off"), "odds", "id")).alias("last"))
-            .select("source", F.col("last.odds").alias("last_odds"), F.col("last.id").alias("last_id")))
+    last = written(rows.where(~F.col("reached") & (F.col("f") > 0) & (off < F.col("missing"))).groupBy("source")
+                   .agg(F.min(F.struct(off.alias("off"), "odds", "id")).alias("last"))
+                   .select("source", F.col("last.odds").alias("last_odds"), F.col("last.id").alias("last_id")))
     rows = with_source(rows, last, "left")
     is_last = (F.col("odds") == F.col("last_odds")) & F.col("id").eqNullSafe(F.col("last_id")) & ~F.col("reached")
     copies = F.col("certain") + F.when(F.col("reached") | is_last, 1).otherwise(0)
