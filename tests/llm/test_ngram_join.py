@@ -84,3 +84,12 @@ def test_nulls_repeats_and_empty_table(spark):
     assert rows_of(ngram_join(documents(spark, docs))) == sorted(
         [(None, 2, None), (7, 2, None), (7, 2, None), (9, 2, 9)], key=str)
     assert ngram_join(documents(spark, [])).collect() == []
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "only one of its kind here it is"
+    docs = [(3, a), (7, a), (7, b), (5, b), (7, c), (9, c + " not"), (2, "no partner in the whole table"), (2, None), (1, "")]
+    got = rows_of(ngram_join(documents(spark, docs).repartition(3)))
+    assert got == sorted([(3, 4, 3), (7, 4, 3), (7, 4, 3), (5, 4, 3), (7, 4, 3), (9, 5, 3), (2, 2, 2), (2, 0, 2),
+                          (1, 0, 1)], key=str)
+    assert sorted(r.doc_id for r in module.kept_rows(documents(spark, docs)).collect()) == [1, 2, 2, 3]

@@ -27,7 +27,8 @@ prefix members as the smaller of its two ``l``.
    most one per node, so no pairs are emitted.
 
 Defined results: a null text counts as empty and is linked with nothing; a null
-id is smaller than any other; rows with one id are one node; an empty table
+id is smaller than any other; rows with one id are one node, whatever their
+texts (each row reports its own set's size); an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import tokens as tk
-from .common import shuffle_partitions, slice_of, written
+from .common import by_batch, by_group, by_groups, shuffle_partitions, slice_of, written
 from .graph import components
 
 BITS = 48  # of the hashes that are counted; sets keep 64
@@ -140,8 +141,8 @@ def sketches(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
             out.append(row)
         return ex.to_table(out, SKETCH_ARROW)
 
-    replies = ex.exchange(rows.groupBy("slice").applyInArrow(send, ex.SENT), "count", "u1")
-    return rows.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(sketch, SKETCH)
+    replies = ex.exchange(rows.groupBy("slice").applyInArrow(by_group(send), ex.SENT), "count", "u1")
+    return rows.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(by_groups(sketch), SKETCH)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -162,7 +163,7 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
     joined = pairs.join(one, "a").join(two, "b").select(*columns, "x", "y")
-    return joined.mapInArrow(check, pairs.schema).distinct()
+    return joined.mapInArrow(by_batch(check), pairs.schema).distinct()
 
 
 def open_lists(lists: DataFrame) -> DataFrame:
@@ -250,7 +251,7 @@ def bundle_links(lists: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
         return ex.to_table(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     cell = ["bundle", "i", "j"]
-    return left.groupBy(cell).cogroup(right.groupBy(cell)).applyInArrow(compare, "a long, b long")
+    return left.groupBy(cell).cogroup(right.groupBy(cell)).applyInArrow(by_groups(compare), "a long, b long")
 
 
 def fits(t: Fraction, a: str = "n", b: str = "n2"):
@@ -303,10 +304,16 @@ def ngram_join(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4
     links = written(verified(rest, sets, t).unionByName(bundle_links(long, sets, t)).distinct())
     for more in found_links:
         links = links.unionByName(more)
+    # a node is the smallest id that holds its set, so nodes and ids are one kind of vertex:
+    # rows that share an id but not a set tie their sets to that id
+    placed = found.select("id", "n", "key", "matches").join(classes, "key", "left").select(
+        "id", "n", "key", F.when(F.col("matches").isNotNull(), F.col("node")).otherwise(F.col("id")).alias("node"))
+    several = placed.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    links = links.unionByName(placed.join(several.select("id"), "id").where("id <> node").select(
+        F.col("id").alias("a"), F.col("node").alias("b")))
     parts = components(links).select(F.col("id").alias("node"), "component")
-    named = classes.join(parts, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    out = found.select("id", "n", "key", "matches").join(named, "key", "left")
-    component = F.when(F.col("matches").isNotNull(), F.col("component")).otherwise(F.col("id"))
+    out = placed.join(parts, "node", "left")
+    component = F.coalesce("component", "node")
     known = lambda c: F.when(c != NULL_ID, c)
     return out.select(known(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
                       known(component).alias("component_id"))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import unit, written
+from .common import by_batch, unit, written
 
 FIT_ROWS = 40_000  # labelled documents that are fitted on, about
 WORDS = 20_000  # words of evidence kept per target
@@ -64,12 +64,10 @@ class Evidence:
 def word_tokens(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (columns: whole, first four, first five bytes) and
     of the words with letter case as written."""
-    up, down = tk.BYTE_POWERS.get(len(w.buffer))
-    lower = tk.prefix(tk.BYTE[tk.LOWER[w.buffer]] * up)
-    columns = []
+    lower, columns = tk.LOWER[w.buffer], []
     for size in (None, 4, 5):
         end = w.end if size is None else np.minimum(w.start + size, w.end)
-        columns.append(tk.mix((lower[end] - lower[w.start]) * down[w.start]) + np.uint64(size or 0))
+        columns.append(tk.hash_bytes(lower, w.start, end) + np.uint64(size or 0))
     return np.stack(columns, axis=1), columns[0]
 
 
@@ -126,7 +124,7 @@ def word_evidence(sample: DataFrame, target: str, base: float) -> tuple[np.ndarr
                                    "k": np.bincount(where, mark, len(keys)).astype(np.int64)})
 
     counts = (sample.select("content", F.col(target).cast("int").alias("mark"))
-              .mapInArrow(tokens, "token long, n long, k long").groupBy("token")
+              .mapInArrow(by_batch(tokens), "token long, n long, k long").groupBy("token")
               .agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(F.col("n") >= LEAST))
     rate = (F.col("k") + PRIOR * base) / (F.col("n") + PRIOR)
     odds = F.log(rate / (1 - rate)) - float(np.log(base / (1 - base)))
@@ -185,12 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
                                   ["x", *TARGETS])
 
     data = written(second.select("content", *TARGETS).mapInArrow(
-        rows, "x array<double>, low boolean, toxic boolean"))
+        by_batch(rows), "x array<double>, low boolean, toxic boolean"))
     kinds = data.agg(F.count("*").alias("n"), *(F.sum(F.col(t).cast("int")).alias(t) for t in TARGETS)).first()
     for t in TARGETS:
         if len(tables[t][0]) and 0 < (kinds[t] or 0) < kinds["n"]:
             train = data.select(array_to_vector("x").alias("features"), F.col(t).cast("double").alias("label"))
-            model = LogisticRegression(regParam=1e-3, maxIter=100).fit(train)
+            model = LogisticRegression(regParam=1e-3, maxIter=1000).fit(train)
             models[t] = (model.coefficients.toArray(), float(model.intercept))
     return Classifier(evidence, models)
 
@@ -206,7 +204,7 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
                                   ["id", "source", "lang", *TARGETS])
 
     return docs.select("id", "source", "lang", "content").mapInArrow(
-        run, "id long, source string, lang string, low double, toxic double")
+        by_batch(run), "id long, source string, lang string, low double, toxic double")
 
 
 def probability(odds: Column) -> Column:

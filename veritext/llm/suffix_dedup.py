@@ -102,10 +102,7 @@ def chunk_fragments(texts: list[bytes], width: int, gram: int) -> Fragments:
     none = np.empty(0, np.int64)
     if n <= 0 or size.max(initial=0) < width:
         return Fragments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    up, down = tk.BYTE_POWERS.get(len(buffer))
-    sums = tk.prefix(tk.BYTE[buffer] * up)
-    grams = tk.mix((sums[gram:] - sums[:-gram]) * down[:len(buffer) - gram + 1])
-    least = sliding_min(grams, width - gram + 1)
+    least = sliding_min(tk.grams(buffer, gram), width - gram + 1)
     valid = np.zeros(n + 1, np.int8)  # windows that lie inside one text
     long = size >= width
     valid[text_start[long]] += 1
@@ -123,7 +120,7 @@ def chunk_fragments(texts: list[bytes], width: int, gram: int) -> Fragments:
         left = np.repeat(windows, parts) - piece * LONGEST
         start, windows = np.repeat(start, parts) + piece * LONGEST, np.minimum(left, LONGEST)
     text = np.searchsorted(text_start, start, "right") - 1
-    content = tk.mix((sums[start + windows + width - 1] - sums[start]) * down[start])
+    content = tk.hash_bytes(buffer, start, start + windows + width - 1)
     # minima crowd at the low end: mixed again, all owners get as many
     route = tk.mix(least[start]) >> np.uint64(64 - BITS)
     return Fragments(text, start - text_start[text], windows, route, content)

@@ -1,9 +1,11 @@
-"""Rabin-Karp hashes of words and word windows, vectorised over many texts.
+"""Hashes of words and word windows, vectorised over many texts.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D (the UTF-8
-bytes of ``[^\\x20\\x09-\\x0D]+``).  A word's hash is a polynomial in a fixed
-odd base over random 64-bit values of its bytes, modulo 2**64, taken from
-prefix sums; windows use a second polynomial over the mixed word hashes."""
+bytes of ``[^\\x20\\x09-\\x0D]+``).  A word is hashed eight bytes at a time,
+each step mixed through all 64 bits, so no arrangement of a few letters makes
+two words agree as it does for a polynomial modulo 2**64; ``seed`` gives
+independent hashes.  A window's hash is rolled up from those of its halves, in
+the same non-linear way."""
 
 from __future__ import annotations
 
@@ -13,39 +15,12 @@ import numpy as np
 
 CHUNK = 1 << 20  # bytes of text hashed at a time: bounds the temporaries
 
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-BYTE = _RNG.integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_2 = _RNG.integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-class Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base | 1, pow(base | 1, -1, 2 ** 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = (self._table(b, size) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-    @staticmethod
-    def _table(base: int, size: int) -> np.ndarray:
-        out = np.ones(1, np.uint64)
-        while len(out) < size:
-            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 2 ** 64))])
-        return out
-
-
-BYTE_POWERS, WORD_POWERS = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: every output bit depends on every input bit."""
     h = h ^ (h >> np.uint64(30))
@@ -56,9 +31,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values, out=out[1:])
+# odd multipliers and the starts of the seeds: any fixed random numbers
+ODD = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F], np.uint64)
+STARTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
+
+
+def lanes(buffer: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number (zeros behind the end)."""
+    padded = np.concatenate((buffer, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buffer) + 1,), "<u8", padded, strides=(1,))
+
+
+def cut_lane(lane: np.ndarray, left: np.ndarray | int) -> np.ndarray:
+    """``lane`` with only its first ``left`` bytes, where that is under eight."""
+    keep = np.minimum(left, 8)
+    mask = np.where(keep < 8, (np.uint64(1) << np.uint64(8) * np.minimum(keep, 7).astype(np.uint64)) - np.uint64(1),
+                    np.uint64(2 ** 64 - 1))
+    return lane & mask
+
+
+def hash_bytes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of ``buffer[start:end]`` of every range."""
+    view = lanes(buffer)
+    left = end - start
+    out = mix(left.astype(np.uint64) * ODD[1] + STARTS[seed])
+    live, at = np.arange(len(start)), start
+    while len(live):
+        out[live] = mix(out[live] ^ cut_lane(view[at], left) * ODD[0])
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def grams(buffer: np.ndarray, width: int) -> np.ndarray:
+    """Hash of ``buffer[i:i + width]`` for each i."""
+    view, n = lanes(buffer), len(buffer) - width + 1
+    out = np.full(max(n, 0), STARTS[2])
+    for offset in range(0, width, 8):
+        if n > 0:
+            out = mix(out ^ cut_lane(view[offset:offset + n], np.int64(width - offset)) * ODD[0])
     return out
 
 
@@ -88,17 +99,23 @@ class Words:
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.first = np.searchsorted(self.start, np.concatenate(([0], ends)))
 
-    def hashes(self, table: np.ndarray = BYTE) -> np.ndarray:
-        up, down = BYTE_POWERS.get(len(self.buffer))
-        sums = prefix(table[self.buffer] * up)
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return hash_bytes(self.buffer, self.start, self.end, seed)
 
 
 def windows(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of words[i:i+width] for each i (as if all were one text)."""
+    """Hash of words[i:i+width] for each i (as if all were one text): windows
+    of 1, 2, 4 ... words are mixed from two halves, and those that add up to
+    the width are mixed in turn."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    up, down = WORD_POWERS.get(len(words))
-    sums = prefix(words * up)
-    return mix((sums[width:] - sums[:-width]) * down[:n])
+    out, done, size, level = np.full(n, STARTS[0]), 0, 1, words
+    while size <= width:
+        if width & size:
+            out = mix(out * ODD[1] + level[done:done + n])
+            done += size
+        size *= 2
+        if size <= width:
+            level = mix(level[:-(size // 2)] * ODD[2] + level[size // 2:])
+    return out
