@@ -31,16 +31,6 @@ def test_term_stats_shuffles_only_by_term(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_knn_merge_is_group_limited(spark):
-    from veritext.operators.balance import knn_within
-    rng = np.random.default_rng(3)
-    ref = spark.createDataFrame([(i, i % 2, [float(x) for x in rng.normal(size=3)]) for i in range(40)],
-                                "rid long, grp int, vec array<double>")
-    q = ref.select(F.col("rid").alias("qid"), "grp", "vec")
-    plan = _plan(knn_within(q, ref, k=3, chunk_bytes=8 * 5 * 6))
-    assert "FlatMapCoGroupsInPandas" in plan and "WindowGroupLimit" in plan
-
-
 def test_nb_scoring_combines_before_shuffle(spark):
     from veritext.operators import nb
     spark.conf.set("spark.sql.adaptive.enabled", "false")

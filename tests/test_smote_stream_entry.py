@@ -21,23 +21,6 @@ def test_smote_equalises_and_interpolates(spark):
         assert 0 <= r.lam < 1
 
 
-def test_smote_neighbours_exact_with_chunks(spark):
-    from veritext.operators.balance import knn_within
-    rng = np.random.default_rng(1)
-    pts = rng.normal(size=(30, 3))
-    ref = spark.createDataFrame([(i, 0, [float(x) for x in p]) for i, p in enumerate(pts)], "rid long, grp int, vec array<double>")
-    q = ref.select(F.col("rid").alias("qid"), "grp", "vec")
-    got = knn_within(q, ref, k=4, chunk_bytes=8 * 5 * 7)   # forces several chunks
-    res = {}
-    for r in got.collect():
-        res.setdefault(r.qid, {})[r.slot] = r.nid
-    for i, p in enumerate(pts):
-        d = np.sqrt(((pts - p) ** 2).sum(axis=1))
-        d[i] = np.inf
-        want = sorted(range(30), key=lambda j: (d[j], j))[:4]
-        assert [res[i][s] for s in range(4)] == want
-
-
 def test_streaming_clean(spark, tmpdir_path):
     from veritext.plans.common import credibility_dim
     from veritext.streaming import start_clean_stream

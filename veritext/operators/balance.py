@@ -1,163 +1,95 @@
 """Class balancing: balanced weights (A18, B1-B3 live in metrics.py) and
-SMOTE oversampling (B4).
+SMOTE oversampling (B4), on dense vectors and on sparse rows.
 
 SMOTE (Chawla et al., 2002): every class is raised to the majority count;
 synthetic row i of class c is ``x + lam * (nn - x)`` where x is a base row of
 c drawn with replacement, nn one of x's k nearest same-class neighbours and
 lam ~ U(0, 1).  All draws are ``hash_key(seed, ...)`` of (class, i), so the
-result does not depend on partitioning.
+result does not depend on partitioning.  A class of one row has no neighbour:
+its synthetic rows are copies (nn is the row itself).
 
-Exact neighbours without emitting pairs and without the driver: only the
-distinct base rows that were drawn are queried.  Per group, queries and
-reference rows are cut into hash blocks whose byte size is bounded
-(``chunk_bytes``); every (query block, reference block) cell is one
-``cogroup().applyInPandas`` group that computes distances with numpy and
-keeps a top-k per query; the per-cell lists merge with a window limited to
-k rows per query (planned as a partial ``WindowGroupLimit`` before the
-shuffle).  A hot class becomes many cells, never one task, and no row passes
-through the driver.  Exact duplicates are resolved by the (distance, id)
-order.
+Only the distinct base rows that were drawn are queried, by the pruned exact
+search of ``neighbours.py``.  Draws and ranks are thin rows; vectors are joined
+to the finished draws.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key, unit_hash
+from ..session import staged
+from .neighbours import BLOCK_BYTES, knn_within
 from .sampling import exact_rank
+from .tfidf import constant_array
 
-DEFAULT_CHUNK_BYTES = 32 * 1024 * 1024  # per side of one block cell
 
+def draws(rows: DataFrame, k: int, seed: int, block_bytes: int, digits: int | None) -> DataFrame:
+    """(label, syn_idx, base_id, nn_id, lam) of ``rows`` (rid, label, val[, idx])."""
+    spark = rows.sparkSession
+    kind = dict(rows.dtypes)["label"]
+    counts = sorted(rows.where("label is not null").groupBy("label").count().collect())  # one row per class
+    target = max((n for _, n in counts), default=0)
+    small = [(c, n) for c, n in counts if n < target]
+    starts = [0]
+    for _, n in small:
+        starts.append(starts[-1] + target - n)
+    # one range over all classes: a row finds its class by the classes' starts
+    at = F.size(F.filter(constant_array(starts[:-1], "long"), lambda s: s <= F.col("id"))) - 1
+    syn = spark.range(starts[-1]).withColumn("_at", at).select(
+        F.get(constant_array([c for c, _ in small], kind), "_at").alias("label"),
+        F.get(constant_array([n for _, n in small], "long"), "_at").alias("n_c"),
+        (F.col("id") - F.get(constant_array(starts[:-1], "long"), "_at")).alias("syn_idx"))
+    name = F.col("label").cast("string")
+    syn = syn.select(
+        "label", "syn_idx", F.pmod(hash_key(seed, F.lit("base"), name, "syn_idx"), F.col("n_c")).alias("_rank"),
+        F.pmod(hash_key(seed, F.lit("nn"), name, "syn_idx"),
+               F.greatest(F.lit(1), F.least(F.lit(k), F.col("n_c") - 1))).cast("int").alias("slot"),
+        unit_hash(seed, F.lit("lam"), name, "syn_idx").alias("lam"))
+    ranks = exact_rank(rows.select("rid", "label"), ["label"], "rid", seed, size_col=None)
+    drawn = staged(syn.join(ranks, ["label", "_rank"]).select("label", "syn_idx", F.col("rid").alias("base_id"), "slot", "lam"))
+    sparse = ["idx"] if "idx" in rows.columns else []
+    reference = rows.select("rid", F.col("label").alias("grp"), "val", *sparse)
+    asked = reference.join(drawn.select(F.col("base_id").alias("rid")).distinct(), "rid").withColumnRenamed("rid", "qid")
+    near = knn_within(asked, reference, k, block_bytes, digits=digits).select(
+        F.col("qid").alias("base_id"), "slot", F.col("nid").alias("nn_id"))
+    out = drawn.join(near, ["base_id", "slot"], "left")
+    return out.select("label", "syn_idx", "base_id", F.coalesce("nn_id", "base_id").alias("nn_id"), "lam")
 
-def _top_k_cell(k: int, work_bytes: int = 64 * 1024 * 1024):
-    """Cell function: (queries, reference rows) of one block pair -> the k
-    nearest reference rows of every query (self excluded)."""
 
-    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
-                              "dist": pd.Series([], dtype="float64")})
-        if len(q) == 0 or len(r) == 0:
-            return empty
-        rid = r["rid"].to_numpy(dtype=np.int64)
-        rx = np.stack([np.asarray(v, dtype=np.float64) for v in r["vec"]])
-        rn = (rx * rx).sum(axis=1)
-        qid_all = q["qid"].to_numpy(dtype=np.int64)
-        qx_all = np.stack([np.asarray(v, dtype=np.float64) for v in q["vec"]])
-        # per query: one distance-matrix row and the candidate differences
-        step = max(1, work_bytes // (8 * max(len(rid), (k + 8) * rx.shape[1])))
-        out_q, out_n, out_d = [], [], []
-        for lo in range(0, len(qid_all), step):
-            qid, qx = qid_all[lo:lo + step], qx_all[lo:lo + step]
-            d2 = np.maximum((qx * qx).sum(axis=1)[:, None] + rn[None, :] - 2.0 * qx @ rx.T, 0.0)
-            d2[qid[:, None] == rid[None, :]] = np.inf          # never your own neighbour
-            # a few spare candidates absorb rounding of the expanded form;
-            # the final order uses exact distances
-            kk = min(k + 8, rx.shape[0])
-            cand = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < rx.shape[0] else \
-                np.tile(np.arange(rx.shape[0]), (len(qid), 1))
-            # exact distances of the candidates, all queries at once
-            diff = rx[cand] - qx[:, None, :]
-            dist = np.sqrt((diff * diff).sum(axis=2))
-            dist[~np.isfinite(np.take_along_axis(d2, cand, axis=1))] = np.inf
-            cid = rid[cand]
-            order = np.lexsort((cid, dist), axis=1)[:, :k]     # (distance, id) per query
-            top_d = np.take_along_axis(dist, order, axis=1)
-            top_n = np.take_along_axis(cid, order, axis=1)
-            ok = np.isfinite(top_d)
-            out_q.append(np.broadcast_to(qid[:, None], top_d.shape)[ok])
-            out_n.append(top_n[ok])
-            out_d.append(top_d[ok])
-        return pd.DataFrame({"qid": np.concatenate(out_q).astype(np.int64),
-                             "nid": np.concatenate(out_n).astype(np.int64),
-                             "dist": np.concatenate(out_d).astype(np.float64)})
-
-    return run
-
-
-def knn_within(queries: DataFrame, reference: DataFrame, k: int = 5, chunk_bytes: int = DEFAULT_CHUNK_BYTES,
-               dim: int | None = None) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean, ties by id) of each query row
-    among the ``reference`` rows of the same group, excluding itself.
-    queries: (qid, grp, vec); reference: (rid, grp, vec).
-    Returns (qid, slot 0..k-1, nid, dist).
-
-    Blocks per group: ``rb = ceil(n_ref * row_bytes / chunk_bytes)`` and
-    ``qb`` likewise for the queries; a query row is replicated to the ``rb``
-    reference blocks of its group and a reference row to the ``qb`` query
-    blocks, so every cell holds at most ~``chunk_bytes`` per side."""
-    from pyspark.sql import Window
-    row_bytes = F.lit(8) * (F.col("_dim") + F.lit(2)) if dim is None else F.lit(8 * (dim + 2))
-    per_block = F.greatest(F.lit(1), F.floor(F.lit(chunk_bytes) / row_bytes))
-    sizes = (reference.groupBy("grp").agg(F.count(F.lit(1)).alias("_nr"), F.max(F.size("vec")).alias("_dim"))
-             .join(queries.groupBy("grp").agg(F.count(F.lit(1)).alias("_nq")), "grp")
-             .select("grp",
-                     F.greatest(F.lit(1), F.ceil(F.col("_nr") / per_block)).cast("int").alias("_rb"),
-                     F.greatest(F.lit(1), F.ceil(F.col("_nq") / per_block)).cast("int").alias("_qb")))
-    # one row per group, computed once.  It must not be joined by a shuffle
-    # keyed by group (a hot class would land in one task): below a checked
-    # row bound it comes back as a local table that is broadcast, above it a
-    # persisted table (many groups, so the group key spreads)
-    from .metrics import materialize_small
-    sz = materialize_small(sizes)
-    q = (queries.join(sz, "grp")
-                .withColumn("qblk", F.pmod(F.xxhash64("qid"), F.col("_qb")).cast("int"))
-                .withColumn("rblk", F.explode(F.sequence(F.lit(0), F.col("_rb") - 1)))
-                .select(*[F.col(c).alias(c) for c in ("grp", "qblk", "rblk", "qid", "vec")]))
-    r = (reference.join(sz, "grp")
-                  .withColumn("rblk", F.pmod(F.xxhash64("rid"), F.col("_rb")).cast("int"))
-                  .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1)))
-                  .select(*[F.col(c).alias(c) for c in ("grp", "qblk", "rblk", "rid", "vec")]))
-    # fresh aliases: both sides may descend from one table (self-join)
-    keys = ["grp", "qblk", "rblk"]
-    cells = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(
-        _top_k_cell(k), "qid long, nid long, dist double")
-    w = Window.partitionBy("qid").orderBy("dist", "nid")  # <= k rows kept per query
-    # filter on the rank itself so Spark infers a partial WindowGroupLimit
-    return (cells.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-                 .select("qid", (F.col("_rn") - 1).cast("int").alias("slot"), "nid", "dist"))
+def _with_rows(found: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``found`` with the columns of the base row (a_) and of its neighbour (b_)."""
+    for key, mark in (("base_id", "a_"), ("nn_id", "b_")):
+        side = rows.select(F.col("rid").alias("_rid"), *[F.col(c).alias(mark + c) for c in columns])
+        found = found.join(side, F.col(key) == F.col("_rid")).drop("_rid")
+    return found
 
 
 def smote(df: DataFrame, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding",
-          k: int = 5, seed: int = 42, chunk_bytes: int = DEFAULT_CHUNK_BYTES) -> DataFrame:
+          k: int = 5, seed: int = 42, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Synthetic rows only: (label, syn_idx, base_id, nn_id, lam, vec).
     Union them with the original rows for the resampled training set."""
-    spark = df.sparkSession
-    base = df.select(F.col(id_col).alias("rid"), F.col(label_col).alias("label"),
-                     F.transform(vec_col, lambda v: v.cast("double")).alias("vec"))
-    counts = {r["label"]: int(r["n"]) for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return spark.createDataFrame([], "label int, syn_idx long, base_id long, nn_id long, lam double, vec array<double>")
-    target = max(counts.values())
-    # read by the base draw, the neighbour search and the neighbour look-up:
-    # rank once (one shuffle), keep it on the executors
-    ranked = exact_rank(base, ["label"], "rid", seed, size_col=None).persist(StorageLevel.MEMORY_AND_DISK)
-    syns = []
-    for lab, n_c in sorted(counts.items()):
-        deficit = target - n_c
-        if deficit <= 0 or n_c < 2:
-            continue
-        k_eff = min(k, n_c - 1)
-        syns.append(spark.range(deficit).withColumnRenamed("id", "syn_idx")
-                    .withColumn("label", F.lit(lab))
-                    .withColumn("_base_rank", F.pmod(hash_key(seed, F.lit("base"), F.lit(str(lab)), "syn_idx"), F.lit(n_c)))
-                    .withColumn("slot", F.pmod(hash_key(seed, F.lit("nn"), F.lit(str(lab)), "syn_idx"), F.lit(k_eff)).cast("int"))
-                    .withColumn("lam", unit_hash(seed, F.lit("lam"), F.lit(str(lab)), "syn_idx")))
-    if not syns:
-        return spark.createDataFrame([], "label int, syn_idx long, base_id long, nn_id long, lam double, vec array<double>")
-    syn = syns[0]
-    for x in syns[1:]:
-        syn = syn.unionByName(x)
-    bases = (syn.select("label", "_base_rank").distinct()
-                .join(ranked.withColumnRenamed("_rank", "_base_rank"), ["label", "_base_rank"])
-                .select("label", "_base_rank", F.col("rid").alias("qid"), "vec"))
-    nn = knn_within(bases.select("qid", F.col("label").alias("grp"), "vec"),
-                    ranked.select("rid", F.col("label").alias("grp"), "vec"), k, chunk_bytes)
-    s = (syn.join(bases.select("label", "_base_rank", "qid", F.col("vec").alias("bvec")), ["label", "_base_rank"])
-            .join(nn.select("qid", "slot", "nid"), ["qid", "slot"])
-            .join(ranked.select(F.col("rid").alias("nid"), F.col("vec").alias("nvec")), "nid"))
-    return s.select("label", "syn_idx", F.col("qid").alias("base_id"), F.col("nid").alias("nn_id"), "lam",
-                    F.zip_with("bvec", "nvec", lambda a, b: a + F.col("lam") * (b - a)).alias("vec"))
+    rows = staged(df.select(F.col(id_col).cast("long").alias("rid"), F.col(label_col).alias("label"),
+                            F.col(vec_col).cast("array<double>").alias("val")))
+    s = _with_rows(draws(rows, k, seed, block_bytes, None), rows, ["val"])
+    vec = F.zip_with("a_val", "b_val", lambda a, b: a + F.col("lam") * (b - a))
+    return s.select("label", "syn_idx", "base_id", "nn_id", "lam", vec.alias("vec"))
+
+
+def smote_sparse(df: DataFrame, id_col: str = "doc_id", label_col: str = "label_id", indices_col: str = "term_indices",
+                 values_col: str = "weights", k: int = 5, seed: int = 42, block_bytes: int = BLOCK_BYTES,
+                 digits: int = 6) -> DataFrame:
+    """``smote`` of sparse rows (ascending indices beside values): (label,
+    syn_idx, base_id, nn_id, lam, indices, values).  An interpolated row holds
+    the indices of both its rows; distances are compared to ``digits`` places."""
+    rows = staged(df.select(F.col(id_col).cast("long").alias("rid"), F.col(label_col).alias("label"),
+                            F.col(indices_col).cast("array<int>").alias("idx"),
+                            F.col(values_col).cast("array<double>").alias("val")))
+    s = _with_rows(draws(rows, k, seed, block_bytes, digits), rows, ["idx", "val"])
+    zero = F.lit(0.0)
+    mixed = F.map_zip_with(F.map_from_arrays("a_idx", "a_val"), F.map_from_arrays("b_idx", "b_val"),
+                           lambda _, a, b: F.coalesce(a, zero) + F.col("lam") * (F.coalesce(b, zero) - F.coalesce(a, zero)))
+    s = s.withColumn("_e", F.array_sort(F.map_entries(mixed)))
+    return s.select("label", "syn_idx", "base_id", "nn_id", "lam", F.col("_e.key").alias("indices"),
+                    F.col("_e.value").alias("values"))

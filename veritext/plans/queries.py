@@ -91,15 +91,19 @@ POLITICAL_KEYWORDS = [
 KEYWORD_RE = "|".join(POLITICAL_KEYWORDS)
 
 
-def topic_predicate(sub_col, text_col):
-    return (F.coalesce(F.lower(sub_col).isin(POLITICAL_SUBREDDITS), F.lit(False))
-            | F.coalesce(F.lower(text_col).rlike(KEYWORD_RE), F.lit(False)))
+def topic_predicate(sub_col, text_col, sources=POLITICAL_SUBREDDITS, keywords=POLITICAL_KEYWORDS):
+    return (F.coalesce(F.lower(sub_col).isin(list(sources)), F.lit(False))
+            | F.coalesce(F.lower(text_col).rlike("|".join(keywords)), F.lit(False)))
+
+
+def topic_filter(t, sub_col, text_col, sources=POLITICAL_SUBREDDITS, keywords=POLITICAL_KEYWORDS):
+    """Rows whose source is listed or whose text holds a keyword."""
+    return t.where(topic_predicate(F.col(sub_col), F.col(text_col), sources, keywords))
 
 
 @query("topic_filter")
 def q_topic_filter(spark, d):
-    t = read_table(spark, d, "documents")
-    return t.where(topic_predicate(F.col("source"), F.col("text"))).select("doc_id", "source")
+    return topic_filter(read_table(spark, d, "documents"), "source", "text").select("doc_id", "source")
 
 
 @query("text_assembly_liar")
@@ -511,5 +515,5 @@ def q_gap_bi(spark, d):
 
 
 def all_queries() -> dict[str, Q]:
-    from . import extra  # noqa: F401  (registers model-based queries)
+    from . import analysis, extra  # noqa: F401  (register composites and model-based queries)
     return dict(REGISTRY)
