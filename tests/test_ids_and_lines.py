@@ -82,7 +82,7 @@ def test_articles_of_objects_and_arrays(spark, text):
     try:
         parsed = json.loads(text)
     except ValueError:
-        parsed = [None]
+        parsed = []
     parsed = parsed if isinstance(parsed, list) else [parsed]
     want = [("k" in a, a["k"] if not isinstance(a["k"], dict) else json.dumps(a["k"], separators=(",", ":")))
             if isinstance(a, dict) and "k" in a else (False, None) for a in parsed]

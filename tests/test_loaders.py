@@ -85,6 +85,32 @@ def test_nela_json_and_label_detection(spark, tmpdir_path):
     assert got == [("siteA", 1, "mixed"), ("siteA", 1, "mixed"), ("siteB", 2, "unreliable")]
 
 
+def test_nela_json_absent_and_null_keys(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "nelak")
+    _w(os.path.join(d, "labels.csv"), "source,aggregated_label\nsiteA,0\nother,2\n")
+    long = "a text that is long enough to stay"
+    rows = [{"title": "no content key, " + long}, {"content": None, "title": "null content, " + long},
+            {"source": None, "content": "null source, " + long}, {"source": "other", "content": "own source, " + long},
+            {"content": "short"}, "no object", {"content": "folder, " + long}, {"content": "folder, " + long}]
+    _w(os.path.join(d, "articles", "siteA", "a.json"), json.dumps(rows))
+    _w(os.path.join(d, "articles", "siteA", "broken.json"), "{not json")
+    _w(os.path.join(d, "articles", "siteA", "one.json"), json.dumps({"content": "object, " + long}))
+    out = load_nela(spark, d).collect()
+    assert sorted((r.source, r.text.split(",")[0], r.label) for r in out) == [
+        ("other", "own source", "unreliable"), ("siteA", "folder", "reliable"), ("siteA", "folder", "reliable"),
+        ("siteA", "no content key", "reliable"), ("siteA", "object", "reliable")]
+    assert len({r.doc_id for r in out}) == 5
+
+
+def test_corpus_csv_round_trip(spark, tmpdir_path):
+    from veritext.sources.sinks import write_corpus
+    rows = [(1, 'a "quoted", text'), (2, "two\nlines"), (3, ""), (4, None)]
+    path = os.path.join(tmpdir_path, "corpus")
+    write_corpus(spark.createDataFrame(rows, "doc_id long, text string"), path, fmt="csv")
+    back = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path)
+    assert sorted((int(r.doc_id), r.text or "") for r in back.collect()) == [(i, t or "") for i, t in rows]
+
+
 def test_detect_label_column_numeric_fallback(spark):
     from pyspark.sql import types as T
     s = T.StructType([T.StructField("src", T.StringType()), T.StructField("a", T.IntegerType()),

@@ -9,6 +9,7 @@ from ..functions.labels import BINARY_NAMES, name_for_id
 from ..functions.text import char_length, word_count
 from ..operators import metrics, report
 from ..operators.tfidf import generated
+from ..sources.json_rows import articles, json_field
 from ..sources.tables import read_table
 from .queries import multi_model_predictions, query, r6, topic_filter
 
@@ -116,19 +117,6 @@ def q_topic_lists(spark, d):
     return topic_filter(t, "source", "text", TOPIC_SOURCES, TOPIC_KEYWORDS).select("doc_id", "source")
 
 
-def articles(value):
-    """Array of the articles of a JSON text that holds an object or an array."""
-    v = F.try_parse_json(value)
-    whole = F.schema_of_variant(v).startswith("ARRAY")
-    return F.when(whole, F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
-
-
-def json_field(v, key: str):
-    """(present, value) of a key: absent is not null."""
-    keys = F.map_keys(F.try_variant_get(v, "$", "map<string, variant>"))
-    return F.coalesce(F.array_contains(keys, key), F.lit(False)), F.try_variant_get(v, f"$.{key}", "string")
-
-
 def props_json(event_id, props):
     """The events' JSON in four shapes: object, array of three, other keys, null value."""
     n = F.pmod(event_id, F.lit(4))

@@ -5,9 +5,10 @@
   text = ``title. content`` (nulls -> ''), length > 20.  Every CSV of the
   directory is read (sorted), not only the first; multiLine CSV is not
   splittable, so convert once to Parquet for repeated use.
-* JSON: recursive ``*.json``; a file holds an object or an array; ``source``
-  defaults to the parent directory name; text = content (or title when
-  content is missing), truncated to 1000; labels from a labels file whose
+* JSON: recursive ``*.json``; a file holds an object or an array (others are
+  skipped); ``source`` defaults to the parent directory name; text = content,
+  or title where the content key is absent (a null content drops the article);
+  labels from a labels file whose
   label column is detected by name, else the last numeric column; duplicate
   keys: last row wins.
 * table: any DataFrame / table called ``newsdata`` (source, title, content).
@@ -25,6 +26,7 @@ from ..operators.metrics import materialize_small
 from ..operators.sampling import hash_sample
 from . import fs
 from .ids import with_stable_id
+from .json_rows import articles, json_field
 
 # Source -> credibility (0 reliable, 1 mixed, 2 unreliable), in
 # the original order; "usatoday" appears twice and the later entry wins.
@@ -129,27 +131,26 @@ def load_labels_file(spark: SparkSession, path: str, json_style: bool = True) ->
         F.max_by(F.col(label_col), "_row").cast("int").alias("label_id"))
 
 
-JSON_SCHEMA = T.StructType([T.StructField("source", T.StringType()), T.StructField("title", T.StringType()),
-                            T.StructField("content", T.StringType())])
-
-
 def load_nela_json(spark: SparkSession, data_dir: str, max_samples: int | None = None,
                    seed: int = 42, max_content: int | None = None) -> DataFrame:
     """Whole texts; ``max_content`` limits their characters."""
-    articles = f"{data_dir.rstrip('/')}/articles"
+    articles_dir = f"{data_dir.rstrip('/')}/articles"
     labels = load_labels_file(spark, f"{data_dir.rstrip('/')}/labels.csv", json_style=True)
-    raw = (spark.read.schema(JSON_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").json(articles)
-           .withColumn("_path", F.col("_metadata.file_path")))
+    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.json").text(articles_dir))
+    rows = files.select(F.col("_metadata.file_path").alias("_path"), F.explode(articles(F.col("value"))).alias("_v"))
+    (has_source, source), (has_content, content), (_, title) = (
+        json_field(F.col("_v"), key) for key in ("source", "content", "title"))
+    # an absent source is the folder's name, an absent content the title; null ones drop the article
     parent = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
-    src = F.coalesce(F.col("source"), parent)
-    df = with_stable_id(raw.withColumn("source", src).drop("_path")).withColumn("source_key", F.lower("source"))
+    df = with_stable_id(rows.select(F.when(has_source, source).otherwise(parent).alias("source"),
+                                    F.when(has_content, content).otherwise(title).alias("text")))
+    df = df.withColumn("source_key", F.lower("source"))
     # labels file: one row per source, written once; broadcast or not by its size
     j = df.join(materialize_small(labels), "source_key")
-    text = F.coalesce(F.col("content"), F.col("title"), F.lit(""))
-    stripped = F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+$", "")
+    stripped = F.regexp_replace("text", rf"^[{WS}]+|[{WS}]+$", "")
     out = (j.where(F.length(stripped) > 20)
-            .select((F.substring(text, 1, max_content) if max_content else text).alias("text"), "source", "label_id",
+            .select((F.substring("text", 1, max_content) if max_content else F.col("text")).alias("text"), "source", "label_id",
                     "doc_id",
                     F.coalesce(F.element_at(F.create_map(*[x for k, v in NELA_3WAY.items() for x in (F.lit(k), F.lit(v))]),
                                             F.col("label_id")), F.lit("unknown")).alias("label")))

@@ -26,8 +26,12 @@ def write_cross_summary(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).partitionBy("source", "target").csv(path)
 
 
-def write_corpus(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:  # K4
-    w = df.write.mode("overwrite")
+def write_corpus(df: DataFrame, path: str, partition_cols: list[str] | None = None, fmt: str = "parquet") -> None:  # K4
+    """A corpus as Parquet, or as CSV (header, quotes doubled) with as many
+    files as the corpus has partitions."""
+    w = df.write.mode("overwrite").format(fmt)
+    if fmt == "csv":
+        w = w.options(header=True, quote='"', escape='"', emptyValue="")
     if partition_cols:
         w = w.partitionBy(*partition_cols)
-    w.parquet(path)
+    w.save(path)

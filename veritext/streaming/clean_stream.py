@@ -25,7 +25,7 @@ ARTICLE_SCHEMA = T.StructType([
 
 def clean_stream(stream: DataFrame, dimension: DataFrame) -> DataFrame:
     keyed = stream.withColumn("source_key", normalise_source_key("source"))
-    j = keyed.join(F.broadcast(dimension), "source_key")
+    j = keyed.join(dimension, "source_key")
     out = with_clean(j.select("doc_id", "source", "label_id", name_for_id("label_id", NELA_3WAY).alias("label"),
                               "text", char_length("text").alias("text_length")))
     return out.drop("text").withColumn("word_count", word_count("clean_text"))
