@@ -58,9 +58,10 @@ def vectors(spark, classes, n=180, seed=0):
 
 
 @pytest.mark.parametrize("classes", [2, 3])
-def test_grid_search_scores_every_value_and_refits(spark, classes):
+def test_grid_search_scores_every_value_and_refits(spark, classes, monkeypatch):
+    monkeypatch.setattr(models, "SVC_ITERATIONS", 15)  # the search is tested, not the solver
     grids = {"logistic_regression": ("C", (0.001, 1.0)), "multinomial_naive_bayes": ("alpha", (1.0,)), "linear_svm": ("C", (1.0,))}
-    train = vectors(spark, classes).persist()
+    train = vectors(spark, classes).coalesce(1).persist()
     table, best = tuning.grid_search(train, grids=grids)
     rows = {(r.model, r.value): r for r in table.collect()}
     assert len(rows) == 4 and sum(r.is_best for r in rows.values()) == 3
