@@ -233,3 +233,17 @@ def test_no_pair_at_the_threshold_is_left_out(dim):
             _, codes, factors = embed_dedup.encode(both[[y]])
             missed += len(embed_dedup.passing(turned, codes, factors, 0.93)[0]) == 0
     assert missed == 0
+
+
+def test_rules_under_one_suffix_are_found_by_their_rarest_item(spark):
+    rules = spark.range(100_000).selectExpr(
+        "id as rule", "array('host:com', concat('path:p', id)) as items", "0.5 + id / 1e6 as confidence", "0.1D as support")
+    rules = rules.unionByName(spark.createDataFrame(
+        [(-1, ["key:q"], 0.4, 0.1), (-2, ["host:com", "key:r", "path:p5"], 0.9, 0.1)],
+        "rule long, items array<string>, confidence double, support double"))
+    index = url_filter.keyed(rules)
+    assert index.groupBy("key").count().agg(F.max("count")).first()[0] == 1
+    urls = spark.createDataFrame([("a", ["host:com", "path:p7", "path:p9"]), ("b", ["host:com", "path:x"]), ("c", ["key:q"]),
+                                  ("d", ["host:com", "path:p5", "key:r"]), ("e", ["path:p7"])], "row string, tokens array<string>")
+    got = {r.row: r.best.rule for r in url_filter.matched(urls, rules).collect()}
+    assert got == {"a": 9, "c": -1, "d": -2}

@@ -4,7 +4,7 @@ Labelled urls become transactions: their tokens and, for unwanted ones, the
 item ``!block``.  FP-growth finds the frequent combinations; the rules
 ``tokens -> !block`` of enough confidence and lift stay, but not one that a
 rule on fewer of its tokens matches at no less confidence.  An inverted index
-(token -> rules) finds the rules all of whose tokens a url holds.  Given rules
+(a rule's rarest token -> rule) finds the rules all of whose tokens a url holds.  Given rules
 (host, path) come first: the longest that fits decides.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
@@ -75,19 +75,31 @@ def mine(labelled: DataFrame, min_urls: int = MIN_URLS, min_confidence: float =
     rules = found.select(F.array_sort("antecedent").alias("items"), "confidence", "support")
     rules = written(rules.withColumn("rule", F.xxhash64("items")).select("rule", "items", "confidence", "support"))
     # a rule is idle if one on a part of its items is as sure
-    item = rules.select("rule", F.size("items").alias("n"), "confidence", F.explode("items").alias("item"))
-    other = item.select(F.col("rule").alias("rule2"), F.col("n").alias("n2"), F.col("confidence").alias("c2"), "item")
-    inside = (other.join(item, "item").where("n2 < n and c2 >= confidence")
-              .groupBy("rule", "rule2", "n2").agg(F.count("*").alias("shared")).where("shared = n2"))
-    return written(rules.join(inside.select("rule").distinct(), "rule", "left_anti"))
+    part = keyed(rules).select("key", F.col("items").alias("some"), F.col("confidence").alias("as_sure"))
+    idle = (rules.select("rule", "items", "confidence", F.explode("items").alias("key")).join(part, "key")
+            .where((F.size("some") < F.size("items")) & holds("items", "some") & (F.col("as_sure") >= F.col("confidence"))))
+    return written(rules.join(idle.select("rule").distinct(), "rule", "left_anti"))
+
+
+def holds(items: str, needs: str) -> Column:
+    return F.size(F.array_except(needs, items)) == 0
+
+
+def keyed(rules: DataFrame) -> DataFrame:
+    """``rules`` with ``key``: of a rule's items the one that fewest rules hold.
+    Thousands of rules under one common item are listed under their own."""
+    item = rules.select("rule", F.explode("items").alias("item"))
+    counts = item.groupBy("item").agg(F.count("*").alias("n"))
+    key = item.join(counts, "item").groupBy("rule").agg(F.min(F.struct("n", "item")).alias("k"))
+    return written(rules.join(key, "rule").withColumn("key", F.col("k.item")).drop("k"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``row, best`` for the rows whose tokens hold all items of a rule."""
-    index = rules.select("rule", F.size("items").alias("n"), "confidence", "support", F.explode("items").alias("token"))
-    hits = (urls.select("row", F.explode("tokens").alias("token")).join(index, "token")
-            .groupBy("row", "rule", "n", "confidence", "support").agg(F.count("*").alias("held"))
-            .where(F.col("held") == F.col("n")))
+    """``row, best`` for the rows whose tokens hold all items of a rule: the
+    index finds the rules of a token, the other items are tested in the row."""
+    index = keyed(rules).select("key", "rule", F.col("items").alias("needs"), "confidence", "support")
+    hits = (urls.select("row", "tokens", F.explode("tokens").alias("key")).join(index, "key")
+            .where(holds("tokens", "needs")))
     return hits.groupBy("row").agg(F.max(F.struct("confidence", "support", "rule")).alias("best"))
 
 
