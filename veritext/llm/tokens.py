@@ -64,13 +64,14 @@ def hash_bytes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
 
 
 def grams(buffer: np.ndarray, width: int) -> np.ndarray:
-    """Hash of ``buffer[i:i + width]`` for each i."""
-    view, n = lanes(buffer), len(buffer) - width + 1
-    out = np.full(max(n, 0), STARTS[2])
-    for offset in range(0, width, 8):
-        if n > 0:
-            out = mix(out ^ cut_lane(view[offset:offset + n], np.int64(width - offset)) * ODD[0])
-    return out
+    """Hash of ``buffer[i:i + width]`` for each i: a cheap one, for routing (the
+    eight-byte parts are added before they are mixed)."""
+    view, n = lanes(buffer), max(len(buffer) - width + 1, 0)
+    out = np.full(n, STARTS[2])
+    for i, offset in enumerate(range(0, width, 8)):
+        part = view[offset:offset + n] if width - offset >= 8 else cut_lane(view[offset:offset + n], np.int64(width - offset))
+        out += part * np.uint64(int(ODD[0]) * (2 * i + 1) % 2 ** 64)
+    return mix(out)
 
 
 def chunks(texts: Sequence[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
