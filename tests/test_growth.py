@@ -27,3 +27,17 @@ def test_log_loss_takes_maximum_and_sum_once_a_row(spark, tmpdir_path):
     out = queries.q_log_loss(spark, tmpdir_path)
     assert _plan(out).count("array_max(") == 1 and _plan(out).count("aggregate(") == 1
     assert out.first().log_loss == pytest.approx((1.313262 + 0.693147 + 2.126928) / 3, abs=2e-6)
+
+
+def test_both_directions_share_one_preprocessing(spark, monkeypatch):
+    calls = []
+
+    def cleaned(*_):
+        calls.append(1)
+        return staged(corpus(spark))
+
+    monkeypatch.setattr(flows, "cleaned_corpus", cleaned)
+    monkeypatch.setattr(transfer, "cleaned_corpus", cleaned)
+    out = flows.run_bidirectional(spark, "unused").collect()
+    assert {(r.source, r.target) for r in out} == {("en", "other"), ("other", "en")}
+    assert len(calls) == 1

@@ -18,9 +18,9 @@ from ..operators.tfidf import fit_tfidf
 from .common import SEED, cleaned_corpus
 
 
-def _domains(spark: SparkSession, d: str, source_lang: str | None = "en", pivot_lang: str = "en"):
+def _domains(corpus: DataFrame, source_lang: str | None = "en", pivot_lang: str = "en"):
     """source_lang=None means 'every language except pivot_lang' (reverse direction)."""
-    c = harmonise_binary(cleaned_corpus(spark, d), "binary")
+    c = harmonise_binary(corpus, "binary")
     is_pivot = F.col("lang") == pivot_lang
     src, tgt = (c.where(is_pivot), c.where(~is_pivot)) if source_lang else (c.where(~is_pivot), c.where(is_pivot))
     s = sampling.stratified_split(src, "label_id", "doc_id", 20, 0, SEED)
@@ -28,12 +28,13 @@ def _domains(spark: SparkSession, d: str, source_lang: str | None = "en", pivot_
 
 
 def nb_cross_domain(spark: SparkSession, d: str, source_lang: str = "en", target_name: str = "other") -> DataFrame:
-    return nb_cross_domain_split(spark, d, source_lang, source_lang, target_name)
+    return nb_cross_domain_split(cleaned_corpus(spark, d), source_lang, source_lang, target_name)
 
 
-def nb_cross_domain_split(spark: SparkSession, d: str, source_lang: str | None, source_name: str,
+def nb_cross_domain_split(corpus: DataFrame, source_lang: str | None, source_name: str,
                           target_name: str) -> DataFrame:
-    s, tgt = _domains(spark, d, source_lang)
+    """One direction over a preprocessed corpus."""
+    s, tgt = _domains(corpus, source_lang)
     train = s.where(F.col("split") == "train")
     model = fit_tfidf(train, max_features=10000)
     tr_long = model.transform_long(train, keep=["label_id"])
@@ -57,7 +58,7 @@ def cross_domain_models(spark: SparkSession, d: str, source_lang: str | None = "
     """C6 with logistic regression and the calibrated SVM: both scored on the
     source's test rows and on the whole target, metrics of both models and
     domains from one aggregation; the gap per model."""
-    s, tgt = _domains(spark, d, source_lang)
+    s, tgt = _domains(cleaned_corpus(spark, d), source_lang)
     train = s.where(F.col("split") == "train")
     model = fit_tfidf(train, max_features=10000)
     label = F.col("label_id").cast("double")
