@@ -41,3 +41,11 @@ def test_both_directions_share_one_preprocessing(spark, monkeypatch):
     out = flows.run_bidirectional(spark, "unused").collect()
     assert {(r.source, r.target) for r in out} == {("en", "other"), ("other", "en")}
     assert len(calls) == 1
+
+
+def test_solvers_side_by_side_read_few_partitions(spark):
+    train = staged(corpus(spark).repartition(8))
+    few = tuning.compact(train)
+    assert train.rdd.getNumPartitions() > 1 and few.rdd.getNumPartitions() == 1
+    assert sorted(few.collect()) == sorted(train.collect())
+    assert tuning.compact(corpus(spark)).count() == 60  # rows that are not stored

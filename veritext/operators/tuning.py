@@ -14,14 +14,26 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.fs import total_bytes
 from . import models
 
+PART_BYTES = 8 * 1024 * 1024  # stored vectors that a task of a fit reads
+
 # The grids of the original search.
 GRIDS = {"logistic_regression": ("C", (0.01, 0.1, 1.0, 10.0)),
          "multinomial_naive_bayes": ("alpha", (0.01, 0.1, 0.5, 1.0, 2.0)),
          "linear_svm": ("C", (0.01, 0.1, 1.0, 10.0))}
 
 
+def compact(train: DataFrame) -> DataFrame:
+    """``train`` in one partition per ``PART_BYTES`` of its stored rows.  Dozens
+    of solvers run side by side, each with up to thousands of passes: small
+    rows in a partition per core make every pass a dozen near-empty tasks and
+    a second stage that adds their gradients up."""
+    size = total_bytes(train.sparkSession, train.inputFiles())
+    return train.coalesce(-(-size // PART_BYTES)) if size else train
+
+
 def fitted(model: str, value: float, train: DataFrame, fold_col: str):
     """One model with one parameter value; ``fold_col`` calibrates the SVM."""
     if model == "logistic_regression":
@@ -38,6 +50,7 @@ def grid_search(train: DataFrame, folds: int = 3, parallelism: int = 8,
     model.  ``train`` has features, label, weight, fold and inner."""
     grids = grids or GRIDS
     score = models.MacroF1Evaluator("label", "prediction")
+    train = compact(train)
 
     def one(task: tuple[str, float, int]) -> float:
         model, value, fold = task
