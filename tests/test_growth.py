@@ -49,3 +49,16 @@ def test_solvers_side_by_side_read_few_partitions(spark):
     assert train.rdd.getNumPartitions() > 1 and few.rdd.getNumPartitions() == 1
     assert sorted(few.collect()) == sorted(train.collect())
     assert tuning.compact(corpus(spark)).count() == 60  # rows that are not stored
+
+
+def test_tasks_that_hold_terms_read_bounded_input(spark, tmpdir_path, monkeypatch):
+    docs = corpus(spark, 2000).select("doc_id", F.concat("clean_text", F.lit(" x"), F.sha2(F.col("doc_id").cast("string"), 256)).alias("text"))
+    docs.repartition(1).write.parquet(f"{tmpdir_path}/documents.parquet")
+    seen = []
+    count = queries.term_stats
+    monkeypatch.setattr(queries, "TERM_BYTES", 2048)
+    monkeypatch.setattr(queries, "term_stats", lambda df, *a, **k: seen.append(df.rdd.getNumPartitions()) or count(df, *a, **k))
+    out = {r.term: (r.df, r.total_tf) for r in queries.q_bigrams(spark, tmpdir_path).collect()}
+    assert out["sat near"] == (400, 400)
+    assert seen[0] > max(8, spark.sparkContext.defaultParallelism)
+    assert tables.spread(spark.range(5), ["id"]).count() == 5
