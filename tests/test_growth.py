@@ -62,3 +62,23 @@ def test_tasks_that_hold_terms_read_bounded_input(spark, tmpdir_path, monkeypatc
     assert out["sat near"] == (400, 400)
     assert seen[0] > max(8, spark.sparkContext.defaultParallelism)
     assert tables.spread(spark.range(5), ["id"]).count() == 5
+
+
+def test_terms_are_sorted_and_filtered_without_lambdas(spark):
+    df = corpus(spark)
+    assert "lambda" not in _plan(tfidf.term_stats(df))
+    table = spark.createDataFrame([("cats", "cat", 36)], "token string, lemma string, df long")
+    out = lemma.lemmatise_text(df, table)
+    assert "filter(array_distinct" not in _plan(out) and "cat sat near dogs lie" in {r.lemma_text for r in out.collect()}
+
+
+def test_nb_sums_by_term_number(spark):
+    df = corpus(spark)
+    m = tfidf.fit_tfidf(df)
+    long = m.transform_long(df, keep=["label_id"])
+    theta, _ = nb.nb_fit(long, df, m.vocab)
+    by_term, _ = nb.nb_fit(long.drop("term_index"), df, m.vocab)
+    assert "get(split" not in _plan(theta) and "get(split" in _plan(by_term)  # no row looks its term up
+    got = {(r.label_id, r.term): r.theta for r in theta.collect()}
+    for r in by_term.collect():
+        assert got[r.label_id, r.term] == pytest.approx(r.theta, abs=1e-12)

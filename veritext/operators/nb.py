@@ -42,8 +42,12 @@ def nb_fit(train_long: DataFrame, train_docs: DataFrame, vocab: DataFrame, label
                                   f"{label_col} int, log_prior double")
     wdf = spark.createDataFrame([(int(c), float(v)) for c, v in w.items()], f"{label_col} int, _sw double")
     # the weight is constant in a class: sum first, weigh the k x V sums
-    fc = (train_long.groupBy(label_col, "term").agg(F.sum("weight").alias("_f"))
-                    .join(F.broadcast(wdf), label_col).select(label_col, "term", (F.col("_sw") * F.col("_f")).alias("fc")))
+    if {"term_index"} <= {*train_long.columns} & {*vocab.columns}:  # the k x V sums get their terms, not the rows
+        sums = train_long.groupBy(label_col, "term_index").agg(F.sum("weight").alias("_f")).join(
+            vocab.select("term", "term_index"), "term_index")
+    else:
+        sums = train_long.groupBy(label_col, "term").agg(F.sum("weight").alias("_f"))
+    fc = (sums.join(F.broadcast(wdf), label_col).select(label_col, "term", (F.col("_sw") * F.col("_f")).alias("fc")))
     classes = sorted(int(c) for c in w)
     v_terms = vocab.select("term")
     grid = v_terms.select("term", F.explode(F.array(*[F.lit(c) for c in classes])).alias(label_col))
