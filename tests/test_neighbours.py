@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 
-from veritext.operators import neighbours
+from veritext.operators import balance, neighbours
 from veritext.operators.balance import smote, smote_sparse
 from veritext.operators.neighbours import knn_within
 
@@ -84,3 +84,24 @@ def test_sparse_smote_interpolates(spark):
         a, b = vec[r.base_id], vec[r.nn_id]
         want = {i: a.get(i, 0) + r.lam * (b.get(i, 0) - a.get(i, 0)) for i in sorted(a | b)}
         assert r.indices == list(want) and np.allclose(r["values"], list(want.values()))
+
+
+def test_only_classes_that_grow_are_searched(spark, monkeypatch):
+    seen = []
+    search = balance.knn_within
+    monkeypatch.setattr(balance, "knn_within", lambda asked, reference, *a, **k: seen.append(
+        sorted(r.grp for r in reference.select("grp").collect())) or search(asked, reference, *a, **k))
+    rows = [(i, 0, [float(i), 0.0]) for i in range(9)] + [(i, 1, [float(i), 1.0]) for i in range(20, 24)] + [(99, None, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert smote(df, k=2).count() == 5 and seen == [[1, 1, 1, 1]]
+
+
+def test_postings_hold_common_and_rare_columns():
+    rng = np.random.default_rng(2)
+    points = np.where(rng.random((60, 40)) < np.linspace(0.02, 0.6, 40), rng.random((60, 40)), 0)
+    rows = neighbours.Rows.of([np.flatnonzero(p).tolist() for p in points], [p[p > 0].tolist() for p in points])
+    postings = neighbours.Postings(rows, 40)
+    assert 0 < len(postings.common) < 40
+    want = np.sqrt(((points[:7, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    assert np.allclose(postings.distances(points[:7]), want, atol=1e-7)
+    assert np.allclose(neighbours.distances(rows, points[:7]).T, want, atol=1e-7)
